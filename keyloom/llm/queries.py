@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate
+from . import common, decontaminate, quality, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,28 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(docs, bench).drop("text")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    path = f"{common.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    docs = _table(spark, sf_dir, "documents")
+    files = token_files.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(files, path)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    return quality.judge(docs, quality.train(docs, labels)).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontaminate": op2_decontaminate}
+    return {
+        "op2_decontaminate": op2_decontaminate,
+        "op6_token_files": op6_token_files,
+        "op7_quality": op7_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
