@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, quality, token_files
+from . import common, decontaminate, quality, simhash, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,15 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(docs, bench).drop("text")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    return toxicity.report(docs, toxicity.train(docs, labels))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -38,6 +47,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
+        "op3_simhash": op3_simhash,
+        "op5_toxicity": op5_toxicity,
         "op6_token_files": op6_token_files,
         "op7_quality": op7_quality,
     }
