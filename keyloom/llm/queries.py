@@ -4,15 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, quality, simhash, token_files, toxicity
+from . import common, decontaminate, mixing, quality, sharding, simhash, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Target weights: by domain, then language within it, then source within that; others weigh 1.
+WEIGHTS: dict[tuple[str | None, ...], float] = {("web",): 3.0, ("books",): 2.0, ("code",): 1.0, ("web", "en"): 2.0, ("books", "en"): 2.0, ("code", "en"): 4.0}
+DOMAINS = ("web", "books", "code")
+
+
+def leaf_path() -> list[Column]:
+    """domain, lang, source: sources belong to domains by the number that ends their name."""
+    number = F.regexp_extract("source", r"(\d{1,9})$", 1)
+    domain = F.when(number != "", F.element_at(F.array(*map(F.lit, DOMAINS)), number.cast("int") % len(DOMAINS) + 1))
+    return [domain, F.col("lang"), F.col("source")]
+
+
+def tokens_in(text: str = "text") -> Column:
+    """Tokens of a row, as the mix counts them: about four bytes each."""
+    return F.floor((F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 3) / 4)
+
+
+MIX = mixing.Mix(WEIGHTS, share=0.8, epochs=2, seed=11)
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     bench = _table(spark, sf_dir, "benchmark")
@@ -44,13 +68,22 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, labels)).drop("text")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    tokens = tokens_in()
+    picked = mixing.select(docs.select("doc_id", "lang", "source", tokens.alias("n_tokens")), MIX, leaf_path(), F.col("n_tokens"))
+    return picked.select("doc_id", "lang", "source", "n_tokens", "epoch")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sharding": op1_sharding,
         "op2_decontaminate": op2_decontaminate,
         "op3_simhash": op3_simhash,
         "op5_toxicity": op5_toxicity,
         "op6_token_files": op6_token_files,
         "op7_quality": op7_quality,
+        "op8_mixing": op8_mixing,
     }
 
 
