@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, mixing, quality, sharding, simhash, token_files, toxicity
+from . import common, decontaminate, html_extract, mixing, quality, sharding, simhash, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked.select("doc_id", "lang", "source", "n_tokens", "epoch")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_files": op6_token_files,
         "op7_quality": op7_quality,
         "op8_mixing": op8_mixing,
+        "op9_html": op9_html,
     }
 
 
