@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, html_extract, mixing, quality, sharding, simhash, token_files, toxicity
+from . import common, decontaminate, html_extract, mixing, quality, sentence_spans, sharding, simhash, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     return toxicity.report(docs, toxicity.train(docs, labels))
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_decontaminate": op2_decontaminate,
         "op3_simhash": op3_simhash,
+        "op4_sentence_spans": op4_sentence_spans,
         "op5_toxicity": op5_toxicity,
         "op6_token_files": op6_token_files,
         "op7_quality": op7_quality,
