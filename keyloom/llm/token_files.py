@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -31,8 +32,12 @@ BLOCK_IDS = 1 << 16
 #: A writer starts its next file after so many ids.
 FILE_IDS = 32 << 20
 END_ID = 2
-#: Text pieces whose ids a worker remembers, at most.
-CACHE_PIECES = 200_000
+#: Bytes of text that are tokenised at once.
+TEXT_BYTES = 2 << 20
+#: Bytes of new pieces that are encoded as one text.
+RUN_BYTES = 1 << 16
+#: Text pieces whose ids a worker remembers, about: some 30 bytes each.
+CACHE_PIECES = 800_000
 _COUNT = np.array([1] + [SELECTORS[s][0] for s in range(1, 16)])
 
 
@@ -120,9 +125,10 @@ class Writer:
         self.blocks, self.docs, self.lengths, self.held, self.n_held, self.total = [], [], [], [], 0, 0
         stream.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(-(2**63) if doc_id is None else doc_id)
-        self.lengths.append(len(ids))
+    def add(self, keys: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Documents with their ids one after the other."""
+        self.docs += [-(2**63) if k is None else k for k in keys]
+        self.lengths.append(lengths)
         self.held.append(ids)
         self.n_held += len(ids)
         self.total += len(ids)
@@ -144,7 +150,7 @@ class Writer:
     def close(self) -> None:
         self._flush(True)
         self.stream.write(np.array(self.docs, dtype="<i8").tobytes())
-        self.stream.write(np.array(self.lengths, dtype="<i8").tobytes())
+        self.stream.write(np.concatenate(self.lengths or [np.zeros(0)]).astype("<i8").tobytes())
         self.stream.write(np.array(self.blocks, dtype="<i8").reshape(-1, 3).tobytes())
         self.stream.write(struct.pack("<qqq", self.at, len(self.docs), len(self.blocks)))
         self.stream.close()
@@ -181,29 +187,8 @@ class Reader:
 
 
 _TOKENIZERS: dict[str, "Encoder"] = {}
-#: Strings beside which cuts are not certain: special tokens, the mark used for cutting, runs of white space and rarer white space.
-_ODD = ["<|", "\x00", "  ", " \n", "\n ", "\n\n", *(chr(i) for i in range(0x110000) if chr(i).isspace() and chr(i) not in " \n")]
-
-
-def _is_odd(text: str) -> bool:
-    return text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _ODD)
-
-
-class _Recent(dict):
-    """Pieces met since the last turn; those of the turn before come back when they are asked for."""
-
-    def __init__(self):
-        super().__init__()
-        self.before: dict[str, bytes] = {}
-
-    def __missing__(self, key):
-        found = self[key] = self.before[key]
-        return found
-
-    def turn(self) -> None:
-        if len(self) > CACHE_PIECES:
-            self.before = dict(self)
-            self.clear()
+#: Texts beside whose parts cuts are not certain: special tokens, the mark used for cutting, white space at an end, in runs or of a rarer kind.
+_ODD = r"<\||\x00|[ \n][ \n]|^[ \n]|[ \n]$|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class Encoder:
@@ -211,10 +196,10 @@ class Encoder:
 
     The vocabulary's pre-tokeniser always cuts before a single space that stands
     between two other characters, and on both sides of such a line break; so a
-    text without double white space is the concatenation of its pieces. Ids of
-    recent pieces are remembered; new ones are encoded together, as one text, and
-    told apart by the bytes that each token stands for. Any other text is encoded
-    by itself.
+    text without double white space is the concatenation of its pieces. A batch's
+    distinct pieces are looked up among the pieces met of late; new ones are
+    encoded together, as one text, and told apart by the bytes that each token
+    stands for. Any other text is encoded by itself.
     """
 
     def __init__(self, path: str):
@@ -222,7 +207,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = _Recent()
+        self._forget()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():  # in this vocabulary a character of a token is a byte
@@ -237,34 +222,77 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Pieces that begin with a space, run together with no more than cuts that the pre-tokeniser makes itself."""
-        ids = np.frombuffer(self._whole(["".join(fresh)])[0], dtype="<u4")
-        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in fresh])) + 1
-        raw, at = ids.tobytes(), 0
-        for p, end in zip(fresh, (4 * ends).tolist()):
-            self.known[p] = raw[at:end]
-            at = end
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
-        known.turn()
-        known[""] = b""
-        out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, x in enumerate(texts) if _is_odd(x)]
-        for i, found in zip(whole, self._whole([texts[i] for i in whole])):
-            out[i] = found
-        skip = set(whole)
-        pieces = {i: x.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") for i, x in enumerate(texts) if i not in skip}
-        fresh = set().union(*pieces.values()) - known.keys()
-        if fresh:
-            fresh = sorted(fresh - known.before.keys())
-            self._learn([p for p in fresh if p[0] == " "])
-            heads = [p for p in fresh if p[0] != " "]
-            known.update(zip(heads, self._whole(heads)))
-        for i, own in pieces.items():
-            out[i] = b"".join([known[p] for p in own])
-        return [np.frombuffer(x, dtype="<u4") for x in out]
+    def _forget(self) -> None:
+        """Remembered pieces: two hashes of each, in order of the first, and where its ids are in the pool."""
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, "<u4")
+
+    def _encode(self, pieces: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, count of ids of each piece). Pieces that begin with a space are run together with no more than cuts that the pre-tokeniser makes itself."""
+        led = first == 0x20
+        together, heads = pieces.filter(pa.array(led)), pieces.filter(pa.array(~led))
+        size = np.zeros(len(pieces), dtype=np.int32)
+        data, off = C.text_bytes(together)
+        runs = [self._whole([data[off[lo] : off[hi]].tobytes().decode()])[0] for lo, hi in C.chunks(off, RUN_BYTES)]
+        ids = np.frombuffer(b"".join(runs), dtype="<u4")
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), off[1:]) + 1 if len(ids) else off[1:]
+        size[led] = np.diff(ends, prepend=0)
+        rest = [np.frombuffer(x, "<u4") for x in self._whole(heads.to_pylist())]
+        size[~led] = [len(x) for x in rest]
+        if not rest:
+            return ids, size
+        out = np.empty(int(size.sum()), dtype="<u4")
+        out[np.repeat(led, size)] = ids
+        out[np.repeat(~led, size)] = np.concatenate(rest)
+        return out, size
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool each piece's ids begin, and how many they are."""
+        data, off = C.text_bytes(pieces)
+        prefix = C.prefix_hashes(data)
+        hashes = C.span_hashes(prefix, off[:-1], off[1:])
+        keys, checks = C.mix(hashes), (C.mix(hashes + np.uint64(77) + np.diff(off).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+        if len(self.keys) > CACHE_PIECES:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        known = (self.keys[at] == keys) & (self.checks[at] == checks) if len(self.keys) else np.zeros(len(keys), dtype=bool)
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            first = np.where(np.diff(off)[fresh] > 0, data[np.minimum(off[:-1][fresh], max(0, len(data) - 1))], 0) if len(data) else np.zeros(len(fresh))
+            ids, size = self._encode(pieces.take(pa.array(fresh)), first)
+            begin = len(self.pool) + np.cumsum(size) - size
+            self.pool = np.concatenate((self.pool, ids))
+            order = np.argsort(keys[fresh], kind="stable")
+            place = np.searchsorted(self.keys, keys[fresh][order])
+            self.keys, self.checks = np.insert(self.keys, place, keys[fresh][order]), np.insert(self.checks, place, checks[fresh][order])
+            self.begin, self.size = np.insert(self.begin, place, begin[order]), np.insert(self.size, place, size[order])
+            at = np.searchsorted(self.keys, keys)
+        return self.begin[at].astype(np.int64), self.size[at].astype(np.int64)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, bounds of each)."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD)
+        plain = pc.if_else(odd, "", texts)
+        marked = pc.replace_substring(pc.replace_substring(plain, " ", "\x00 "), "\n", "\x00\n\x00")
+        split = pc.split_pattern(marked, "\x00")
+        coded = split.flatten().dictionary_encode()
+        which = np.asarray(coded.indices)
+        begin, size = self._pieces(coded.dictionary)
+        n = size[which]
+        to = np.concatenate(([0], np.cumsum(n)))
+        place = np.repeat(begin[which] - to[:-1], n)
+        place += np.arange(to[-1])
+        flat = self.pool[place]
+        bounds = to[np.asarray(split.offsets) - split.offsets[0].as_py()]
+        if not pc.any(odd).as_py():
+            return flat, bounds
+        at = np.flatnonzero(np.asarray(odd))
+        parts = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        for i, found in zip(at.tolist(), self._whole(texts.take(pa.array(at)).to_pylist())):
+            parts[i] = np.frombuffer(found, dtype="<u4")
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", key: str = "doc_id", end_id: int | None = END_ID, n_files: int | None = None) -> DataFrame:
@@ -285,8 +313,6 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", key: s
         store, root = fs.FileSystem.from_uri(path)
         part, seq, writer, made = TaskContext.get().partitionId(), 0, None, []
         encoder = Encoder.of(tokenizer)
-        tail = np.zeros(0, "<u4") if end_id is None else np.array([end_id], "<u4")
-
         def close():
             writer.close()
             done = f"{root}/part-{part:06d}-{seq:04d}.s8b"
@@ -295,16 +321,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", key: s
 
         for batch in batches:
             keys, texts = C.column(batch, "_k").to_pylist(), C.column(batch, "_t")
-            for lo in range(0, len(keys), 256):
-                for k, ids in zip(keys[lo : lo + 256], encoder.ids([x or "" for x in texts[lo : lo + 256].to_pylist()])):
-                    if writer is None:
-                        store.create_dir(root, recursive=True)
-                        temporary = f"{root}/.{uuid.uuid4().hex}"
-                        writer = Writer(store.open_output_stream(temporary))
-                    writer.add(k, np.concatenate((ids, tail)))
-                    if writer.total >= FILE_IDS:
-                        close()
-                        writer, seq = None, seq + 1
+            _, off = C.text_bytes(texts)
+            for lo, hi in C.chunks(off, TEXT_BYTES):
+                ids, bounds = encoder.ids(texts[lo:hi])
+                if end_id is not None:
+                    ids, bounds = np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
+                if writer is None:
+                    store.create_dir(root, recursive=True)
+                    temporary = f"{root}/.{uuid.uuid4().hex}"
+                    writer = Writer(store.open_output_stream(temporary))
+                writer.add(keys[lo:hi], ids, np.diff(bounds))
+                if writer.total >= FILE_IDS:
+                    close()
+                    writer, seq = None, seq + 1
         if writer is not None:
             close()
         yield pa.RecordBatch.from_pydict({x: [m[i] for m in made] for i, x in enumerate(("part", "seq", "file", "n_docs", "n_ids"))}, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
