@@ -12,6 +12,7 @@ pairs, and components are found by star contraction.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +24,16 @@ from pyspark.sql import DataFrame, functions as F
 from . import common as C
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
+#: near_duplicates(): words of a shingle, least similarity, 64-bit words of the fingerprint, bands and bits of each.
+WORDS, SIMILARITY, WIDE, BANDS, BAND_BITS = 5, 0.8, 4, 48, 18
+#: Similarity whose expected distance is still taken for a link: fingerprints estimate it with an error of some 0.03.
+SLACK = 0.03
 #: Reference fingerprints of the pivot table.
 PIVOTS = 32
 #: A larger bucket is dealt out again by blocks of the remaining bits.
 BUCKET_ROWS = 2000
 #: Pairs of a bucket that are compared at once.
 STRIP_PAIRS = 1 << 20
-_REFERENCES = np.random.default_rng(7).integers(0, 2**64, PIVOTS, dtype=np.uint64)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -62,49 +66,75 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     return rows.mapInArrow(work, f"_k {rows.schema['_k'].dataType.simpleString()}, fp long").withColumnRenamed("_k", key)
 
 
+def _references(words: int) -> np.ndarray:
+    return np.random.default_rng(7).integers(0, 2**64, (PIVOTS, words), dtype=np.uint64)
+
+
 def pivot_table(fps: np.ndarray) -> np.ndarray:
-    """Hamming distance of each fingerprint to each reference."""
-    return np.bitwise_count(fps[:, None] ^ _REFERENCES[None, :]).astype(np.int8)
+    """Hamming distance of each fingerprint (a row of 64-bit words) to each reference."""
+    out = np.zeros((len(fps), PIVOTS), dtype=np.int16)
+    for w in range(fps.shape[1]):
+        out += np.bitwise_count(fps[:, w, None] ^ _references(fps.shape[1])[None, :, w])
+    return out
+
 
+def bucket_links(fps: np.ndarray, radius: int, sizes: np.ndarray | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) indices of a bucket's fingerprints that link them into their components; roots are left out.
 
-def bucket_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, root) for each of a bucket's distinct fingerprints but the roots of its components."""
+    With sizes, a link also needs the smaller of both to be `least` of the larger
+    at least. Rows are taken in strips and compared with those that are not in
+    their component yet, so a bucket of copies of one text costs one strip.
+    """
     n = len(fps)
+    label = np.arange(n)
     if n < 2:
-        return fps[:0], fps[:0]
-    fps = np.sort(fps)
-    table = pivot_table(fps) if n > 8 else None
-    if table is not None:  # along the first coordinate, partners lie in a narrow range
-        order = np.argsort(table[:, 0], kind="stable")
-        fps, table = fps[order], table[order]
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+        return label[:0], label[:0]
+    table = pivot_table(fps) if n > 8 else np.zeros((n, 0), dtype=np.int16)
+    order = np.argsort(table[:, 0], kind="stable") if n > 8 else np.arange(n)
+    fps, table = fps[order], table[order]
+    sizes = sizes[order] if sizes is not None else None
     hi = 0
     while hi < n:
         lo, hi = hi, min(n, hi + max(1, STRIP_PAIRS // n))
-        end = n if table is None else int(np.searchsorted(table[:, 0], table[hi - 1, 0] + radius, "right"))
-        i, j = np.nonzero(np.ones((hi - lo, end - lo), dtype=bool)) if table is None else np.nonzero(np.abs(table[lo:hi, None, 0] - table[None, lo:end, 0]) <= radius)
-        ahead = i < j
-        i, j = i[ahead] + lo, j[ahead] + lo
-        for c in range(1, PIVOTS if table is not None else 0):
-            near = np.abs(table[i, c] - table[j, c]) <= radius
+        # along the first coordinate, partners lie in a narrow range
+        end = int(np.searchsorted(table[:, 0], table[hi - 1, 0] + radius, "right")) if table.shape[1] else n
+        main = np.bincount(label[lo:end]).argmax()
+        rows, cols = np.arange(lo, hi), np.arange(lo, end)
+        other = cols[label[cols] != main]
+        pairs = [(rows[label[rows] == main], other), (rows[label[rows] != main], cols)]
+        for x, y in pairs:
+            if not len(x) or not len(y):
+                continue
+            i, j = (v.ravel() for v in np.meshgrid(x, y, indexing="ij"))
+            own = label[i] != label[j]
+            i, j = i[own], j[own]
+            for c in range(table.shape[1]):
+                if len(i) < 1024:
+                    break
+                near = np.abs(table[i, c] - table[j, c]) <= radius
+                i, j = i[near], j[near]
+            distance = np.zeros(len(i), dtype=np.int64)
+            for w in range(fps.shape[1]):
+                distance += np.bitwise_count(fps[i, w] ^ fps[j, w])
+            near = distance <= radius
             i, j = i[near], j[near]
-            if len(i) < 4096:
-                break
-        near = np.bitwise_count(fps[i] ^ fps[j]) <= radius
-        for a, b in zip(i[near].tolist(), j[near].tolist()):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    roots = np.array([root(i) for i in range(n)])
-    own = roots != np.arange(n)
-    return fps[own], fps[roots[own]]
+            if sizes is not None:
+                near = np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j])
+                i, j = i[near], j[near]
+            while len(i):  # join components, the smaller label wins
+                a, b = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+                low = np.arange(n)
+                np.minimum.at(low, b, a)
+                while True:
+                    deeper = low[low]
+                    if (deeper == low).all():
+                        break
+                    low = deeper
+                label = low[label]
+                own = label[i] != label[j]
+                i, j = i[own], j[own]
+    member = np.flatnonzero(label != np.arange(n))
+    return order[member], order[label[member]]
 
 
 def _blocks(bits: list[int], k: int) -> list[list[int]]:
@@ -155,9 +185,10 @@ def _linked(fps: np.ndarray, bounds: list[int], radius: int) -> pd.DataFrame:
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lo, hi in zip(bounds[:-1], bounds[1:]):
         if hi - lo > 1:
-            x, y = bucket_links(np.unique(fps[lo:hi]).view(np.uint64), radius)
-            a.append(x.view(np.int64))
-            b.append(y.view(np.int64))
+            own = np.unique(fps[lo:hi])
+            x, y = bucket_links(own.view(np.uint64)[:, None], radius)
+            a.append(own[x])
+            b.append(own[y])
     return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
@@ -206,3 +237,112 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, fingerprint as 16 hex digits and component_id."""
     return classes(docs, **options).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def expected_distance(similarity: float, bits: int) -> int:
+    """Bits in which SimHash fingerprints of two sets of that Jaccard similarity differ, rounded: they are at an angle whose cosine is 2j / (1 + j)."""
+    return round(math.acos(2 * similarity / (1 + similarity)) / math.pi * bits)
+
+
+def wide_fingerprints(docs: DataFrame, text: str, key: str, shingle: int, words: int = WIDE) -> DataFrame:
+    """(_k, node, size, f0, f1, ...): node is a hash of the normalised words, size the number of distinct shingles."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = C.text_bytes(C.column(batch, "_t"))
+            for lo, hi in C.chunks(off):
+                own, o = C.LOWER[data[off[lo] : off[hi]]], off[lo : hi + 1] - off[lo]
+                start, end, doc = C.tokens(own, o, C.IN_WORD)
+                hashes = C.mix(C.span_hashes(C.prefix_hashes(own), start, end))
+                first = np.searchsorted(doc, np.arange(len(o)))
+                at, grams = C.run_hashes(hashes, doc, shingle)
+                bounds = np.searchsorted(at, first)
+                node, size, fps = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.int32), np.zeros((hi - lo, words), np.uint64)
+                for d in range(hi - lo):
+                    seq = hashes[first[d] : first[d + 1]]
+                    if not len(seq):
+                        continue
+                    node[d] = xxhash.xxh64_intdigest(seq.tobytes())
+                    own_grams = np.unique(grams[bounds[d] : bounds[d + 1]]) if len(seq) >= shingle else node[d : d + 1]
+                    size[d] = len(own_grams)
+                    for w in range(words):
+                        ones = np.unpackbits(C.mix(own_grams + np.uint64(w * 0x9E3779B9 + 1)).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+                        fps[d, w] = int.from_bytes(np.packbits(2 * ones > len(own_grams)).tobytes(), "big")
+                cols = [pa.array(node.view(np.int64)), pa.array(size), *(pa.array(np.ascontiguousarray(fps[:, w]).view(np.int64)) for w in range(words))]
+                yield pa.RecordBatch.from_arrays([C.column(batch, "_k")[lo:hi], *cols], ["_k", "node", "size", *(f"f{w}" for w in range(words))])
+
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    return rows.mapInArrow(work, f"_k {rows.schema['_k'].dataType.simpleString()}, node long, size int, " + ", ".join(f"f{w} long" for w in range(words)))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = WORDS, similarity: float = SIMILARITY, words: int = WIDE, bands: int = BANDS, band_bits: int = BAND_BITS) -> DataFrame:
+    """(key, component_id) for documents whose sets of word shingles are similar: component_id is the smallest key reachable.
+
+    Sets of a similarity of 0.8 differ in some 15 % of their fingerprints' bits,
+    too many for disjoint blocks of 64 bits. So fingerprints are wider here, and
+    buckets are of bands: fixed random choices of band_bits of their bits. A pair
+    at the least similarity meets in a bucket with a probability of about 0.92, one
+    at 0.85 of 0.98. In a bucket, pairs within the expected distance of
+    similarity - SLACK are linked if their sizes allow that similarity. Texts of
+    the same words are one node; texts without words are one as well.
+    """
+    fps = C.written(wide_fingerprints(docs, text, key, shingle, words), "fingerprints")
+    names = [f"f{w}" for w in range(words)]
+    nodes = C.written(fps.groupBy("node").agg(F.min("_k").alias("least"), F.first("size").alias("size"), *(F.first(f).alias(f) for f in names)), "nodes")
+    radius = expected_distance(similarity - SLACK, 64 * words)
+    rng = np.random.default_rng(2024)
+    choices = np.stack([rng.choice(64 * words, band_bits, replace=False) for _ in range(bands)])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                own = np.stack([np.asarray(C.column(part, f)) for f in names], axis=1)
+                bits = np.unpackbits(np.ascontiguousarray(own).view(np.uint8).reshape(len(own), -1), axis=1)
+                weight = (1 << np.arange(band_bits)).astype(np.int64)
+                keys = np.concatenate([bits[:, c].astype(np.int64) @ weight | n << band_bits for n, c in enumerate(choices)])
+                which = pa.array(np.tile(np.arange(len(own)), bands))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(C.column(part, c).take(which) for c in ["node", "size", *names])], ["key", "node", "size", *names])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = np.asarray(C.column(batch, "key"))
+            cut = int(np.searchsorted(keys, keys[-1], "left"))
+            if held and np.asarray(C.column(held[-1], "key"))[-1] != keys[-1]:
+                yield buckets([*held, batch.slice(0, cut)])
+                held = []
+            elif not held and cut:
+                yield buckets([batch.slice(0, cut)])
+            held.append(batch.slice(cut) if not held else batch)
+        if held:
+            yield buckets(held)
+
+    def buckets(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        keys, node, size = (np.asarray(table[c]) for c in ("key", "node", "size"))
+        own = np.stack([np.asarray(table[f]) for f in names], axis=1).view(np.uint64)
+        bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            if hi - lo > 1:
+                x, y = bucket_links(own[lo:hi], radius, size[lo:hi], similarity)
+                a.append(node[lo + x])
+                b.append(node[lo + y])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    kinds = "node long, size int, " + ", ".join(f"{f} long" for f in names)
+    dealt = nodes.filter("size > 0").select("node", "size", *names).mapInArrow(deal, "key long, " + kinds)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
+    roots = components(edges)
+    named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    label = C.written(named.join(ids, "root").select("node", "component_id"), "labels")
+    return fps.select("_k", "node").join(label, "node").select(F.col("_k").alias(key), "component_id")
+
+
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """docs without those that are near-duplicates of a document of a smaller key. Rows of the key that stays stay; so do rows of a null key."""
+    found = C.written(near_duplicates(docs, text, key, **options).filter(F.col(key) > F.col("component_id")).select(F.col(key).alias("_gone")).distinct(), "duplicates")
+    return docs.join(found, docs[key] == found["_gone"], "left_anti")
