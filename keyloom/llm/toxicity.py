@@ -188,11 +188,12 @@ def _scored(df: DataFrame, model: Model, text: str, name: str, raw: bool) -> Dat
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
     """Count all labelled rows of folds 2 to 4, and calibrate on at most CALIBRATION_ROWS of fold 1; fold 0 is never read.
 
+    Labels grow with the corpus, so both sides of their join are shuffled at any size.
     Null labels, keys and texts are passed over; of one label only, the score is constant.
     """
     known = labels.filter(F.col(label).isNotNull() & (fold(key) > 0)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
     rows = docs.filter(F.col(text).isNotNull() & F.col(key).isNotNull() & (fold(key) > 0)).select(F.col(key).alias("_k"), F.col(text).alias("_t"), fold(key).alias("_f"))
-    model = estimate(count(rows.filter("_f > 1").join(known, "_k").select("_t", "_y")))
+    model = estimate(count(rows.filter("_f > 1").join(known.hint("merge"), "_k").select("_t", "_y")))
     some = known.filter(fold("_k") == 1).withColumn("_o", F.xxhash64(F.col("_k").cast("string"), F.lit(5))).orderBy("_o", "_k").limit(CALIBRATION_ROWS).select("_k", "_y")
     held = rows.filter("_f = 1").join(F.broadcast(some), "_k").select("_k", "_y", "_t")
     got = _scored(held, model, "_t", "z", True).orderBy("_k").select("_y", "z").toArrow()
