@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -45,12 +47,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished steps: they go once their handles are collected."""
-    import gc
+def discard(df: DataFrame) -> None:
+    """Delete a table of written() that no later step reads."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of finished steps: they go once their handles are collected, a moment later."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

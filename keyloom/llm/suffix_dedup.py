@@ -4,7 +4,8 @@ A suffix array over a whole corpus would hold a suffix for each byte. Instead
 each window of SPAN bytes names an anchor, the smallest of the hashes of its
 GRAM-byte substrings (leftmost among equals). Equal windows have equal anchors
 at equal offsets, so a window can only repeat if its anchor does, and anchors
-that occur once in the corpus are dropped by one aggregation and one join. The
+that occur once in the corpus are dropped by one aggregation and one join, and
+so are anchors that always stand in the same context: their copies go whole. The
 rest are sorted as suffixes, anchor by anchor: comparisons find the common
 extension of two suffixes by binary search on prefix polynomial hashes, in a
 mergesort that runs over all anchors of a chunk at once; common prefixes of
@@ -12,7 +13,7 @@ neighbours are then verified on the bytes. Neighbours with enough in common to
 the right, and equal hashes to the left, are equal windows, of which all but the
 first go; what is equal to the left is verified on the bytes, too.
 
-Anchors met more than HOT times would make one large group; their windows are
+Anchors in more than HOT contexts would make one large group; their windows are
 compared by 128-bit hashes in an aggregation and a join instead, which Spark
 combines before the shuffle and can split.
 """
@@ -36,6 +37,8 @@ HOT = 20_000
 SORT_ROWS = 40_000
 #: Anchors are chosen by the upper half of their hashes; the lower half holds the position, which decides between equals.
 _AT = (1 << 32) - 1
+#: Bytes of text whose anchors are found, and whose contexts are cut out, at once.
+ANCHOR_BYTES, CONTEXT_BYTES = 1 << 20, 1 << 18
 NULL_KEY = -(2**63)
 
 
@@ -85,19 +88,21 @@ def _marks(data: np.ndarray, off: np.ndarray, prefix: np.ndarray) -> np.ndarray:
 
 
 def anchors(rows: DataFrame) -> DataFrame:
-    """(h, k, x): every anchor of every document (_k key, _t text)."""
+    """(h, g, k, x): every anchor of every document (_kl_k key, _kl_t text); g is a hash of all its windows together, its context."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = C.text_bytes(C.column(batch, "_t"))
-            keys = np.asarray(C.column(batch, "_k"))
-            for lo, hi in C.chunks(off):
+            data, off = C.text_bytes(C.column(batch, "_kl_t"))
+            keys = np.asarray(C.column(batch, "_kl_k"))
+            for lo, hi in C.chunks(off, ANCHOR_BYTES):
                 raw, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 a = Anchors(raw, o)
                 x = pack(a.at - o[a.doc], a.first - o[a.doc], a.last - o[a.doc], _marks(raw, o, a.prefix)[a.doc])
-                yield pa.RecordBatch.from_arrays([pa.array(a.hash.view(np.int64)), pa.array(keys[lo + a.doc]), pa.array(x)], ["h", "k", "x"])
+                shape = ((a.at - a.first) * 128 + a.last - a.first).astype(np.uint64)
+                g = C.mix(C.span_hashes(a.prefix, a.first, a.last + SPAN) + C.mix(shape))
+                yield pa.RecordBatch.from_arrays([pa.array(a.hash.view(np.int64)), pa.array(g.view(np.int64)), pa.array(keys[lo + a.doc]), pa.array(x)], ["h", "g", "k", "x"])
 
-    return rows.mapInArrow(work, "h long, k long, x long")
+    return rows.mapInArrow(work, "h long, g long, k long, x long")
 
 
 _CONTEXTS = T.StructType(
@@ -113,17 +118,16 @@ def _record(kind: int, h, g, k, x, y, c=None) -> pa.RecordBatch:
 
 
 def contexts(rows: DataFrame) -> DataFrame:
-    """Of documents with repeated anchors (_a: their x, _s: whether each is hot, _h): rows of three kinds.
+    """Of the documents' listed anchors (_a: their x, _s: whether each is hot, _h): rows of two kinds.
 
-    0: bytes x to y of document k go. 1: a suffix to sort, c its anchor's windows. 2: a window at x of a hot anchor, h and g its hash.
-    Of equal contexts in a batch, all but the first are of kind 0 at once: so however often a passage occurs, it is sent once for each batch.
+    1: a suffix to sort, c its anchor's windows. 2: a window at x of a hot anchor, h and g its hash.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = C.text_bytes(C.column(batch, "_t"))
-            keys = np.asarray(C.column(batch, "_k"))
-            for lo, hi in C.chunks(off):
+            data, off = C.text_bytes(C.column(batch, "_kl_t"))
+            keys = np.asarray(C.column(batch, "_kl_k"))
+            for lo, hi in C.chunks(off, CONTEXT_BYTES):
                 raw, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 prefix = C.prefix_hashes(raw)
                 marks = _marks(raw, o, prefix)
@@ -135,25 +139,16 @@ def contexts(rows: DataFrame) -> DataFrame:
                 order = np.lexsort((x, keys[lo + doc]))
                 x, doc, h, hot = x[order], doc[order], h[order], hot[order]
                 at, left, n = unpack(x)
-                k, mark, begin = keys[lo + doc], marks[doc] << 46, o[doc] + at - left
-                a, b = C.mix(C.span_hashes(prefix, begin, begin + n - 1 + SPAN)), begin + n - 1 + SPAN
-                both = C.mix(a ^ C.mix(h.view(np.uint64) + (left * 128 + n).astype(np.uint64)))
-                half = C.span_hashes(prefix, begin, begin + SPAN // 2)
-                _, first, inverse = np.unique(both, return_index=True, return_inverse=True)
-                new = half != half[first[inverse]]
-                new[first] = True
-                p = at - left
-                old = ~new
-                if old.any():
-                    yield _record(0, None, None, k[old], mark[old] | p[old], (p + n - 1 + SPAN)[old])
-                cold = np.flatnonzero(new & (hot == 0))
+                k, mark, begin, p = keys[lo + doc], marks[doc] << 46, o[doc] + at - left, at - left
+                b = begin + n - 1 + SPAN
+                cold = np.flatnonzero(hot == 0)
                 if len(cold):
                     size = (b - begin)[cold]
                     ends = np.cumsum(size)
-                    bytes_ = raw[np.repeat(begin[cold] - (ends - size), size) + np.arange(int(ends[-1]))]
+                    bytes_ = raw[np.repeat((begin[cold] - (ends - size)).astype(np.int32), size) + np.arange(int(ends[-1]), dtype=np.int32)]
                     c = pa.BinaryArray.from_buffers(pa.binary(), len(cold), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(bytes_.tobytes())])
                     yield _record(1, h[cold], None, k[cold], x[cold], None, c)
-                warm = np.flatnonzero(new & (hot != 0))
+                warm = np.flatnonzero(hot != 0)
                 if len(warm):
                     which = np.repeat(warm, n[warm])
                     step = np.arange(len(which)) - np.repeat(np.cumsum(n[warm]) - n[warm], n[warm])
@@ -339,30 +334,47 @@ def sort_suffixes(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "k long, x long, y long")
 
 
-def removed(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(docs as _k, _t and their other columns; _k and `_gone`: the ranges to remove, with the mark of the row's text)."""
+def removed(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:
+    """docs with _kl_k, _kl_t and the ranges to remove: _kl_x (start, with the mark of the row's text) and _kl_y (end).
+
+    Contexts of one anchor are compared by hash first: of equal ones all but the
+    first go whole. Only anchors with several contexts are sorted, by the first
+    of each.
+    """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.withColumns({"_k": F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)), "_t": F.coalesce(F.col(text), F.lit(""))})
-    found = C.written(anchors(rows.select("_k", "_t")), "anchors")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", (F.col("n") > hot).cast("int").alias("s"))
-    again = C.written(again, "repeated-anchors")
-    C.release_shuffles(spark)
-    places = found.join(again.hint("merge"), "h").groupBy("k").agg(F.collect_list(F.struct("x", "h", "s")).alias("a"))
-    places = C.written(places.select("k", F.col("a.x").alias("_a"), F.col("a.h").alias("_h"), F.col("a.s").alias("_s")), "anchor-places")
-    C.release_shuffles(spark)
-    parts = C.written(contexts(rows.select("_k", "_t").join(places.hint("merge"), F.col("_k") == F.col("k")).select("_k", "_t", "_a", "_h", "_s")), "contexts")
-    C.release_shuffles(spark)
-    done = parts.filter("kind = 0").select("k", "x", "y")
-    cold = sort_suffixes(parts.filter("kind = 1").select("h", "k", "x", "c").repartition(n, "h").sortWithinPartitions("h"))
-    windows = parts.filter("kind = 2").select("h", "g", "k", "x")
-    first = windows.groupBy("h", "g").agg(F.min(F.struct("k", "x")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    warm = windows.join(first, ["h", "g"]).filter(F.struct("k", "x") > F.col("first")).select("k", "x", (F.col("x").bitwiseAND(F.lit((1 << 46) - 1)) + SPAN).alias("y"))
-    ranges = done.unionByName(cold).unionByName(warm)
-    gone = C.written(ranges.groupBy("k").agg(F.collect_list(F.struct("x", "y")).alias("_r")), "removed-ranges")
-    C.release_shuffles(spark)
-    gone = gone.select("k", F.col("_r.x").alias("_x"), F.col("_r.y").alias("_y"))
-    return rows.join(gone.hint("merge"), F.col("_k") == F.col("k"), "left").drop("k"), gone
+    rows = docs.withColumns({"_kl_k": F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)), "_kl_t": F.coalesce(F.col(text), F.lit(""))})
+    scan = rows.select("_kl_k", "_kl_t")
+
+    def step(df: DataFrame, name: str, *read: DataFrame) -> DataFrame:
+        """Write df; then drop the tables that only it read, and its shuffles."""
+        out = C.written(df, name)
+        for table in read:
+            C.discard(table)
+        C.release_shuffles(spark)
+        return out
+
+    again = step(anchors(scan).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeated-anchors")
+    places = step(anchors(scan).join(again.hint("merge"), "h"), "anchor-places", again)
+    first = F.min(F.struct("k", "x")).alias("first")
+    firsts = step(places.groupBy("h", "g").agg(first, F.count("*").alias("n")).select("h", "g", F.col("first.k").alias("k0"), F.col("first.x").alias("x0"), "n"), "contexts")
+    start = F.shiftrightunsigned("x", 14).bitwiseAND(F.lit(0xFFFFFFFF)) - F.shiftrightunsigned("x", 7).bitwiseAND(F.lit(127))
+    mark = F.shiftleft(F.shiftright("x", 46), 46)
+    copies = places.join(firsts.filter("n > 1").drop("n").hint("merge"), ["h", "g"]).filter("k > k0 OR k = k0 AND x > x0")
+    copies = copies.select("k", (mark + start).alias("x"), (start + F.col("x").bitwiseAND(F.lit(127)) + SPAN).alias("y"))
+    done = step(copies.groupBy("k").agg(F.collect_list(F.struct("x", "y")).alias("_r")), "copies", places)
+    several = firsts.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h", (F.col("m") > hot).cast("int").alias("s"))
+    listed = firsts.join(several.hint("merge"), "h").groupBy("k0").agg(F.collect_list(F.struct("x0", "h", "s")).alias("a"))
+    listed = step(listed.select("k0", F.col("a.x0").alias("_a"), F.col("a.h").alias("_h"), F.col("a.s").alias("_s")), "listed", firsts)
+    found = step(contexts(scan.join(listed.hint("merge"), F.col("_kl_k") == F.col("k0")).select("_kl_k", "_kl_t", "_a", "_h", "_s")), "suffixes", listed)
+    cold = sort_suffixes(found.filter("kind = 1").select("h", "k", "x", "c").repartition(n, "h").sortWithinPartitions("h"))
+    windows = found.filter("kind = 2").select("h", "g", "k", "x")
+    firsts = windows.groupBy("h", "g").agg(first, F.count("*").alias("n")).filter("n > 1").drop("n")
+    warm = windows.join(firsts, ["h", "g"]).filter(F.struct("k", "x") > F.col("first")).select("k", "x", (F.col("x").bitwiseAND(F.lit((1 << 46) - 1)) + SPAN).alias("y"))
+    more = cold.unionByName(warm).groupBy("k").agg(F.collect_list(F.struct("x", "y")).alias("_r"))
+    gone = step(done.unionByName(more).groupBy("k").agg(F.flatten(F.collect_list("_r")).alias("_r")), "removed-ranges", done, found)
+    gone = gone.select("k", F.col("_r.x").alias("_kl_x"), F.col("_r.y").alias("_kl_y"))
+    return rows.join(gone.hint("merge"), F.col("_kl_k") == F.col("k"), "left").drop("k")
 
 
 _DIGEST = T.StructType([T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
@@ -377,18 +389,18 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", hot:
     added = _DIGEST.fields if keep_bytes else _DIGEST.fields[:4]
     names = [x for x in docs.columns if x not in {f.name for f in added}]
     docs = docs.select(*[F.col(f"`{x}`") for x in names])
-    rows, _ = removed(docs, text, key, hot)
+    rows = removed(docs, text, key, hot)
     out = [x for x in names if x != text]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = C.text_bytes(C.column(batch, "_t"))
+            data, off = C.text_bytes(C.column(batch, "_kl_t"))
             for lo, hi in C.chunks(off):
                 raw, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 marks = _marks(raw, o, C.prefix_hashes(raw))
                 step = np.zeros(len(raw) + 1, dtype=np.int64)
                 part = batch.slice(lo, hi - lo)
-                x, y = C.column(part, "_x"), C.column(part, "_y")
+                x, y = C.column(part, "_kl_x"), C.column(part, "_kl_y")
                 doc = np.repeat(np.arange(hi - lo), np.nan_to_num(np.asarray(x.value_lengths().fill_null(0))).astype(np.int64))
                 x, y = np.asarray(x.flatten()).astype(np.int64), np.asarray(y.flatten()).astype(np.int64)
                 own = (x >> 46) == marks[doc]
