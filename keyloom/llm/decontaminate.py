@@ -82,9 +82,9 @@ class Grams:
 #: What scanning adds; the names are reserved and must not be columns of the documents.
 FOUND = T.StructType(
     [
-        T.StructField("_n_words", T.LongType()),
-        T.StructField("_runs", T.ArrayType(T.StructType([T.StructField(x, T.IntegerType()) for x in ("start", "end", "words")]))),
-        T.StructField("_items", T.ArrayType(T.StringType())),
+        T.StructField("_kl_n_words", T.LongType()),
+        T.StructField("_kl_runs", T.ArrayType(T.StructType([T.StructField(x, T.IntegerType()) for x in ("start", "end", "words")]))),
+        T.StructField("_kl_items", T.ArrayType(T.StringType())),
     ]
 )
 
@@ -102,7 +102,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[l
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with `_n_words`, `_runs` (byte runs hit by verified windows) and `_items` (items found).
+    """docs with `_kl_n_words`, `_kl_runs` (byte runs hit by verified windows) and `_kl_items` (items found).
 
     Null and empty texts have no words and no hits; an empty benchmark hits
     nothing; items without words are ignored; repeated rows are judged alike.
@@ -111,16 +111,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     stays bounded for any benchmark.
     """
     spark = docs.sparkSession
-    names = docs.columns
+    names = [x for x in docs.columns if x not in FOUND.names]
+    docs = docs.select(*[F.col(f"`{x}`") for x in names])
     found = None
     for k, own in enumerate(_blocks(benchmark, item, item_text, block_bytes)):
         shared = spark.sparkContext.broadcast(Grams(own, window))
-        found = _scanned(docs if found is None else C.written(found, f"scanned-{k}"), shared, text, names)
+        found = _scanned(docs if found is None else C.written(found, f"scanned-{k}"), shared, text, names, found is not None)
     return found if found is not None else _scanned(docs, spark.sparkContext.broadcast(Grams([])), text, names)
 
 
-def _scanned(df: DataFrame, shared, text: str, names: list[str]) -> DataFrame:
-    again = "_runs" in df.columns
+def _scanned(df: DataFrame, shared, text: str, names: list[str], again: bool = False) -> DataFrame:
     schema = T.StructType([df.schema[x] for x in names] + FOUND.fields)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +135,7 @@ def _scanned(df: DataFrame, shared, text: str, names: list[str]) -> DataFrame:
                     runs.append(r)
                     items.append(i)
                 if again:
-                    for k, (r, i) in enumerate(zip(C.column(batch, "_runs")[lo:hi].to_pylist(), C.column(batch, "_items")[lo:hi].to_pylist())):
+                    for k, (r, i) in enumerate(zip(C.column(batch, "_kl_runs")[lo:hi].to_pylist(), C.column(batch, "_kl_items")[lo:hi].to_pylist())):
                         if i:
                             runs[k] = _joined(data[off[lo + k] : off[lo + k + 1]], runs[k] + [(x["start"], x["end"], x["words"]) for x in r])
                             items[k] = sorted({*items[k], *i})
@@ -160,17 +160,17 @@ def _joined(raw: np.ndarray, runs: list[tuple[int, int, int]]) -> list[tuple[int
 
 
 def _hits():
-    return F.aggregate("_runs", F.lit(0).cast("long"), lambda acc, r: acc + r["words"])
+    return F.aggregate("_kl_runs", F.lit(0).cast("long"), lambda acc, r: acc + r["words"])
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated in place of the scan's columns."""
-    out = scan(docs, benchmark, **options)
+    out = scan(docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated"), benchmark, **options)
     return (
-        out.withColumn("n_words", F.col("_n_words"))
+        out.withColumn("n_words", F.col("_kl_n_words"))
         .withColumn("n_hit", _hits())
-        .withColumn("n_items", F.size("_items").cast("long"))
-        .withColumn("items_sha256", F.sha2(F.array_join("_items", ","), 256))
+        .withColumn("n_items", F.size("_kl_items").cast("long"))
+        .withColumn("items_sha256", F.sha2(F.array_join("_kl_items", ","), 256))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
         .drop(*FOUND.names)
     )
@@ -181,13 +181,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, spans: bool = False, t
     out = scan(docs, benchmark, text=text, **options)
     if not spans:
         hit = _hits()
-        return out.filter(~((hit > 0) & (SHARE * hit >= F.col("_n_words")))).drop(*FOUND.names)
+        return out.filter(~((hit > 0) & (SHARE * hit >= F.col("_kl_n_words")))).drop(*FOUND.names)
     names, schema = docs.columns, docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = C.column(batch, text).to_pylist()
-            for k, runs in enumerate(C.column(batch, "_runs").to_pylist()):
+            for k, runs in enumerate(C.column(batch, "_kl_runs").to_pylist()):
                 if runs:
                     raw, at, kept = texts[k].encode(), 0, []
                     for r in runs:

@@ -73,7 +73,7 @@ def select(docs: DataFrame, mix: Mix, path: list[Column], tokens: Column, key: s
 
     A leaf's prefix ends with the row that reaches its budget. Null path parts
     are a branch of their own; rows of no tokens come along where they fall
-    within the prefix; equal rows take part each by itself. Rows are ordered in
+    within the prefix, and a leaf without tokens gives nothing; equal rows take part each by itself. Rows are ordered in
     an epoch by a seeded hash of key and then of tokens. The tree of leaves (not
     of rows) is budgeted on the driver and may have `most_leaves` leaves.
 
@@ -82,11 +82,12 @@ def select(docs: DataFrame, mix: Mix, path: list[Column], tokens: Column, key: s
     falls; that part alone is sorted.
     """
     spark = docs.sparkSession
+    docs = docs.drop("epoch")
     names = docs.columns
     depth = len(path)
-    rows = docs.withColumns({f"_p{i}": p for i, p in enumerate(path)} | {"_n": F.coalesce(tokens.cast("long"), F.lit(0))})
-    parts = [f"_p{i}" for i in range(depth)]
-    sums = rows.groupBy(*parts).agg(F.sum("_n").alias("n")).limit(most_leaves + 1).toArrow().to_pylist()
+    rows = docs.withColumns({f"_kl_p{i}": p for i, p in enumerate(path)} | {"_kl_n": F.coalesce(tokens.cast("long"), F.lit(0))})
+    parts = [f"_kl_p{i}" for i in range(depth)]
+    sums = rows.groupBy(*parts).agg(F.sum("_kl_n").alias("n")).limit(most_leaves + 1).toArrow().to_pylist()
     if len(sums) > most_leaves:
         raise ValueError(f"more than {most_leaves} leaves")
     offers = {tuple(r[p] for p in parts): r["n"] for r in sums}
@@ -99,20 +100,20 @@ def select(docs: DataFrame, mix: Mix, path: list[Column], tokens: Column, key: s
             if rest > 0:
                 todo.append((*leaf, e, int(rest), bool(rest >= n)))
     kinds = ", ".join(f"{p} {dict(rows.dtypes)[p]}" for p in parts)
-    plan = spark.createDataFrame(todo, f"{kinds}, epoch int, _budget long, _all boolean")
+    plan = spark.createDataFrame(todo, f"{kinds}, epoch int, _kl_budget long, _kl_all boolean")
     match = [F.col(f"r.{p}").eqNullSafe(F.col(f"b.{p}")) for p in parts]
-    taken = rows.alias("r").join(plan.alias("b"), match).select(*[F.col(f"r.`{c}`") for c in names], *[F.col(f"r.{p}") for p in parts], "_n", "epoch", "_budget", "_all")
-    taken = taken.withColumn("_o", F.xxhash64(F.lit(mix.seed), F.col("epoch"), F.col(key), F.col("_n"))).withColumn("_b", F.shiftrightunsigned("_o", 54))
-    whole, cut = taken.filter("_all"), taken.filter("NOT _all")
+    taken = rows.alias("r").join(plan.alias("b"), match).select(*[F.col(f"r.`{c}`") for c in names], *[F.col(f"r.{p}") for p in parts], "_kl_n", "epoch", "_kl_budget", "_kl_all")
+    taken = taken.withColumn("_kl_o", F.xxhash64(F.lit(mix.seed), F.col("epoch"), F.col(key), F.col("_kl_n"))).withColumn("_kl_b", F.shiftrightunsigned("_kl_o", 54))
+    whole, cut = taken.filter("_kl_all"), taken.filter("NOT _kl_all")
     leaf = [*parts, "epoch"]
-    sizes = cut.groupBy(*leaf, "_b", "_budget").agg(F.sum("_n").alias("s"))
-    upto = Window.partitionBy(*leaf).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = C.written(sizes.withColumn("_before", F.coalesce(F.sum("s").over(upto), F.lit(0))).filter(F.col("_before") < F.col("_budget")), "mix-parts").drop("_budget")
-    on = [F.col(f"r.{p}").eqNullSafe(F.col(f"b.{p}")) for p in [*leaf, "_b"]]
-    some = cut.alias("r").join(sizes.alias("b"), on).select("r.*", "b.s", "b._before")
-    inside = some.filter(F.col("_before") + F.col("s") <= F.col("_budget"))
-    edge = some.filter(F.col("_before") + F.col("s") > F.col("_budget"))
-    run = Window.partitionBy(*leaf, "_b").orderBy("_o", key).rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("_run", F.coalesce(F.sum("_n").over(run), F.lit(0))).filter(F.col("_before") + F.col("_run") < F.col("_budget"))
+    sizes = cut.groupBy(*leaf, "_kl_b", "_kl_budget").agg(F.sum("_kl_n").alias("_kl_s"))
+    upto = Window.partitionBy(*leaf).orderBy("_kl_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = C.written(sizes.withColumn("_kl_before", F.coalesce(F.sum("_kl_s").over(upto), F.lit(0))).filter(F.col("_kl_before") < F.col("_kl_budget")), "mix-parts").drop("_kl_budget")
+    on = [F.col(f"r.{p}").eqNullSafe(F.col(f"b.{p}")) for p in [*leaf, "_kl_b"]]
+    some = cut.alias("r").join(sizes.alias("b"), on).select("r.*", "b._kl_s", "b._kl_before")
+    inside = some.filter(F.col("_kl_before") + F.col("_kl_s") <= F.col("_kl_budget"))
+    edge = some.filter(F.col("_kl_before") + F.col("_kl_s") > F.col("_kl_budget"))
+    run = Window.partitionBy(*leaf, "_kl_b").orderBy("_kl_o", key).rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("_kl_run", F.coalesce(F.sum("_kl_n").over(run), F.lit(0))).filter(F.col("_kl_before") + F.col("_kl_run") < F.col("_kl_budget"))
     keep = [F.col(f"`{c}`") for c in [*names, "epoch"]]
     return whole.select(keep).unionByName(inside.select(keep)).unionByName(edge.select(keep))

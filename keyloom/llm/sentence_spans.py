@@ -76,22 +76,22 @@ class Sentences:
 
 
 def runs(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(_h, _g, _k, _at): the hash of each document's runs and the sentence at which it first begins."""
+    """(_h, _g, _kl_k, _at): the hash of each document's runs and the sentence at which it first begins."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = C.text_bytes(C.column(batch, "_t"))
-            keys = C.column(batch, "_k")
+            keys = C.column(batch, "_kl_k")
             for lo, hi in C.chunks(off):
                 s = Sentences(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 own = s.new()
                 at = s.runs[own]
                 doc = s.doc[at]
                 cols = [pa.array(s.h[own].view(np.int64)), pa.array(s.g[own].astype(np.uint32).view(np.int32)), keys.take(pa.array(doc + lo)), pa.array((at - s.bounds[doc]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["_h", "_g", "_k", "_at"])
+                yield pa.RecordBatch.from_arrays(cols, ["_h", "_g", "_kl_k", "_at"])
 
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    return rows.mapInArrow(work, f"_h long, _g int, _k {rows.schema['_k'].dataType.simpleString()}, _at int")
+    rows = docs.select(F.col(key).alias("_kl_k"), F.col(text).alias("_t"))
+    return rows.mapInArrow(work, f"_h long, _g int, _kl_k {rows.schema['_kl_k'].dataType.simpleString()}, _at int")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -106,17 +106,17 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     names = [x for x in docs.columns if x not in ("n_sentences", "n_removed")]
     docs = docs.select(*[F.col(f"`{x}`") for x in names])
     own = runs(docs, text, key)
-    first = own.groupBy("_h", "_g").agg(F.min("_k").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    again = own.join(first, ["_h", "_g"]).filter("_k > _first").groupBy("_k").agg(F.sort_array(F.collect_set("_at")).alias("_again"))
+    first = own.groupBy("_h", "_g").agg(F.min("_kl_k").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    again = own.join(first, ["_h", "_g"]).filter("_kl_k > _first").groupBy("_kl_k").agg(F.sort_array(F.collect_set("_at")).alias("_kl_again"))
     again = C.written(again, "sentence-runs")
     C.release_shuffles(docs.sparkSession)
-    rows = docs.join(again, docs[key] == again["_k"], "left").drop("_k")
+    rows = docs.join(again, docs[key] == again["_kl_k"], "left").drop("_kl_k")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = C.column(batch, text)
             data, off = C.text_bytes(column)
-            gone = C.column(batch, "_again").to_pylist()
+            gone = C.column(batch, "_kl_again").to_pylist()
             for lo, hi in C.chunks(off):
                 o = off[lo : hi + 1] - off[lo]
                 raw = data[off[lo] : off[hi]]

@@ -87,7 +87,7 @@ def _facts(docs: DataFrame, text: str) -> DataFrame:
     """docs (without their text) with size, text_crc32 and a 128-bit hash of the text; a null text counts as empty."""
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.withColumns(
-        {"size": F.octet_length(body).cast("long") + ROW_BYTES, "text_crc32": F.crc32(body.cast("binary")), "_h": F.xxhash64(body), "_g": F.xxhash64(body, F.lit("second"))}
+        {"size": F.octet_length(body).cast("long") + ROW_BYTES, "text_crc32": F.crc32(body.cast("binary")), "_kl_h": F.xxhash64(body), "_kl_g": F.xxhash64(body, F.lit("second"))}
     ).drop(text)
 
 
@@ -108,7 +108,7 @@ def assign(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "do
     docs = docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     facts = C.written(_facts(docs, text), "facts")
     blocks = max(1, -(-facts.count() // block_rows))
-    groups = facts.groupBy("_h", "_g").agg(F.sum("size").alias("bytes")).withColumn("block", F.pmod(F.xxhash64("_h", F.lit("block")), F.lit(blocks)))
+    groups = facts.groupBy("_kl_h", "_kl_g").agg(F.sum("size").alias("bytes")).withColumn("block", F.pmod(F.xxhash64("_kl_h", F.lit("block")), F.lit(blocks)))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [x for x in batches if len(x)]
@@ -116,31 +116,31 @@ def assign(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "do
             return
         rows = pd.concat(rows)
         for block, own in rows.groupby("block"):
-            own = own.sort_values(["bytes", "_h", "_g"], ascending=False)
+            own = own.sort_values(["bytes", "_kl_h", "_kl_g"], ascending=False)
             part, sums = difference(own["bytes"].to_numpy(), shards)
-            yield pd.DataFrame({"_h": own["_h"], "_g": own["_g"], "block": block, "part": part, "bytes": own["bytes"]})
+            yield pd.DataFrame({"_kl_h": own["_kl_h"], "_kl_g": own["_kl_g"], "block": block, "part": part, "bytes": own["bytes"]})
 
-    parts = C.written(groups.repartition(blocks, "block").mapInPandas(work, "_h long, _g long, block long, part int, bytes long"), "parts")
+    parts = C.written(groups.repartition(blocks, "block").mapInPandas(work, "_kl_h long, _kl_g long, block long, part int, bytes long"), "parts")
     found = parts.groupBy("block", "part").agg(F.sum("bytes").alias("bytes")).toArrow().to_pandas()
     sums = np.zeros((blocks, shards), dtype=np.int64)
     sums[found["block"], found["part"]] = found["bytes"]
     final, _ = difference(sums, shards)
     places = [(b, p, int(final[b, p])) for b in range(blocks) for p in range(shards)]
     places = spark.createDataFrame(places, "block long, part int, shard int")
-    homes = parts.join(places, ["block", "part"]).select("_h", "_g", "shard")
-    rows = C.written(facts.join(homes, ["_h", "_g"]), "placed")
+    homes = parts.join(places, ["block", "part"]).select("_kl_h", "_kl_g", "shard")
+    rows = C.written(facts.join(homes, ["_kl_h", "_kl_g"]), "placed")
 
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return _slots(rows, key, ranges).withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")).drop("_h", "_g")
+    return _slots(rows, key, ranges).withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")).drop("_kl_h", "_kl_g")
 
 
 def _slots(rows: DataFrame, key: str, ranges: int) -> DataFrame:
     """rows with slot: the count of rows of the shard before it."""
-    dealt = C.written(rows.repartitionByRange(ranges, F.col(key).asc_nulls_first()).withColumn("_range", F.spark_partition_id()), "ranges")
-    before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("shard", "_range").agg(F.count("*").alias("n")).withColumn("_first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = Window.partitionBy("shard", "_range").orderBy(F.col(key).asc_nulls_first(), "_h")
-    return dealt.withColumn("_at", F.row_number().over(within) - 1).join(counts, ["shard", "_range"]).withColumn("slot", (F.col("_first") + F.col("_at")).cast("long")).drop("_first", "_at", "_range")
+    dealt = C.written(rows.repartitionByRange(ranges, F.col(key).asc_nulls_first()).withColumn("_kl_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy("shard").orderBy("_kl_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("shard", "_kl_range").agg(F.count("*").alias("n")).withColumn("_kl_first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    within = Window.partitionBy("shard", "_kl_range").orderBy(F.col(key).asc_nulls_first(), "_kl_h")
+    return dealt.withColumn("_kl_at", F.row_number().over(within) - 1).join(counts, ["shard", "_kl_range"]).withColumn("slot", (F.col("_kl_first") + F.col("_kl_at")).cast("long")).drop("_kl_first", "_kl_at", "_kl_range")
 
 
 def crc32(text: str | None) -> int:
