@@ -103,12 +103,14 @@ def _kind(table: "Table", name: str) -> T.DataType:
 
 
 def hidden_count(table: "Table") -> int:
-    """Combinations of the row keys' domains, less the rows shown."""
-    names = [c for c in table.shown[: table.marker] if c in table.keys]
+    """Combinations of the domains left of the marker, hidden keys of values there included, less the rows shown."""
+    total, names = 1, []
     for c in table.shown[: table.marker]:
-        if c in table.values:
-            names += [h for h in table.relation(c).hidden if h not in names]
-    total = 1
+        if c in table.keys:
+            names.append(c)
+            continue
+        total *= table.schema.domain(table.values[c].node, c).count()
+        names += [h for h in table.relation(c).hidden if h not in names]
     for n in names:
         total *= table.domain(n).count()
     return total - (table.to_df().count() if len(table.shown) > table.marker else 0)
