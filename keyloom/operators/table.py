@@ -242,7 +242,7 @@ class Table:
         for h in own.hidden:
             new = fresh(h, {*taken, *attached})
             names[h], attached[new] = new, other.hidden[h]
-        relation = self._filtered(other, own)
+        relation = replace(self._filtered(other, own), seen=0)
         stand = {k: _temp() for k in own.strong}
         relation = relation.renamed(names | stand)
         for key, mine in zip(own.strong, start):
@@ -260,9 +260,9 @@ class Table:
 
     @staticmethod
     def _filtered(table: "Table", relation: Relation) -> Relation:
-        for f in table.filters:
+        for f in table.filters[relation.seen :]:
             relation = relation.semi(f.df, [k for k in f.keys if k in relation.keys])
-        return relation
+        return replace(relation, seen=len(table.filters))
 
     def compose(self, new_keys, old_key, via: list[Atom] | None = None) -> "Table":
         """Replace a key by others that it can be inferred from; every column over it is re-keyed.
@@ -282,7 +282,8 @@ class Table:
         values = {}
         for name, v in self.values.items():
             r = v.relation
-            values[name] = replace(v, relation=_through(bridge, r.renamed({old: stand}), stand)) if old in r.strong else v
+            values[name] = replace(v, relation=replace(_through(bridge, r.renamed({old: stand}), stand), seen=r.seen)) if old in r.strong else v
+        filters = tuple(_through(bridge, f.renamed({old: stand}), stand) if old in f.strong else f for f in self.filters)
         at = self.shown.index(old)
         order = [*self.keys]
         i = order.index(old)
@@ -290,7 +291,7 @@ class Table:
         order[i : i + 1] = list(keys)
         return replace(
             self, keys={k: every[k] for k in order}, values=values, hidden={**self.hidden, **attached}, shown=(*self.shown[:at], *keys, *self.shown[at + 1 :]), marker=self.marker + len(keys) - 1,
-            order=tuple(c for c in self.order if c != old),
+            filters=filters, order=tuple(c for c in self.order if c != old),
         )
 
     # derived columns
@@ -305,7 +306,7 @@ class Table:
     def deduce(self, expr: Expr, with_name: str) -> "Table":
         name = fresh(with_name, self.names)
         expr = wrap(expr)
-        relation = self._evaluate(expr, name)
+        relation = replace(self._evaluate(expr, name), seen=len(self.filters))
         node = Attribute(name, expr.type)
         self.schema._domains[node] = (relation.df, name)
         return self._with_value(name, Value(node, expr.type, relation), {})
@@ -320,8 +321,7 @@ class Table:
         refs = {x.name for x in found if isinstance(x, Ref)}
         columns: dict[int, str] = {}
         df, strong, hidden = None, [], []
-        windows: dict[int, tuple[Aggregate, Relation]] = {}
-        base: tuple | None | bool = None
+        windows: dict[int, Aggregate] = {}
 
         def add(r: Relation) -> None:
             nonlocal df, strong, hidden
@@ -345,10 +345,9 @@ class Table:
                 continue
             columns[id(x)] = _temp()
             if isinstance(x, Aggregate) and single and {y.name for y in leaves(x.of) if isinstance(y, Ref)} == refs & set(self.values) == {y.name for y in _all_refs(x.of)}:
-                windows[id(x)] = (x, None)
+                windows[id(x)] = x  # over the very rows at hand: a window, not a group and a join
                 continue
             add(self._aggregate(x, columns[id(x)]) if isinstance(x, Aggregate) else self._extend(x, columns[id(x)]))
-        del base
         for ref in refs - set(self.values):
             if df is None or ref not in df.columns:
                 df = natural(df, self.domain(ref))
@@ -358,7 +357,7 @@ class Table:
                 hidden.append(ref)
         if df is None:
             df = self.schema.spark.range(1).select()
-        for key, (x, _) in windows.items():
+        for key, x in windows.items():
             inner = to_spark(x.of, lambda y: col(columns[id(y)]) if id(y) in columns else col(y.name))
             over = Window.partitionBy(*map(quoted, [k for k in strong if k in self.keys])) if strong else Window.partitionBy(F.lit(0))
             df = df.withColumn(columns[key], _fold(x.op, inner, hidden).over(over))
@@ -392,7 +391,7 @@ class Table:
 
     # reshaping
 
-    def _map(self, change, names=None) -> dict[str, Value]:
+    def _map(self, change) -> dict[str, Value]:
         return {n: replace(v, relation=change(v.relation)) for n, v in self.values.items()}
 
     def hide(self, column) -> "Table":
@@ -470,7 +469,7 @@ class Table:
             if a not in r.strong:
                 return r.renamed({b: a})
             strong = tuple(k for k in r.strong if k != b)
-            return Relation(r.df.filter(col(a) == col(b)).select(*map(quoted, (*strong, *r.hidden, r.value))), strong, r.hidden, r.value)
+            return Relation(r.df.filter(col(a) == col(b)).select(*map(quoted, (*strong, *r.hidden, r.value))), strong, r.hidden, r.value, seen=r.seen)
 
         at = self.shown.index(b)
         keys = {k: n for k, n in self.keys.items() if k != b}
@@ -516,7 +515,7 @@ class Table:
             r = self._filtered(self, v.relation)
             found = joined(set(r.strong) & set(keys))
             if found is None:
-                out[name] = v
+                out[name] = replace(v, relation=replace(r, seen=0))
                 continue
             df, strong, hidden, own = found
             strong = [*strong, *(s for s in r.strong if s not in strong)]
@@ -549,7 +548,7 @@ class Table:
         kept = [c for c in columns if c in self.keys]
         needed = {s for v in vals for s in self.relation(v).strong} - set(kept)
         gone = [c for c in self.shown if c in needed]
-        values, attached = self._rekey(gone, vals) if gone else ({n: v for n, v in self.values.items() if n not in vals}, {})
+        values, attached = self._rekey(gone, vals)
         nodes = {c: self.keys.get(c) or self.values[c].node for c in columns}
         weak = [k for k in self.keys if k not in kept and k not in gone]
         rest = [c for c in self.shown if c not in columns and c not in gone and c in values]
@@ -570,15 +569,8 @@ class Table:
             if name in self.keys:
                 return self
             condition = self.relation(name)
-        own = set(condition.keys)
-
-        def change(r: Relation) -> Relation:
-            shared = [k for k in condition.keys if k in r.keys]
-            touched = set(condition.hidden) & set(r.hidden) or set(condition.strong) <= set(r.strong)
-            return r.semi(condition.df, shared) if touched and shared else r
-
-        del own
-        return replace(self, values=self._map(change), filters=(*self.filters, condition))
+        t = replace(self, filters=(*self.filters, condition))
+        return replace(t, values=t._map(lambda r: self._filtered(t, r)))
 
     def sort(self, columns) -> "Table":
         """Ascending order of the display, nulls last."""

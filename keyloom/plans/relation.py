@@ -23,6 +23,8 @@ class Relation:
     hidden: tuple[str, ...]
     value: str
     base: tuple[Any, tuple[tuple[str, str], ...], str] | None = None
+    #: How many of its table's filters the rows have been through.
+    seen: int = 0
 
     @property
     def keys(self) -> tuple[str, ...]:
@@ -35,7 +37,7 @@ class Relation:
         new = lambda c: names.get(c, c)
         base = self.base and (self.base[0], tuple((new(k), c) for k, c in self.base[1]), self.base[2])
         df = self.df.select(*[F.col(quoted(c)).alias(new(c)) for c in (*self.keys, self.value)])
-        return Relation(df, tuple(map(new, self.strong)), tuple(map(new, self.hidden)), new(self.value), base)
+        return Relation(df, tuple(map(new, self.strong)), tuple(map(new, self.hidden)), new(self.value), base, self.seen)
 
     def moved(self, name: str, hide: bool) -> "Relation":
         """With a key hidden or shown: rows stay as they are."""

@@ -192,3 +192,32 @@ def test_global_aggregate_and_escape_hatch(spark):
     h = t.hide("val_id")
     h = h.mutate(total=h["cardnum"].sum())
     assert rows(h["total"].to_df()) == [(16813.0,)]
+
+
+def test_filters_persist(spark):
+    s, c, b, t, val, card = bonuses(spark)
+    q = s.get(val_id=val).infer(["val_id"], b["bonus"])
+    q = q.filter(q["bonus"] > 4)
+    q = q.mutate(total=q["bonus"].sum())
+    assert rows(q.to_df()) == [(1, (12,), 12.0), (2, (5, 7), 12.0)]
+    q = q.infer(["val_id"], t["tstart"])
+    q = q.mutate(early=q["tstart"].mask(q["tstart"] == "t1"))
+    assert rows(q.to_df()) == [(1, (12,), 12.0, "t1", "t1"), (2, (5, 7), 12.0, "t2", None)]
+    q = q.filter("early").rename("val_id", "v").sort("v")
+    assert rows(q.to_df()) == [(1, (12,), 12.0, "t1", "t1")]
+    person = s.get(v=val).infer(["v"], q["total"])
+    assert rows(person.to_df()) == [(1, 12.0)]
+
+
+def test_group_by_keys_alone_hides_the_rest(spark):
+    s, c, b, t, val, card = bonuses(spark)
+    q = s.get(val_id=val, cardnum=card).infer(["val_id", "cardnum"], b["bonus"]).group_by(["val_id"])
+    assert q.header == "[val_id || bonus]"
+    assert rows(q.to_df()) == [(1, (12, 4)), (2, (5, 7)), (3, (1,)), (5, (2,))]
+
+
+def test_invert_several(spark):
+    s, c, b, t, val, card = bonuses(spark)
+    q = s.get(val_id=val).infer(["val_id"], t["tstart"]).infer(["val_id"], c["cardnum"]).invert(["val_id"], ["cardnum"])
+    assert q.header == "[cardnum || tstart val_id]"
+    assert (2354, ("t2", "t5"), (2, 5)) in rows(q.to_df()) and (4412, (), (8,)) in rows(q.to_df())
