@@ -13,10 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from . import common as C
-
-#: Parts that a leaf's rows are dealt into by their order in an epoch; a cut falls into one of them, which alone is sorted.
-BUCKETS = 1024
+#: A leaf's rows are dealt by their order in an epoch into 2 ** BUCKET_BITS parts; a cut falls into one of them, which alone is sorted.
+BUCKET_BITS = 10
 DEFAULT_WEIGHT = 1.0
 
 
@@ -77,9 +75,9 @@ def select(docs: DataFrame, mix: Mix, path: list[Column], tokens: Column, key: s
     an epoch by a seeded hash of key and then of tokens. The tree of leaves (not
     of rows) is budgeted on the driver and may have `most_leaves` leaves.
 
-    No task holds a leaf: rows fall by their order into BUCKETS parts of the
-    leaf, whose sums tell which parts are taken whole and in which part the cut
-    falls; that part alone is sorted.
+    No task holds a leaf: rows fall by their order into parts of the leaf, whose
+    sums tell in which part the cut falls. Parts before it are taken whole, and
+    that part alone is sorted.
     """
     spark = docs.sparkSession
     docs = docs.drop("epoch")
@@ -98,22 +96,26 @@ def select(docs: DataFrame, mix: Mix, path: list[Column], tokens: Column, key: s
         for e in range(mix.epochs):
             rest = n if e < whole else budget - whole * n if e == whole else 0
             if rest > 0:
-                todo.append((*leaf, e, int(rest), bool(rest >= n)))
+                todo.append((*leaf, e, int(rest), None if rest >= n else -1, 0))
     kinds = ", ".join(f"{p} {dict(rows.dtypes)[p]}" for p in parts)
-    plan = spark.createDataFrame(todo, f"{kinds}, epoch int, _kl_budget long, _kl_all boolean")
-    match = [F.col(f"r.{p}").eqNullSafe(F.col(f"b.{p}")) for p in parts]
-    taken = rows.alias("r").join(plan.alias("b"), match).select(*[F.col(f"r.`{c}`") for c in names], *[F.col(f"r.{p}") for p in parts], "_kl_n", "epoch", "_kl_budget", "_kl_all")
-    taken = taken.withColumn("_kl_o", F.xxhash64(F.lit(mix.seed), F.col("epoch"), F.col(key), F.col("_kl_n"))).withColumn("_kl_b", F.shiftrightunsigned("_kl_o", 54))
-    whole, cut = taken.filter("_kl_all"), taken.filter("NOT _kl_all")
+    schema = f"{kinds}, epoch int, _kl_budget long, _kl_cut long, _kl_before long"
     leaf = [*parts, "epoch"]
-    sizes = cut.groupBy(*leaf, "_kl_b", "_kl_budget").agg(F.sum("_kl_n").alias("_kl_s"))
+
+    def ordered(plan: list[tuple]) -> DataFrame:
+        """Each row once for each epoch of its leaf's plan, with its place in that epoch's order."""
+        match = [F.col(f"r.{p}").eqNullSafe(F.col(f"b.{p}")) for p in parts]
+        out = rows.alias("r").join(spark.createDataFrame(plan, schema).alias("b"), match)
+        out = out.select(*[F.col(f"r.`{c}`") for c in names], *[F.col(f"r.{p}") for p in parts], "_kl_n", "epoch", "_kl_budget", "_kl_cut", "_kl_before")
+        out = out.withColumn("_kl_o", F.xxhash64(F.lit(mix.seed), F.col("epoch"), F.col(key), F.col("_kl_n")))
+        return out.withColumn("_kl_b", F.shiftrightunsigned("_kl_o", 64 - BUCKET_BITS))
+
+    sizes = ordered([t for t in todo if t[-2] is not None]).groupBy(*leaf, "_kl_b", "_kl_budget").agg(F.sum("_kl_n").alias("s"))
     upto = Window.partitionBy(*leaf).orderBy("_kl_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = C.written(sizes.withColumn("_kl_before", F.coalesce(F.sum("_kl_s").over(upto), F.lit(0))).filter(F.col("_kl_before") < F.col("_kl_budget")), "mix-parts").drop("_kl_budget")
-    on = [F.col(f"r.{p}").eqNullSafe(F.col(f"b.{p}")) for p in [*leaf, "_kl_b"]]
-    some = cut.alias("r").join(sizes.alias("b"), on).select("r.*", "b._kl_s", "b._kl_before")
-    inside = some.filter(F.col("_kl_before") + F.col("_kl_s") <= F.col("_kl_budget"))
-    edge = some.filter(F.col("_kl_before") + F.col("_kl_s") > F.col("_kl_budget"))
-    run = Window.partitionBy(*leaf, "_kl_b").orderBy("_kl_o", key).rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("_kl_run", F.coalesce(F.sum("_kl_n").over(run), F.lit(0))).filter(F.col("_kl_before") + F.col("_kl_run") < F.col("_kl_budget"))
+    cuts = sizes.withColumn("before", F.coalesce(F.sum("s").over(upto), F.lit(0))).filter((F.col("before") < F.col("_kl_budget")) & (F.col("before") + F.col("s") >= F.col("_kl_budget")))
+    found = {tuple(r[c] for c in leaf): (r["_kl_b"], r["before"]) for r in cuts.select(*leaf, "_kl_b", "before").toArrow().to_pylist()}
+    taken = ordered([t if t[-2] is None else (*t[:-2], *found[t[: depth + 1]]) for t in todo])
+    inside = taken.filter("_kl_cut IS NULL OR _kl_b < _kl_cut")
+    run = Window.partitionBy(*leaf).orderBy("_kl_o", key).rowsBetween(Window.unboundedPreceding, -1)
+    edge = taken.filter("_kl_b = _kl_cut").withColumn("_kl_run", F.coalesce(F.sum("_kl_n").over(run), F.lit(0))).filter(F.col("_kl_before") + F.col("_kl_run") < F.col("_kl_budget"))
     keep = [F.col(f"`{c}`") for c in [*names, "epoch"]]
-    return whole.select(keep).unionByName(inside.select(keep)).unionByName(edge.select(keep))
+    return inside.select(keep).unionByName(edge.select(keep))
