@@ -12,16 +12,23 @@ if TYPE_CHECKING:
     from .table import Table
 
 
-def _listed(r: Relation, rows_over: set[str]) -> tuple[DataFrame, tuple[str, ...], bool]:
-    """(rows, keys, whether the value is a list): one row for each combination of the keys that rows have."""
+def _listed(group: list[Relation], df: DataFrame, rows_over: set[str]) -> tuple[DataFrame, tuple[str, ...], bool]:
+    """(rows, keys, whether values are lists) for values of one frame: one row for each combination of the keys that rows have."""
+    r, values = group[0], [x.value for x in group]
     keys = (*r.strong, *(h for h in r.hidden if h in rows_over))
     inner = [h for h in r.hidden if h not in rows_over]
     if not inner:
-        return r.df.select(*map(quoted, (*keys, r.value))), keys, False
-    item = F.collect_list(F.struct(*[col(h).alias(f"h{i}") for i, h in enumerate(inner)], col(r.value).alias("v")))
-    value = F.transform(F.sort_array(item), lambda x: x["v"]).alias(r.value)
-    grouped = r.df.groupBy(*map(quoted, keys)).agg(value) if keys else r.df.agg(value).filter(F.size(quoted(r.value)) > 0)
-    return grouped, keys, True
+        return df.select(*map(quoted, (*keys, *values))), keys, False
+    item = F.struct(*[col(h).alias(f"h{i}") for i, h in enumerate(inner)], *[col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    grouped = df.groupBy(*map(quoted, keys)).agg(F.sort_array(F.collect_list(item)).alias("__items"))
+    if not keys:
+        grouped = grouped.filter(F.size("__items") > 0)
+
+    def values_of(i: int):
+        there = F.filter("__items", lambda x: x[f"v{i}"].isNotNull()) if len(values) > 1 else F.col("__items")
+        return F.transform(there, lambda x: x[f"v{i}"])
+
+    return grouped.select(*map(quoted, keys), *[values_of(i).alias(v) for i, v in enumerate(values)]), keys, True
 
 
 def compiled(table: "Table") -> DataFrame:
@@ -31,7 +38,7 @@ def compiled(table: "Table") -> DataFrame:
     value lacks are filled in from their domains, and only those: the product of
     all domains is never built. Rows without any right-hand value are not shown.
     """
-    from .table import _bundle
+    from .table import _read
 
     left, right = table.shown[: table.marker], table.shown[table.marker :]
     left_values = [c for c in left if c in table.values]
@@ -47,18 +54,16 @@ def compiled(table: "Table") -> DataFrame:
     rows_over = {*keys, *row_hidden}
 
     groups: dict[frozenset[str], list[DataFrame]] = {}
-    bundles: dict[str, list[Relation]] = {}
-    lists = []
+    scans: dict[object, list[Relation]] = {}
+    lists: list[str] = []
     for c in right:
         r = table.relation(c)
-        if r.base and not r.hidden:
-            bundles.setdefault(repr((id(r.base[0]), r.base[1])), []).append(r)
-            continue
-        df, own, is_list = _listed(r, rows_over)
-        lists += [c] * is_list
+        scans.setdefault((r.base.scan, frozenset(r.strong)) if r.base else len(scans), []).append(r)
+    for group in scans.values():
+        rows = _read(table.schema, group, False).df if len(group) > 1 else group[0].df
+        df, own, is_list = _listed(group, rows, rows_over)
+        lists += [r.value for r in group] if is_list else []
         groups.setdefault(frozenset(own), []).append(df)
-    for group in bundles.values():
-        groups.setdefault(frozenset(group[0].strong), []).append(_bundle(group, False).df)
     merged: list[tuple[list[str], DataFrame]] = []
     for own, frames in groups.items():
         on = sorted(own)

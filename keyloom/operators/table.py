@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..errors import ColumnError
 from ..functions.expressions import Aggregate, Expr, Extend, Literal, Ref, leaves, to_spark, wrap
-from ..plans.nodes import Atom, Attribute, Concept, product, sublist_places
-from ..plans.relation import Relation, col, natural, present, quoted
+from ..plans.nodes import Atom, Attribute, Concept, parts, product, sublist_places
+from ..plans.relation import Base, Relation, col, natural, present, quoted
 from ..types import BaseType
 
 if TYPE_CHECKING:
@@ -134,79 +134,92 @@ class Table:
 
     def _walk(self, start: list[str], path: list["Step"], value: str, taken: set[str]) -> tuple[Relation, dict[str, Atom]]:
         """The relation of `value` along a path from columns of this table, and the hidden keys that its backward steps attach."""
-        df, strong, hidden = None, [], {}
-        for name in start:
-            if name in self.values:
-                own = self.relation(name)
-                df = natural(df, own.df)
-                strong += [k for k in own.strong if k not in strong]
-                hidden |= {k: self.hidden[k] for k in own.hidden}
-        bound = set(df.columns) if df is not None else set()
+        own = [self.relation(n) for n in start if n in self.values]
+        strong = list(dict.fromkeys(k for r in own for k in r.strong))
+        hidden = {k: self.hidden[k] for r in own for k in r.hidden}
+        frame, source, members, df = None, {}, [], None  # as long as one frame has all columns, source tells where
+        if own and all(r.base and r.base.scan == own[0].base.scan for r in own):
+            base = own[0].base
+            frame, members, needed = base.frame, list(base.members), list(base.needed)
+            source = dict(base.columns) | {r.value: r.base.value for r in own}
+        else:
+            needed = []
+            for r in own:
+                df = natural(df, r.df)
+        single = df is None
+        bound = set(source) if single else set(df.columns)
         carried, attached = dict(hidden), {}
         cols = list(start)
-        atoms = [self.keys.get(n) or (self.values[n].node if n in self.values else self.hidden[n]) for n in start]
+        atoms = [self._node_of(n) for n in start]
         origin = dict(zip(start, atoms))
-        members: list[tuple[str, Atom]] = []
-        hops, base = 0, None
 
         def attach(atom: Atom) -> str:
             name = fresh(atom.name, {*taken, *carried, *attached})
             attached[name] = atom
             return name
 
+        def joint() -> DataFrame | None:
+            """The rows so far; from here on they are no longer one frame's."""
+            nonlocal df, single
+            if single and frame is not None:
+                df = present(frame.select(*[col(c).alias(n) for n, c in source.items()]))
+            single = False
+            return df
+
         for step in path:
-            source, target = (p.atoms if hasattr(p, "atoms") else (p,) for p in (step.source, step.target))
+            there, here = parts(step.source), parts(step.target)
             if step.equal:
-                for name, a, b in zip(cols, source, target):
+                for name, a, b in zip(cols, there, here):
                     if a != b and name not in bound and isinstance(a, Attribute) and name in self.keys:
                         members.append((name, a))
                 continue
-            places = None if step.cardinality.functional else sublist_places(source, target)
+            places = None if step.cardinality.functional else sublist_places(there, here)
             if places is not None:
                 at = dict(zip(places, cols))
-                cols = [at[i] if i in at else attach(a) for i, a in enumerate(target)]
-                origin |= {c: a for c, a in zip(cols, target) if c not in origin}
+                cols = [at[i] if i in at else attach(a) for i, a in enumerate(here)]
+                origin |= {c: a for c, a in zip(cols, here) if c not in origin}
                 continue
-            places = sublist_places(target, source) if step.cardinality.functional else None
+            places = sublist_places(here, there) if step.cardinality.functional else None
             if places is not None:
                 for i, name in enumerate(cols):
                     if i not in places and name in attached and name not in bound:
-                        df = natural(df, self.schema.domain(origin[name], name))
+                        df = natural(joint(), self.schema.domain(origin[name], name))
                         bound.add(name)
                 cols = [cols[i] for i in places]
                 continue
-            frame, from_columns, to_columns = self.schema.edge_data(step.source, step.target)
-            new = [_temp() for _ in target] if step.cardinality.functional else [attach(a) for a in target]
+            data, from_columns, to_columns = self.schema.edge_data(step.source, step.target)
+            new = [_temp() for _ in here] if step.cardinality.functional else [attach(a) for a in here]
             if len(set(cols)) < len(cols):
                 raise ColumnError(f"columns are repeated on the way to {value!r}: {cols}")
-            edge = present(frame.select(*[col(f).alias(n) for f, n in zip([*from_columns, *to_columns], [*cols, *new])]))
-            on = [c for c in cols if c in bound]
-            if df is None:
-                df = edge
-            else:
-                df = df.join(edge, on, "inner") if on else df.crossJoin(edge)
-            hops += 1
-            if hops == 1 and not bound and step.cardinality.functional and not members:
-                base = (frame, tuple(zip(cols, from_columns)), to_columns[0])
+            same = step.cardinality.functional and frame is data and all(source.get(c) == f for c, f in zip(cols, from_columns))
+            if single and (same or frame is None):  # the frame's own row has it: no join
+                frame = data
+                source |= dict(zip(cols, from_columns)) | dict(zip(new, to_columns))
+                needed += from_columns
             else:
-                base = None
+                edge = present(data.select(*[col(f).alias(n) for f, n in zip([*from_columns, *to_columns], [*cols, *new])]))
+                on = [c for c in cols if c in bound]
+                left = joint()
+                df = edge if left is None else left.join(edge, on, "inner") if on else left.crossJoin(edge)
             bound |= {*cols, *new}
             cols = new
-            origin |= dict(zip(new, target))
-        for name in cols:
+            origin |= dict(zip(new, here))
+        for name in [*cols, *attached]:
             if name not in bound:
-                df = natural(df, self.schema.domain(origin[name], name))
+                df = natural(joint(), self.schema.domain(origin[name], name))
                 bound.add(name)
         strong += [n for n in start if n in self.keys and n in bound and n not in strong]
         hidden |= {n: self.hidden[n] for n in start if n in self.hidden}
         hidden |= attached
-        for name in attached:
-            if name not in bound:
-                df = natural(df, self.schema.domain(origin[name], name))
+        if single:
+            columns = tuple((k, source[k]) for k in (*strong, *hidden))
+            extra = tuple(sorted(set(needed) - {c for _, c in columns}))
+            base = Base(frame, columns, source[cols[0]], tuple(members), extra)
+            return _read(self.schema, [Relation(None, tuple(strong), tuple(hidden), value, base)], True), attached
         df = df.select(*map(quoted, (*strong, *hidden)), col(cols[0]).alias(value))
         for name, atom in members:
             df = df.join(self.schema.domain(atom, name), [name], "left_semi").select(*map(quoted, (*strong, *hidden, value)))
-        return Relation(df, tuple(strong), tuple(hidden), value, base if not members else None), attached
+        return Relation(df, tuple(strong), tuple(hidden), value), attached
 
     def _node_of(self, name: str) -> Atom:
         return self.keys.get(name) or self.hidden.get(name) or self.values[name].node
@@ -329,14 +342,7 @@ class Table:
             strong += [k for k in r.strong if k not in strong]
             hidden += [k for k in r.hidden if k not in hidden]
 
-        same: dict[str, list[Relation]] = {}
-        loose = []
-        for ref in sorted(refs & set(self.values)):
-            r = self._filtered(self, self.relation(ref))
-            same.setdefault(repr((id(r.base[0]), r.base[1])), []).append(r) if r.base else loose.append(r)
-        for group in same.values():  # columns of one frame over the same keys: one scan
-            add(_bundle(group, True))
-        for r in loose:
+        for r in _joint(self.schema, [self._filtered(self, self.relation(n)) for n in sorted(refs & set(self.values))]):
             add(r)
         single = df is not None
         for x in found:
@@ -483,17 +489,17 @@ class Table:
             copies[k] = fresh(k, {*self.names, *copies.values()})
         out: dict[str, Value] = {}
 
-        def joined(over: set[str]) -> tuple[DataFrame, list[str], list[str], list[str]] | None:
-            """Natural join of the inverted values that depend on any of these keys."""
-            df, strong, hidden, own = None, [], [], []
-            for v in vals:
-                r = self._filtered(self, self.relation(v))
-                if over & set(r.strong):
-                    df = natural(df, r.df)
-                    own.append(v)
-                    strong += [s for s in r.strong if s not in strong]
-                    hidden += [h for h in r.hidden if h not in hidden]
-            return None if df is None else (df, strong, hidden, own)
+        def joined(over: set[str], more: Relation | None = None) -> tuple[DataFrame, list[str], list[str], list[str]] | None:
+            """Natural join of the inverted values that depend on any of these keys, and one more relation."""
+            mine = {v: self._filtered(self, self.relation(v)) for v in vals}
+            own = [v for v in vals if over & set(mine[v].strong)]
+            if not own:
+                return None
+            df, every = None, [*(mine[v] for v in own), *([more] if more else [])]
+            for r in _joint(self.schema, every):
+                df = natural(df, r.df)
+            strong, hidden = (list(dict.fromkeys(k for r in every for k in getattr(r, kind))) for kind in ("strong", "hidden"))
+            return df, strong, hidden, own
 
         def placed(df: DataFrame, strong: list[str], hidden: list[str], own: list[str], name: str, value) -> Relation:
             left = [s for s in strong if s not in keys]
@@ -513,14 +519,11 @@ class Table:
             if name in vals:
                 continue
             r = self._filtered(self, v.relation)
-            found = joined(set(r.strong) & set(keys))
+            found = joined(set(r.strong) & set(keys), r)
             if found is None:
                 out[name] = replace(v, relation=replace(r, seen=0))
                 continue
-            df, strong, hidden, own = found
-            strong = [*strong, *(s for s in r.strong if s not in strong)]
-            hidden = [*hidden, *(h for h in r.hidden if h not in hidden)]
-            out[name] = replace(v, relation=placed(natural(df, r.df), strong, hidden, own, name, col(name)))
+            out[name] = replace(v, relation=placed(*found, name, col(name)))
         return out, {copies[k]: self.keys[k] for k in keys}
 
     def invert(self, keys, vals) -> "Table":
@@ -616,15 +619,25 @@ def _through(bridge: Relation, relation: Relation, key: str) -> Relation:
     return Relation(df, strong, hidden, relation.value)
 
 
-def _bundle(group: list[Relation], strict: bool) -> Relation:
-    """Columns of one frame over the same keys, read off together; strict: rows with all of them."""
-    if len(group) == 1:
-        return group[0]
-    frame, keys, _ = group[0].base
-    df = present(frame.select(*[col(c).alias(k) for k, c in keys], *[col(r.base[2]).alias(r.value) for r in group]), [k for k, _ in keys])
-    values = [r.value for r in group]
-    df = present(df, values, some=not strict)
-    return Relation(df, group[0].strong, (), values[0])
+def _read(schema: "Schema", group: list[Relation], strict: bool) -> Relation:
+    """Values that one scan has, read off together; strict: rows with all of them, else with any."""
+    base = group[0].base
+    rows = present(base.frame, [*dict.fromkeys((*(c for _, c in base.columns), *base.needed))])
+    rows = present(rows, list(dict.fromkeys(r.base.value for r in group)), some=not strict)
+    df = rows.select(*[col(c).alias(k) for k, c in base.columns], *[col(r.base.value).alias(r.value) for r in group])
+    for name, atom in base.members:
+        df = df.join(schema.domain(atom, name), [name], "left_semi").select(*map(quoted, df.columns))
+    return replace(group[0], df=df)
+
+
+def _joint(schema: "Schema", relations: list[Relation]) -> list[Relation]:
+    """The relations, those of one scan united to one with all their values."""
+    out, groups = [], {}
+    for r in relations:
+        groups.setdefault((r.base.scan, frozenset(r.strong)) if r.base else len(groups), []).append(r)
+    for group in groups.values():
+        out.append(_read(schema, group, True) if len(group) > 1 else group[0])
+    return out
 
 
 def _all_refs(expr: Expr) -> list[Ref]:

@@ -5,24 +5,41 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_, or_
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .nodes import Atom
+
 
 @dataclass(frozen=True)
-class Relation:
-    """Rows over strong keys, hidden keys and the value; none is null, and the keys determine the value.
+class Base:
+    """That a relation's rows are those of one registered frame, read off by column.
 
-    `base` tells that the rows are those of one registered frame, read off by
-    column: relations of one base and one set of keys are shown by one scan.
+    columns: (key, source column); members: keys that are restricted to a node's
+    domain; needed: further source columns that must not be null. Relations that
+    agree in these are read by one scan, however many values they have.
     """
 
+    frame: DataFrame
+    columns: tuple[tuple[str, str], ...]
+    value: str
+    members: tuple[tuple[str, Atom], ...] = ()
+    needed: tuple[str, ...] = ()
+
+    @property
+    def scan(self) -> tuple:
+        return id(self.frame), frozenset(self.columns), frozenset(self.members), frozenset(self.needed)
+
+
+@dataclass(frozen=True)
+class Relation:
+    """Rows over strong keys, hidden keys and the value; none is null, and the keys determine the value."""
+
     df: DataFrame
     strong: tuple[str, ...]
     hidden: tuple[str, ...]
     value: str
-    base: tuple[Any, tuple[tuple[str, str], ...], str] | None = None
+    base: Base | None = None
     #: How many of its table's filters the rows have been through.
     seen: int = 0
 
@@ -35,16 +52,16 @@ class Relation:
         if not any(c in names for c in (*self.keys, self.value)):
             return self
         new = lambda c: names.get(c, c)
-        base = self.base and (self.base[0], tuple((new(k), c) for k, c in self.base[1]), self.base[2])
+        base = self.base and replace(self.base, columns=tuple((new(k), c) for k, c in self.base.columns), members=tuple((new(k), a) for k, a in self.base.members))
         df = self.df.select(*[F.col(quoted(c)).alias(new(c)) for c in (*self.keys, self.value)])
         return Relation(df, tuple(map(new, self.strong)), tuple(map(new, self.hidden)), new(self.value), base, self.seen)
 
     def moved(self, name: str, hide: bool) -> "Relation":
         """With a key hidden or shown: rows stay as they are."""
         if hide and name in self.strong:
-            return replace(self, strong=tuple(k for k in self.strong if k != name), hidden=(*self.hidden, name), base=None)
+            return replace(self, strong=tuple(k for k in self.strong if k != name), hidden=(*self.hidden, name))
         if not hide and name in self.hidden:
-            return replace(self, hidden=tuple(k for k in self.hidden if k != name), strong=(*self.strong, name), base=None)
+            return replace(self, hidden=tuple(k for k in self.hidden if k != name), strong=(*self.strong, name))
         return self
 
     def semi(self, other: DataFrame, on: list[str]) -> "Relation":
