@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a scan works on at once; bounds a Python worker's memory.
 CHUNK_BYTES = 2 << 20
@@ -41,9 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there."""
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there.
+
+    Zstandard, as the default codec compresses in buffers outside of the heap,
+    which many short tasks heap up faster than garbage collection frees them.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -150,5 +154,15 @@ def run_hashes(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarra
     return at, mix(out)
 
 
+#: Rows of a table made on the driver that are broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of rows made on the driver, to be joined: broadcast up to BROADCAST_ROWS, as Spark does not know its size."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))

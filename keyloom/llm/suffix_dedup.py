@@ -32,13 +32,13 @@ from . import common as C
 SPAN, GRAM = 100, 40
 #: k-grams of a window.
 WIDTH = SPAN - GRAM + 1
-HOT = 20_000
+HOT = 2_000
 #: Suffixes sorted at once, about.
-SORT_ROWS = 40_000
+SORT_ROWS = 20_000
 #: Anchors are chosen by the upper half of their hashes; the lower half holds the position, which decides between equals.
 _AT = (1 << 32) - 1
 #: Bytes of text whose anchors are found, and whose contexts are cut out, at once.
-ANCHOR_BYTES, CONTEXT_BYTES = 1 << 20, 1 << 18
+ANCHOR_BYTES, CONTEXT_BYTES = 1 << 19, 1 << 18
 NULL_KEY = -(2**63)
 
 
@@ -395,7 +395,7 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", hot:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = C.text_bytes(C.column(batch, "_kl_t"))
-            for lo, hi in C.chunks(off):
+            for lo, hi in C.chunks(off, ANCHOR_BYTES):
                 raw, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 marks = _marks(raw, o, C.prefix_hashes(raw))
                 step = np.zeros(len(raw) + 1, dtype=np.int64)
