@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import common as C
+
 #: A leaf's rows are dealt by their order in an epoch into 2 ** BUCKET_BITS parts; a cut falls into one of them, which alone is sorted.
 BUCKET_BITS = 10
 DEFAULT_WEIGHT = 1.0
@@ -104,7 +106,7 @@ def select(docs: DataFrame, mix: Mix, path: list[Column], tokens: Column, key: s
     def ordered(plan: list[tuple]) -> DataFrame:
         """Each row once for each epoch of its leaf's plan, with its place in that epoch's order."""
         match = [F.col(f"r.{p}").eqNullSafe(F.col(f"b.{p}")) for p in parts]
-        out = rows.alias("r").join(spark.createDataFrame(plan, schema).alias("b"), match)
+        out = rows.alias("r").join(C.local_table(spark, plan, schema).alias("b"), match)
         out = out.select(*[F.col(f"r.`{c}`") for c in names], *[F.col(f"r.{p}") for p in parts], "_kl_n", "epoch", "_kl_budget", "_kl_cut", "_kl_before")
         out = out.withColumn("_kl_o", F.xxhash64(F.lit(mix.seed), F.col("epoch"), F.col(key), F.col("_kl_n")))
         return out.withColumn("_kl_b", F.shiftrightunsigned("_kl_o", 64 - BUCKET_BITS))

@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common as C
@@ -126,7 +125,7 @@ def assign(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "do
     sums[found["block"], found["part"]] = found["bytes"]
     final, _ = difference(sums, shards)
     places = [(b, p, int(final[b, p])) for b in range(blocks) for p in range(shards)]
-    places = spark.createDataFrame(places, "block long, part int, shard int")
+    places = C.local_table(spark, places, "block long, part int, shard int")
     homes = parts.join(places, ["block", "part"]).select("_kl_h", "_kl_g", "shard")
     rows = C.written(facts.join(homes, ["_kl_h", "_kl_g"]), "placed")
 
