@@ -219,6 +219,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, component_id): the smallest `least` of the node's component.
+
+    The ids are written before they are joined, so that Spark can split the join
+    where one component holds many nodes; nodes without a link are not joined.
+    """
+    roots = C.written(roots, "roots")
+    linked = nodes.join(roots, "node")
+    ids = C.written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    return linked.join(ids, "root").select("node", "component_id").unionByName(nodes.join(roots, "node", "left_anti").select("node", F.col("least").alias("component_id")))
+
+
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(key, fp, component_id): component_id is the smallest key reachable over links of at most radius bits.
 
@@ -228,9 +240,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     fps = C.written(fingerprints(docs, text, key, shingle), "fingerprints")
     nodes = C.written(fps.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
     roots = components(links(nodes, radius))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = C.written(named.join(ids, "root").select("fp", "component_id"), "labels")
+    label = C.written(_labelled(nodes.select(F.col("fp").alias("node"), "least"), roots), "labels").withColumnRenamed("node", "fp")
     return fps.join(label, "fp").select(key, "fp", "component_id")
 
 
@@ -336,9 +346,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
     roots = components(edges)
-    named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = C.written(named.join(ids, "root").select("node", "component_id"), "labels")
+    label = C.written(_labelled(nodes.select("node", "least"), roots), "labels")
     return fps.select("_k", "node").join(label, "node").select(F.col("_k").alias(key), "component_id")
 
 
