@@ -102,5 +102,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w"
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} FROM documents),
+b AS (SELECT item_id, {_WORDS} FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[j:j + n - 1], ' ') AS g FROM (
+  SELECT item_id, w, least(13, len(w)) AS n, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS j FROM b WHERE len(w) > 0) x),
+dw AS (SELECT doc_id, n, j, array_to_string(w[j:j + n - 1], ' ') AS g FROM (
+  SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS j FROM d CROSS JOIN (SELECT DISTINCT n FROM bw) k WHERE len(w) >= n) x),
+hit AS (SELECT doc_id, j, n, item_id FROM dw JOIN bw USING (n, g)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(j, j + n - 1)) AS p FROM hit) x GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) x GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others train, hash or tokenise in ways that SQL does not have; tests hold them against brute force."""
+    return {"op2_decontaminate": OP2_SQL}

@@ -125,3 +125,12 @@ def test_main_text(spark):
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert {r.page_id: (r.text, r.n_chars) for r in got.collect()} == {**{i: (t, len(t)) for i, t in enumerate(PAGES.values())}, None: ("", 0)}
+
+
+def test_decontamination_matches_its_sql(spark):
+    from oracle import compare, connect
+
+    from keyloom.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    compare(spark, connect(sf), sf, queries.op2_decontaminate, queries.OP2_SQL)
