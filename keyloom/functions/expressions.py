@@ -192,6 +192,7 @@ class Aggregate(Expr):
     op: str
     of: Expr
     type: BaseType
+    function: Callable[[SparkColumn], SparkColumn] | None = None
 
     def __str__(self) -> str:
         return f"{self.op}({self.of})"
@@ -212,6 +213,11 @@ def call(function: Callable[..., SparkColumn], *args, type: BaseType = OBJECT) -
     return Apply(getattr(function, "__name__", "call"), tuple(map(wrap, args)), type, function)
 
 
+def fold(function: Callable[[SparkColumn], SparkColumn], x, type: BaseType = OBJECT) -> Expr:
+    """Any Spark aggregate (or grouped pandas UDF) as an aggregate over hidden keys."""
+    return Aggregate(getattr(function, "__name__", "fold"), wrap(x), type, function)
+
+
 def _divide(a: SparkColumn, b: SparkColumn) -> SparkColumn:
     infinite = F.when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf")))
     return F.when(b == 0, infinite).otherwise(a / F.when(b != 0, b))

@@ -366,14 +366,14 @@ class Table:
         for key, x in windows.items():
             inner = to_spark(x.of, lambda y: col(columns[id(y)]) if id(y) in columns else col(y.name))
             over = Window.partitionBy(*map(quoted, [k for k in strong if k in self.keys])) if strong else Window.partitionBy(F.lit(0))
-            df = df.withColumn(columns[key], _fold(x.op, inner, hidden).over(over))
+            df = df.withColumn(columns[key], _fold(x, inner, hidden).over(over))
         value = to_spark(expr, lambda y: col(columns[id(y)]))
         df = df.select(*map(quoted, (*strong, *hidden)), value.alias(name)).filter(col(name).isNotNull())
         return Relation(df, tuple(strong), tuple(hidden), name)
 
     def _aggregate(self, x: Aggregate, name: str) -> Relation:
         inner = self._evaluate(x.of, _temp())
-        agg = _fold(x.op, col(inner.value), list(inner.hidden)).alias(name)
+        agg = _fold(x, col(inner.value), list(inner.hidden)).alias(name)
         df = inner.df.groupBy(*map(quoted, inner.strong)).agg(agg) if inner.strong else inner.df.agg(agg)
         return Relation(df.filter(col(name).isNotNull()), inner.strong, (), name)
 
@@ -395,8 +395,20 @@ class Table:
             value, fill = value.cast("double"), fill.cast("double")
         return Relation(df.select(*map(quoted, inner.keys), F.coalesce(value, fill).alias(name)).filter(col(name).isNotNull()), inner.strong, inner.hidden, name)
 
+    def mask(self, column, condition: Expr, name: str) -> "Table":
+        """A column's values where a condition holds, as a new column."""
+        (own,) = self._named(column)
+        return self.deduce(self[own].mask(condition), name)
+
     # reshaping
 
+    def displayed(self, columns, marker: int) -> "Table":
+        """The same table with these columns in this order, `marker` of them on the left. Keys stay on the left, all of them."""
+        names = self._named(columns)
+        if not set(self.keys) <= set(names[:marker]):
+            raise ColumnError(f"the keys {sorted(self.keys)} have to be left of the marker")
+        return replace(self, shown=tuple(names), marker=marker)
+
     def _map(self, change) -> dict[str, Value]:
         return {n: replace(v, relation=change(v.relation)) for n, v in self.values.items()}
 
@@ -647,9 +659,11 @@ def _all_refs(expr: Expr) -> list[Ref]:
     return out
 
 
-def _fold(op: str, value, hidden: list[str]):
-    if op == "pop":
+def _fold(x: Aggregate, value, hidden: list[str]):
+    if x.function is not None:
+        return x.function(value)
+    if x.op == "pop":
         return F.min_by(value, F.struct(*map(quoted, hidden))) if hidden else F.min(value)
-    if op == "count":
+    if x.op == "count":
         return F.when(F.count(value) > 0, F.count(value).cast("double"))
-    return {"sum": lambda v: F.sum(v.cast("double")), "avg": lambda v: F.avg(v.cast("double")), "max": F.max, "min": F.min, "any": F.bool_or, "all": F.bool_and}[op](value)
+    return {"sum": lambda v: F.sum(v.cast("double")), "avg": lambda v: F.avg(v.cast("double")), "max": F.max, "min": F.min, "any": F.bool_or, "all": F.bool_and}[x.op](value)
