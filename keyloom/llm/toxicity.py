@@ -28,6 +28,8 @@ STEM = 5
 DISCOUNT = 2.0
 #: Log-likelihood difference of an expression that is taken for noise.
 MARGIN = 1.25
+#: Difference per word that counts as nothing.
+FLOOR = 1e-3
 #: Slots of the broadcast tables, as a power of two: 12 MB each, whatever the corpus.
 SLOT_BITS = 20
 #: Labelled rows, at most, on which the score is calibrated.
@@ -67,6 +69,11 @@ class Table:
         return found, self.values[at]
 
 
+def evidence(difference: np.ndarray) -> np.ndarray:
+    """What is calibrated: texts differ in toxicity by orders of magnitude, and below FLOOR a word is none."""
+    return np.log(np.maximum(difference, 0) + FLOOR)
+
+
 class Model:
     """Differences by word where they are not those of the stem, differences by stem, and the calibration."""
 
@@ -83,7 +90,7 @@ class Model:
         return _per_doc(value, np.concatenate(([0], np.cumsum(n)))) / np.maximum(1, n)
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(data, off) + self.shift, -35, 35)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * evidence(self.raw(data, off)) + self.shift, -35, 35)))
 
 
 def count(rows: DataFrame) -> DataFrame:
@@ -199,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     got = _scored(held, model, "_t", "z", True).orderBy("_k").select("_y", "z").toArrow()
     y, z = np.asarray(got["_y"]).astype(np.float64), np.asarray(got["z"])
     if len(y) and y.min() != y.max():
-        model.scale, model.shift = _logistic(z, y, np.ones(len(y)))
+        model.scale, model.shift = _logistic(evidence(z), y, np.ones(len(y)))
     else:
         model.scale, model.shift = (1.0, -3.0) if not len(y) or y.max() == 0 else (1.0, 3.0)
     return model
