@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     if len(y) and y.min() != y.max():
         model.scale, model.shift = _logistic(evidence(z), y, np.ones(len(y)))
     else:
-        model.scale, model.shift = (1.0, -3.0) if not len(y) or y.max() == 0 else (1.0, 3.0)
+        model.scale, model.shift = (0.0, -3.0) if not len(y) or y.max() == 0 else (0.0, 3.0)
     return model
 
 
