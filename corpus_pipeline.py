@@ -9,16 +9,19 @@ from keyloom.llm.queries import MIX, leaf_path, tokens_in
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.importable(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     names = docs.columns
     return quality.judge(docs, quality.train(docs, labels)).filter("kept").select(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.importable(spark)
     return simhash.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.importable(spark)
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -27,6 +30,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.importable(spark)
     return sharding.assign(docs)
 
 
@@ -43,7 +47,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages' rows for sf_dir's documents, with a table written between stages."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = common.importable(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

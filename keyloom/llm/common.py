@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import the package, wherever the driver was started. On a cluster it is shipped with the job."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+    return spark
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of written() that no later step reads."""
     spark = df.sparkSession

@@ -10,7 +10,7 @@ from . import common, decontaminate, html_extract, mixing, quality, sentence_spa
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return common.importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: Target weights: by domain, then language within it, then source within that; others weigh 1.
