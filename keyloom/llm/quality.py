@@ -18,6 +18,8 @@ from . import common as C
 
 #: Labelled rows, at most, that the model is fitted on: the first by a seeded hash of their id.
 SAMPLE_ROWS = 4000
+#: Feature entries that the fit works on at once.
+FIT_ENTRIES = 1 << 20
 #: Buckets of each of the two feature kinds.
 BUCKETS = 1 << 16
 #: Bytes of a character n-gram and words of a word n-gram, the longest.
@@ -139,27 +141,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60
 
 
 def fit(rows: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]], rounds: int = 80, l2: float = 3e-6) -> Model:
-    """Fit on (label, sparse mean features of both kinds); a fourth of the rows calibrates. One label only gives a constant model."""
+    """Fit on (label, sparse mean features of both kinds), which it uses up; a fourth of the rows calibrates. One label only gives a constant model."""
     y = np.array([r[0] for r in rows], dtype=np.float64)
     if len(rows) < 8 or y.min() == y.max():
         return Model([np.zeros(BUCKETS)] * 2, 0.0, 0.0, 0.0 if not len(rows) else (3.0 if y.mean() > 0.5 else -3.0))
-    hold = np.arange(len(rows)) % 4 == 3
+    n = len(rows)
+    hold = np.arange(n) % 4 == 3
+    bounds = np.concatenate(([0], np.cumsum([len(r[1][0][0]) + len(r[1][1][0]) for r in rows])))
     index = np.concatenate([np.concatenate((b0, b1 + BUCKETS)) for _, ((b0, _), (b1, _)) in rows])
     value = np.concatenate([np.concatenate((v0, v1)) for _, ((_, v0), (_, v1)) in rows])
-    bounds = np.concatenate(([0], np.cumsum([len(r[1][0][0]) + len(r[1][1][0]) for r in rows])))
-    row = np.repeat(np.arange(len(rows)), np.diff(bounds))
+    rows.clear()  # the arrays hold all that is needed
+    parts = list(C.chunks(bounds, FIT_ENTRIES))
     train = ~hold
     share = np.where(y == 1, train.sum() / (2 * max(1, y[train].sum())), train.sum() / (2 * max(1, (1 - y)[train].sum()))) * train
     w, bias, seen, bias_seen = np.zeros(2 * BUCKETS), 0.0, np.full(2 * BUCKETS, 1e-12), 1e-12
+
+    def scores() -> np.ndarray:
+        out = [_per_doc(w[index[bounds[lo] : bounds[hi]]] * value[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]) for lo, hi in parts]
+        return np.concatenate(out) + bias
+
     for _ in range(rounds):
-        z = np.bincount(row, weights=w[index] * value, minlength=len(rows)) + bias
-        g = share * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / train.sum()
-        grad = np.bincount(index, weights=value * g[row], minlength=2 * BUCKETS) + l2 * w * 1e-2
+        g = share * (1 / (1 + np.exp(-np.clip(scores(), -35, 35))) - y) / train.sum()
+        grad = l2 * w * 1e-2
+        for lo, hi in parts:
+            own = slice(bounds[lo], bounds[hi])
+            grad += np.bincount(index[own], weights=value[own] * np.repeat(g[lo:hi], np.diff(bounds[lo : hi + 1])), minlength=2 * BUCKETS)
         seen += grad * grad
         bias_seen += g.sum() ** 2
         w -= 2.0 * grad / np.sqrt(seen)
         bias -= 0.1 * g.sum() / np.sqrt(bias_seen)
-    z = np.bincount(row, weights=w[index] * value, minlength=len(rows)) + bias
+    z = scores()
     scale, shift = _logistic(z[hold], y[hold], np.ones(hold.sum()))
     return Model([w[:BUCKETS], w[BUCKETS:]], bias, scale, shift)
 
