@@ -26,8 +26,9 @@ from . import common as C
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: near_duplicates(): words of a shingle, least similarity, 64-bit words of the fingerprint, bands and bits of each.
 WORDS, SIMILARITY, WIDE, BANDS, BAND_BITS = 5, 0.8, 4, 48, 18
-#: Similarity whose expected distance is still taken for a link: fingerprints estimate it with an error of some 0.03.
-SLACK = 0.03
+#: Fingerprints estimate a similarity with an error of some 0.03. Pairs within the distance expected at SURE are linked; others
+#: within that expected at similarity - SLACK are verified on their shingles.
+SURE, SLACK = 0.92, 0.10
 #: Reference fingerprints of the pivot table.
 PIVOTS = 32
 #: A larger bucket is dealt out again by blocks of the remaining bits.
@@ -78,63 +79,99 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
     return out
 
 
-def bucket_links(fps: np.ndarray, radius: int, sizes: np.ndarray | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root) indices of a bucket's fingerprints that link them into their components; roots are left out.
+class _Bucket:
+    """A bucket's fingerprints, in order of the first pivot coordinate, and the component of each.
 
-    With sizes, a link also needs the smaller of both to be `least` of the larger
-    at least. Rows are taken in strips and compared with those that are not in
-    their component yet, so a bucket of copies of one text costs one strip.
+    Rows are taken in strips and compared with those that are not in their
+    component yet, so a bucket of copies of one text costs one strip.
     """
-    n = len(fps)
-    label = np.arange(n)
-    if n < 2:
-        return label[:0], label[:0]
-    table = pivot_table(fps) if n > 8 else np.zeros((n, 0), dtype=np.int16)
-    order = np.argsort(table[:, 0], kind="stable") if n > 8 else np.arange(n)
-    fps, table = fps[order], table[order]
-    sizes = sizes[order] if sizes is not None else None
-    hi = 0
-    while hi < n:
-        lo, hi = hi, min(n, hi + max(1, STRIP_PAIRS // n))
-        # along the first coordinate, partners lie in a narrow range
-        end = int(np.searchsorted(table[:, 0], table[hi - 1, 0] + radius, "right")) if table.shape[1] else n
-        main = np.bincount(label[lo:end]).argmax()
-        rows, cols = np.arange(lo, hi), np.arange(lo, end)
-        other = cols[label[cols] != main]
-        pairs = [(rows[label[rows] == main], other), (rows[label[rows] != main], cols)]
-        for x, y in pairs:
-            if not len(x) or not len(y):
-                continue
-            i, j = (v.ravel() for v in np.meshgrid(x, y, indexing="ij"))
-            own = label[i] != label[j]
-            i, j = i[own], j[own]
-            for c in range(table.shape[1]):
-                if len(i) < 1024:
-                    break
-                near = np.abs(table[i, c] - table[j, c]) <= radius
-                i, j = i[near], j[near]
-            distance = np.zeros(len(i), dtype=np.int64)
-            for w in range(fps.shape[1]):
-                distance += np.bitwise_count(fps[i, w] ^ fps[j, w])
-            near = distance <= radius
+
+    def __init__(self, fps: np.ndarray, sizes: np.ndarray | None = None, least: float = 0.0):
+        self.n = len(fps)
+        table = pivot_table(fps) if self.n > 8 else np.zeros((self.n, 0), dtype=np.int16)
+        self.order = np.argsort(table[:, 0], kind="stable") if self.n > 8 else np.arange(self.n)
+        self.fps, self.table, self.least = fps[self.order], table[self.order], least
+        self.sizes = sizes[self.order] if sizes is not None else None
+        self.label = np.arange(self.n)
+
+    def near(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Strips of pairs (i, j, distance) within radius whose components differ."""
+        hi = 0
+        while hi < self.n:
+            lo, hi = hi, min(self.n, hi + max(1, STRIP_PAIRS // self.n))
+            # along the first coordinate, partners lie in a narrow range
+            end = int(np.searchsorted(self.table[:, 0], self.table[hi - 1, 0] + radius, "right")) if self.table.shape[1] else self.n
+            main = np.bincount(self.label[lo:end]).argmax()
+            rows, cols = np.arange(lo, hi), np.arange(lo, end)
+            other, away = cols[self.label[cols] != main], self.label[rows] != main
+            for x, y in ((rows[~away], other), (rows[away], cols)):
+                if len(x) and len(y):
+                    yield self._verified(*(v.ravel() for v in np.meshgrid(x, y, indexing="ij")), radius)
+
+    def _verified(self, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = self.label[i] != self.label[j]
+        i, j = i[own], j[own]
+        for c in range(self.table.shape[1]):  # no pair lies nearer than its largest coordinate difference
+            if len(i) < 1024:
+                break
+            near = np.abs(self.table[i, c] - self.table[j, c]) <= radius
             i, j = i[near], j[near]
-            if sizes is not None:
-                near = np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j])
-                i, j = i[near], j[near]
-            while len(i):  # join components, the smaller label wins
-                a, b = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-                low = np.arange(n)
-                np.minimum.at(low, b, a)
-                while True:
-                    deeper = low[low]
-                    if (deeper == low).all():
-                        break
-                    low = deeper
-                label = low[label]
-                own = label[i] != label[j]
-                i, j = i[own], j[own]
-    member = np.flatnonzero(label != np.arange(n))
-    return order[member], order[label[member]]
+        distance = np.zeros(len(i), dtype=np.int64)
+        for w in range(self.fps.shape[1]):
+            distance += np.bitwise_count(self.fps[i, w] ^ self.fps[j, w])
+        near = distance <= radius
+        if self.sizes is not None:
+            near &= np.minimum(self.sizes[i], self.sizes[j]) >= self.least * np.maximum(self.sizes[i], self.sizes[j])
+        return i[near], j[near], distance[near]
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Unite the components of each pair; the smaller label wins."""
+        while len(i):
+            a, b = np.minimum(self.label[i], self.label[j]), np.maximum(self.label[i], self.label[j])
+            low = np.arange(self.n)
+            np.minimum.at(low, b, a)
+            while True:
+                deeper = low[low]
+                if (deeper == low).all():
+                    break
+                low = deeper
+            self.label = low[self.label]
+            own = self.label[i] != self.label[j]
+            i, j = i[own], j[own]
+
+    def roots(self) -> tuple[np.ndarray, np.ndarray]:
+        """(member, root) of all but the roots, as places in the bucket as it was given."""
+        member = np.flatnonzero(self.label != np.arange(self.n))
+        return self.order[member], self.order[self.label[member]]
+
+
+def bucket_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) indices of a bucket's fingerprints (rows of 64-bit words) that link them into their components."""
+    bucket = _Bucket(fps)
+    for i, j, _ in bucket.near(radius):
+        bucket.join(i, j)
+    return bucket.roots()
+
+
+def bucket_pairs(fps: np.ndarray, sure: int, radius: int, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(member, root) of components within `sure`, and pairs (i, j) within radius that span them: nearest first, a forest in each strip."""
+    bucket = _Bucket(fps, sizes, least)
+    for i, j, _ in bucket.near(sure):
+        bucket.join(i, j)
+    member, root = bucket.roots()
+    x, y = [member[:0]], [member[:0]]
+    for i, j, d in bucket.near(radius):
+        while len(i):  # of each component, its nearest pair
+            ends = np.concatenate((bucket.label[i], bucket.label[j]))
+            nearest = np.lexsort((np.concatenate((d, d)), ends))
+            _, first = np.unique(ends[nearest], return_index=True)
+            pick = np.unique(nearest[first] % len(i))
+            x.append(bucket.order[i[pick]])
+            y.append(bucket.order[j[pick]])
+            bucket.join(i[pick], j[pick])
+            own = bucket.label[i] != bucket.label[j]
+            i, j, d = i[own], j[own], d[own]
+    return member, root, np.concatenate(x), np.concatenate(y)
 
 
 def _blocks(bits: list[int], k: int) -> list[list[int]]:
@@ -285,6 +322,33 @@ def wide_fingerprints(docs: DataFrame, text: str, key: str, shingle: int, words:
     return rows.mapInArrow(work, f"_k {rows.schema['_k'].dataType.simpleString()}, node long, size int, " + ", ".join(f"f{w} long" for w in range(words)))
 
 
+def _similar(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) of those pairs of texts (_ta, _tb) whose sets of shingles have that Jaccard similarity."""
+
+    def sets(texts: pa.Array) -> list[np.ndarray]:
+        data, off = C.text_bytes(texts)
+        low = C.LOWER[data]
+        start, end, doc = C.tokens(low, off, C.IN_WORD)
+        hashes = C.mix(C.span_hashes(C.prefix_hashes(low), start, end))
+        at, grams = C.run_hashes(hashes, doc, shingle)
+        first = np.searchsorted(doc, np.arange(len(off)))
+        bounds = np.searchsorted(at, first)
+        return [np.unique(grams[bounds[d] : bounds[d + 1]]) if first[d + 1] - first[d] >= shingle else np.array([xxhash.xxh64_intdigest(hashes[first[d] : first[d + 1]].tobytes())], dtype=np.uint64) for d in range(len(off) - 1)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 200):
+                batch = whole.slice(lo, 200)
+                keep = []
+                for x, y in zip(sets(C.column(batch, "_ta")), sets(C.column(batch, "_tb"))):
+                    common = len(x) + len(y) - len(np.union1d(x, y))
+                    keep.append(common >= similarity * (len(x) + len(y) - common))
+                mask = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([C.column(batch, c).filter(mask) for c in "ab"], ["a", "b"])
+
+    return pairs.select("a", "b", "_ta", "_tb").mapInArrow(work, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = WORDS, similarity: float = SIMILARITY, words: int = WIDE, bands: int = BANDS, band_bits: int = BAND_BITS) -> DataFrame:
     """(key, component_id) for documents whose sets of word shingles are similar: component_id is the smallest key reachable.
 
@@ -292,14 +356,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     too many for disjoint blocks of 64 bits. So fingerprints are wider here, and
     buckets are of bands: fixed random choices of band_bits of their bits. A pair
     at the least similarity meets in a bucket with a probability of about 0.92, one
-    at 0.85 of 0.98. In a bucket, pairs within the expected distance of
-    similarity - SLACK are linked if their sizes allow that similarity. Texts of
-    the same words are one node; texts without words are one as well.
+    at 0.85 of 0.98. In a bucket, very near pairs are linked; the nearest others
+    that would unite components are verified on the shingles of their texts. Texts
+    of the same words are one node; texts without words are one as well. Texts of
+    null keys are linked to very near ones only.
     """
     fps = C.written(wide_fingerprints(docs, text, key, shingle, words), "fingerprints")
     names = [f"f{w}" for w in range(words)]
     nodes = C.written(fps.groupBy("node").agg(F.min("_k").alias("least"), F.first("size").alias("size"), *(F.first(f).alias(f) for f in names)), "nodes")
-    radius = expected_distance(similarity - SLACK, 64 * words)
+    sure, radius = (expected_distance(x, 64 * words) for x in (max(SURE, similarity), similarity - SLACK))
     rng = np.random.default_rng(2024)
     choices = np.stack([rng.choice(64 * words, band_bits, replace=False) for _ in range(bands)])
 
@@ -333,19 +398,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
         keys, node, size = (np.asarray(table[c]) for c in ("key", "node", "size"))
         own = np.stack([np.asarray(table[f]) for f in names], axis=1).view(np.uint64)
         bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             if hi - lo > 1:
-                x, y = bucket_links(own[lo:hi], radius, size[lo:hi], similarity)
-                a.append(node[lo + x])
-                b.append(node[lo + y])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                member, root, x, y = bucket_pairs(own[lo:hi], sure, radius, size[lo:hi], similarity)
+                a.append(node[lo + np.concatenate((member, x))])
+                b.append(node[lo + np.concatenate((root, y))])
+                c.append(np.arange(len(member) + len(x)) < len(member))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b, c)], ["a", "b", "sure"])
 
     kinds = "node long, size int, " + ", ".join(f"{f} long" for f in names)
     dealt = nodes.filter("size > 0").select("node", "size", *names).mapInArrow(deal, "key long, " + kinds)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
-    roots = components(edges)
+    edges = C.written(dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(link, "a long, b long, sure boolean"), "links")
+    roots = C.written(components(edges.filter("sure")), "sure-roots")
+    pairs = edges.filter("NOT sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for end in ("a", "b"):  # what is in one component need not be verified
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    pairs = C.written(pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "pairs")
+    if not pairs.isEmpty():
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "least"), "node")
+        texts = C.written(docs.select(F.col(key).alias("least"), F.col(text).alias("_t")).join(wanted, "least").groupBy("node").agg(F.first("_t").alias("_t")), "texts")
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("_t").alias("_ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("_t").alias("_tb")), "b")
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(both, shingle, similarity)))
     label = C.written(_labelled(nodes.select("node", "least"), roots), "labels")
     return fps.select("_k", "node").join(label, "node").select(F.col("_k").alias(key), "component_id")
 
