@@ -7,7 +7,6 @@ verified on the words themselves, and hit spans or whole documents go.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,8 +24,8 @@ SHARE = 20
 BLOCK_BYTES = 16 << 20
 
 
-def _hashed(texts: list[bytes] | np.ndarray, off: np.ndarray):
-    data = C.LOWER[texts]
+def _hashed(raw: np.ndarray, off: np.ndarray):
+    data = C.LOWER[raw]
     start, end, doc = C.tokens(data, off, C.IN_ALNUM)
     return data, start, end, doc, C.mix(C.span_hashes(C.prefix_hashes(data), start, end))
 
@@ -46,7 +45,6 @@ class Grams:
             at, keys = C.run_hashes(hashes, doc, n)
             for i, key in zip(at.tolist(), keys.tolist()):
                 found[n][key][b" ".join(low[start[j] : end[j]] for j in range(i, i + n))].add(str(item))
-        self.words = {n: dict(by) for n, by in found.items()}
         self.words = {n: {key: {w: sorted(s) for w, s in v.items()} for key, v in by.items()} for n, by in found.items()}
         self.keys = {n: np.sort(np.fromiter(by, dtype=np.uint64, count=len(by))) for n, by in found.items()}
 
@@ -198,6 +196,3 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, spans: bool = False, t
 
     return out.mapInArrow(cut, schema)
 
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -11,7 +11,6 @@ combined the same way at the end, which is but the upper part of one tree.
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,6 +140,3 @@ def _slots(rows: DataFrame, key: str, ranges: int) -> DataFrame:
     within = Window.partitionBy("shard", "_kl_range").orderBy(F.col(key).asc_nulls_first(), "_kl_h")
     return dealt.withColumn("_kl_at", F.row_number().over(within) - 1).join(counts, ["shard", "_kl_range"]).withColumn("slot", (F.col("_kl_first") + F.col("_kl_at")).cast("long")).drop("_kl_first", "_kl_at", "_kl_range")
 
-
-def crc32(text: str | None) -> int:
-    return zlib.crc32((text or "").encode())
