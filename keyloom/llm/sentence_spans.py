@@ -110,7 +110,7 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     again = own.join(first, ["_h", "_g"]).filter("_kl_k > _first").groupBy("_kl_k").agg(F.sort_array(F.collect_set("_at")).alias("_kl_again"))
     again = C.written(again, "sentence-runs")
     C.release_shuffles(docs.sparkSession)
-    rows = docs.join(again, docs[key] == again["_kl_k"], "left").drop("_kl_k")
+    rows = docs.join(again.hint("merge"), docs[key] == again["_kl_k"], "left").drop("_kl_k")  # it grows with the corpus: shuffled at any size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
