@@ -26,9 +26,13 @@ from . import common as C
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: near_duplicates(): words of a shingle, least similarity, 64-bit words of the fingerprint, bands and bits of each.
 WORDS, SIMILARITY, WIDE, BANDS, BAND_BITS = 5, 0.8, 4, 48, 18
-#: Fingerprints estimate a similarity with an error of some 0.03. Pairs within the distance expected at SURE are linked; others
-#: within that expected at similarity - SLACK are verified on their shingles.
-SURE, SLACK = 0.92, 0.10
+#: Fingerprints estimate a similarity with an error of some 0.03. Pairs within the distance expected at similarity - SLACK are verified
+#: on their shingles.
+SLACK = 0.10
+#: Pairs of a node that a bucket gives in its second round, and times more in each later one.
+PARTNERS = 16
+#: While more pairs than this for each end are open, those nearest to each component are verified first.
+OPEN_PAIRS = 4
 #: Reference fingerprints of the pivot table.
 PIVOTS = 32
 #: A larger bucket is dealt out again by blocks of the remaining bits.
@@ -86,13 +90,13 @@ class _Bucket:
     component yet, so a bucket of copies of one text costs one strip.
     """
 
-    def __init__(self, fps: np.ndarray, sizes: np.ndarray | None = None, least: float = 0.0):
+    def __init__(self, fps: np.ndarray, sizes: np.ndarray | None = None, least: float = 0.0, roots: np.ndarray | None = None):
         self.n = len(fps)
         table = pivot_table(fps) if self.n > 8 else np.zeros((self.n, 0), dtype=np.int16)
         self.order = np.argsort(table[:, 0], kind="stable") if self.n > 8 else np.arange(self.n)
         self.fps, self.table, self.least = fps[self.order], table[self.order], least
         self.sizes = sizes[self.order] if sizes is not None else None
-        self.label = np.arange(self.n)
+        self.label = np.arange(self.n) if roots is None else np.unique(roots, return_inverse=True)[1][self.order]
 
     def near(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Strips of pairs (i, j, distance) within radius whose components differ."""
@@ -153,25 +157,29 @@ def bucket_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket.roots()
 
 
-def bucket_pairs(fps: np.ndarray, sure: int, radius: int, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(member, root) of components within `sure`, and pairs (i, j) within radius that span them: nearest first, a forest in each strip."""
+def bucket_forest(fps: np.ndarray, radius: int, sizes: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Pairs (i, j, distance) within radius that span their components: nearest first, a forest in each strip. They tell all only where each of them is verified."""
     bucket = _Bucket(fps, sizes, least)
-    for i, j, _ in bucket.near(sure):
-        bucket.join(i, j)
-    member, root = bucket.roots()
-    x, y = [member[:0]], [member[:0]]
     for i, j, d in bucket.near(radius):
         while len(i):  # of each component, its nearest pair
             ends = np.concatenate((bucket.label[i], bucket.label[j]))
             nearest = np.lexsort((np.concatenate((d, d)), ends))
             _, first = np.unique(ends[nearest], return_index=True)
             pick = np.unique(nearest[first] % len(i))
-            x.append(bucket.order[i[pick]])
-            y.append(bucket.order[j[pick]])
+            yield bucket.order[i[pick]], bucket.order[j[pick]], d[pick], False
             bucket.join(i[pick], j[pick])
             own = bucket.label[i] != bucket.label[j]
             i, j, d = i[own], j[own], d[own]
-    return member, root, np.concatenate(x), np.concatenate(y)
+
+
+def bucket_partners(fps: np.ndarray, radius: int, sizes: np.ndarray, least: float, roots: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Pairs (i, j, distance) within radius of different roots, the `most` nearest of each i, and whether these are all in their strip."""
+    bucket = _Bucket(fps, sizes, least, roots)
+    for i, j, d in bucket.near(radius):
+        nearest = np.lexsort((d, i))
+        i, j, d = i[nearest], j[nearest], d[nearest]
+        own = np.arange(len(i)) - np.searchsorted(i, i) < most
+        yield bucket.order[i[own]], bucket.order[j[own]], d[own], bool(own.all())
 
 
 def _blocks(bits: list[int], k: int) -> list[list[int]]:
@@ -356,15 +364,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     too many for disjoint blocks of 64 bits. So fingerprints are wider here, and
     buckets are of bands: fixed random choices of band_bits of their bits. A pair
     at the least similarity meets in a bucket with a probability of about 0.92, one
-    at 0.85 of 0.98. In a bucket, very near pairs are linked; the nearest others
-    that would unite components are verified on the shingles of their texts. Texts
-    of the same words are one node; texts without words are one as well. Texts of
-    null keys are linked to very near ones only.
+    at 0.85 of 0.98. Only pairs that are verified on the shingles of their texts are
+    linked. A bucket first gives the nearest pairs that would unite what is near in
+    it; where one of them is rejected, it gives further pairs of what is not united,
+    more in each round, until none is left. Texts of the same words are one node;
+    texts without words are one as well. Texts of null keys are linked to none but
+    those of the same words.
     """
     fps = C.written(wide_fingerprints(docs, text, key, shingle, words), "fingerprints")
     names = [f"f{w}" for w in range(words)]
     nodes = C.written(fps.groupBy("node").agg(F.min("_k").alias("least"), F.first("size").alias("size"), *(F.first(f).alias(f) for f in names)), "nodes")
-    sure, radius = (expected_distance(x, 64 * words) for x in (max(SURE, similarity), similarity - SLACK))
+    radius = expected_distance(similarity - SLACK, 64 * words)
     rng = np.random.default_rng(2024)
     choices = np.stack([rng.choice(64 * words, band_bits, replace=False) for _ in range(bands)])
 
@@ -377,50 +387,105 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
                 weight = (1 << np.arange(band_bits)).astype(np.int64)
                 keys = np.concatenate([bits[:, c].astype(np.int64) @ weight | n << band_bits for n, c in enumerate(choices)])
                 which = pa.array(np.tile(np.arange(len(own)), bands))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(C.column(part, c).take(which) for c in ["node", "size", *names])], ["key", "node", "size", *names])
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            keys = np.asarray(C.column(batch, "key"))
-            cut = int(np.searchsorted(keys, keys[-1], "left"))
-            if held and np.asarray(C.column(held[-1], "key"))[-1] != keys[-1]:
-                yield buckets([*held, batch.slice(0, cut)])
-                held = []
-            elif not held and cut:
-                yield buckets([batch.slice(0, cut)])
-            held.append(batch.slice(cut) if not held else batch)
-        if held:
-            yield buckets(held)
-
-    def buckets(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(C.column(part, c).take(which) for c in ["node", "root", "size", *names])], ["key", "node", "root", "size", *names])
+
+    def linked(most: int | None):
+        def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys = np.asarray(C.column(batch, "key"))
+                cut = int(np.searchsorted(keys, keys[-1], "left"))
+                if held and np.asarray(C.column(held[-1], "key"))[-1] != keys[-1]:
+                    yield from buckets([*held, batch.slice(0, cut)], most)
+                    held = []
+                elif not held and cut:
+                    yield from buckets([batch.slice(0, cut)], most)
+                held.append(batch.slice(cut) if not held else batch)
+            if held:
+                yield from buckets(held, most)
+
+        return link
+
+    def buckets(rows: list[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows)
-        keys, node, size = (np.asarray(table[c]) for c in ("key", "node", "size"))
+        keys, node, root, size = (np.asarray(table[c]) for c in ("key", "node", "root", "size"))
         own = np.stack([np.asarray(table[f]) for f in names], axis=1).view(np.uint64)
         bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        a, b, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        out: list[tuple[np.ndarray, ...]] = []
+        n = 0
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             if hi - lo > 1:
-                member, root, x, y = bucket_pairs(own[lo:hi], sure, radius, size[lo:hi], similarity)
-                a.append(node[lo + np.concatenate((member, x))])
-                b.append(node[lo + np.concatenate((root, y))])
-                c.append(np.arange(len(member) + len(x)) < len(member))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b, c)], ["a", "b", "sure"])
-
-    kinds = "node long, size int, " + ", ".join(f"{f} long" for f in names)
-    dealt = nodes.filter("size > 0").select("node", "size", *names).mapInArrow(deal, "key long, " + kinds)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = C.written(dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(link, "a long, b long, sure boolean"), "links")
-    roots = C.written(components(edges.filter("sure")), "sure-roots")
-    pairs = edges.filter("NOT sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for end in ("a", "b"):  # what is in one component need not be verified
-        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    pairs = C.written(pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "pairs")
-    if not pairs.isEmpty():
+                args = own[lo:hi], radius, size[lo:hi], similarity
+                for i, j, d, whole in bucket_forest(*args) if most is None else bucket_partners(*args, root[lo:hi], most):
+                    if len(i):
+                        x, y = node[lo + i], node[lo + j]
+                        out.append((np.full(len(i), keys[lo]), np.minimum(x, y), np.maximum(x, y), d.astype(np.int32), np.full(len(i), whole)))
+                        n += len(i)
+                    if n > STRIP_PAIRS:
+                        yield edge_batch(out)
+                        out, n = [], 0
+        if out:
+            yield edge_batch(out)
+
+    def edge_batch(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out)], ["key", "a", "b", "d", "whole"])
+
+    def candidates(roots: DataFrame | None, keys: DataFrame | None, most: int | None) -> DataFrame:
+        rows = nodes.filter("size > 0").select("node", "size", *names)
+        rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        types = "node long, root long, size int, " + ", ".join(f"{f} long" for f in names)
+        dealt = rows.select("node", "root", "size", *names).mapInArrow(deal, "key long, " + types)
+        if keys is not None:
+            dealt = dealt.join(keys, "key", "left_semi").select("key", "node", "root", "size", *names)
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return C.written(dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(linked(most), "key long, a long, b long, d int, whole boolean"), "links")
+
+    def apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """pairs whose ends are in different components, with the root of each end."""
+        for end in ("a", "b"):
+            if roots is None:
+                pairs = pairs.withColumn(f"root_{end}", F.col(end))
+            else:
+                pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+        return pairs.filter("root_a <> root_b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "least"), "node")
         texts = C.written(docs.select(F.col(key).alias("least"), F.col(text).alias("_t")).join(wanted, "least").groupBy("node").agg(F.first("_t").alias("_t")), "texts")
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("_t").alias("_ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("_t").alias("_tb")), "b")
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(both, shingle, similarity)))
+        return _similar(both, shingle, similarity)
+
+    roots = good = tested = most = None
+    edges = candidates(None, None, None)
+    while True:
+        for k in range(4):
+            todo = apart(edges.groupBy("a", "b").agg(F.min("d").alias("d")), roots)
+            todo = C.written(todo if tested is None else todo.join(tested, ["a", "b"], "left_anti"), "pairs")
+            n = todo.count()
+            if not n:
+                break
+            ends = todo.select(F.col("root_a").alias("root"), "a", "b", "d").union(todo.select("root_b", "a", "b", "d"))
+            all_of = k == 3 or most is not None or n <= OPEN_PAIRS * ends.select("root").distinct().count()
+            if not all_of:
+                todo = C.written(ends.groupBy("root").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("x")).select("x.a", "x.b").distinct(), "pairs")
+            todo = todo.select("a", "b")
+            found = verified(todo)
+            good = C.written(found if good is None else good.unionByName(found), "verified")
+            tested = C.written(todo if tested is None else tested.unionByName(todo), "tested")
+            roots = C.written(components(good), "roots")
+            if all_of:
+                break
+        # a bucket is done where its forest holds, and else where it has given all its pairs
+        rest = apart(edges, roots) if most is None else edges.filter("NOT whole")
+        keys = C.written(rest.select("key").distinct(), "open-buckets")
+        if keys.isEmpty():
+            break
+        most = PARTNERS * (most or 1)
+        edges = candidates(roots, keys, most)
+    if roots is None:
+        roots = nodes.select("node", F.col("node").alias("root")).limit(0)
     label = C.written(_labelled(nodes.select("node", "least"), roots), "labels")
     return fps.select("_k", "node").join(label, "node").select(F.col("_k").alias(key), "component_id")
 

@@ -75,6 +75,23 @@ def test_near_duplicates_of_similar_shingles(some_docs):
     assert kept == {rows[i][0] for i in set(roots)}
 
 
+def test_rejected_pairs_leave_the_others_to_be_tried(spark):
+    """Families of variants whose similarities lie around 0.8: a forest of the nearest pairs alone unites too few of them."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for f in range(3):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for _ in range(40):
+            words = list(base)
+            for p in rng.choice(300, 4 if f else 5, replace=False):
+                words[p] = f"x{rng.integers(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(296)) for _, t in rows]
+    roots = _reach(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(roots)
+
+
 def _suffixes(rows):
     seen, out = set(), {}
     for key, text in sorted(rows):
