@@ -5,9 +5,10 @@ place are found by one global aggregation and join, and sentences covered by
 any occurrence but the first are removed.
 
 A sentence ends at `.`, `!` or `?` (other marks may follow) or at a line break.
-So that text without such marks has sentences as well, one also ends after one
-word in CLAUSE, chosen by the word's hash, and after a word that repeats the one
-before it. The run that begins at a sentence is
+One also ends after the word of the smallest hash of each CLAUSE neighbours of a
+document, so none is longer than CLAUSE words, and after a word that repeats the
+one before it. Equal passages are cut alike but for their first and last CLAUSE - 1
+words, so each of 51 words or more holds a whole run. The run that begins at a sentence is
 the shortest of RUN sentences and RUN_WORDS words at least; words are compared
 in lower case (A-Z), white space is not compared.
 """
@@ -22,11 +23,24 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import common as C
 
-RUN, RUN_WORDS, CLAUSE = 3, 25, 16
+RUN, RUN_WORDS, CLAUSE = 3, 25, 8
 _STOP = np.zeros(256, dtype=bool)
 _STOP[np.frombuffer(b".!?", dtype=np.uint8)] = True
 
 
+def _smallest(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The place of the smallest hash, the last of equal ones, of each CLAUSE neighbours of one document."""
+    m = len(hashes) - CLAUSE + 1
+    if m <= 0:
+        return np.zeros(0, np.int64)
+    least, at = hashes[:m].copy(), np.arange(m)
+    for j in range(1, CLAUSE):
+        lower = hashes[j : j + m] <= least
+        least[lower] = hashes[j : j + m][lower]
+        at[lower] = np.flatnonzero(lower) + j
+    return at[doc[:m] == doc[CLAUSE - 1 :]]
+
+
 class Sentences:
     """Sentences of some documents: bounds of each in bytes, and the hashes of the runs that begin at them."""
 
@@ -35,7 +49,8 @@ class Sentences:
         start, end, doc = C.tokens(low, off, C.IN_WORD)
         hashes = C.mix(C.span_hashes(C.prefix_hashes(low), start, end))
         n = len(start)
-        stop = (hashes & np.uint64(CLAUSE - 1)) == 0
+        stop = np.zeros(n, dtype=bool)
+        stop[_smallest(hashes, doc)] = True
         for j in range(1, 5):
             at = end - j
             stop |= (at >= start) & _STOP[data[np.maximum(at, 0)]]

@@ -179,3 +179,20 @@ def test_sentence_runs_against_brute_force(some_docs, monkeypatch):
                 cut |= set(range(i, int(c.to[i]) + 1))
             first[h] = 1
         assert (len(c.doc), len(cut)) == want[key]
+
+
+@pytest.mark.parametrize("mark", ["", "."])
+def test_each_shared_passage_of_51_words_holds_a_run(mark):
+    """Passages in other contexts, without marks and with a mark after every seventeenth word."""
+    rng = np.random.default_rng(6)
+
+    def words(n):
+        return [f"w{x}" + (mark if i % 17 == 16 else "") for i, x in enumerate(rng.integers(0, 3000, n))]
+
+    for _ in range(300):
+        passage = words(51)
+        found = []
+        for _ in range(2):
+            data = " ".join([*words(int(rng.integers(0, 60))), *passage, *words(int(rng.integers(0, 60)))]).encode()
+            found.append(set(sentence_spans.Sentences(np.frombuffer(data, np.uint8), np.array([0, len(data)])).h.tolist()))
+        assert found[0] & found[1]
