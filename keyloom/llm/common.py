@@ -177,3 +177,11 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def unused(name: str, names: list[str]) -> str:
+    """name, lengthened until none of names is like it."""
+    taken = {x.lower() for x in names}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,4 +1,4 @@
-"""Decontamination, quality, toxicity and HTML."""
+"""Decontamination, quality and toxicity."""
 
 import hashlib
 import re
@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from keyloom.llm import common, decontaminate, html_extract, quality, toxicity
+from keyloom.llm import common, decontaminate, quality, toxicity
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -107,26 +107,6 @@ def test_toxicity_never_reads_held_out_labels(spark):
     assert all(abs(again[i] - got[i].score) < 1e-9 for i in got)
 
 
-PAGES = {
-    "": "",
-    "<p>hi": "hi",
-    "plain &amp; simple": "plain & simple",
-    "<nav>a</nav><article><h1>T</h1><p>One&nbsp;two <b>th</b>ree<br>four</p><aside>x</aside><form>y</form><p>z</p></article><footer>f</footer>": "T One two three four z",
-    "<div class='sidebar'>s</div><main><p>Long enough to be the article of this page.</p><p>ok</p><section class='comments'><article><p>no, no, no</p></article></section></main>": "Long enough to be the article of this page. ok",
-    "<header>h</header><article><script>var t='</p>'</script><p>a</p><style>b{}</style></article><article><p>c</p></article>": "a",
-    "<div id=c><p>One two three four five six seven eight.</p><p>ok</p><p>Nine ten eleven twelve thirteen words.</p></div><div class='cookie-notice'>n</div>": "One two three four five six seven eight. ok Nine ten eleven twelve thirteen words.",
-}
-
-
-def test_main_text(spark):
-    for html, text in PAGES.items():
-        assert html_extract.main_text(html) == text, html
-    rows = [(i, f"u{i}", h, "old") for i, h in enumerate(PAGES)] + [(None, None, None, None)]
-    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
-    assert got.columns == ["page_id", "url", "text", "n_chars"]
-    assert {r.page_id: (r.text, r.n_chars) for r in got.collect()} == {**{i: (t, len(t)) for i, t in enumerate(PAGES.values())}, None: ("", 0)}
-
-
 def test_decontamination_matches_its_sql(spark):
     from oracle import compare, connect
 
