@@ -185,3 +185,26 @@ def unused(name: str, names: list[str]) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def slices(data: np.ndarray, off: np.ndarray, inside: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """(lo, hi, data, offsets, again): the documents by chunks, those longer than `most` bytes cut between words.
+
+    A later part of a long document begins with the last word of the part before
+    (`again`), so that it is known what each word follows.
+    """
+    for lo, hi in chunks(off, most):
+        a, b = int(off[lo]), int(off[hi])
+        again = False
+        while b - a > most and hi == lo + 1:
+            gap = np.flatnonzero(~inside[data[a + 1 : a + most]])
+            edge = gap[1:][np.diff(gap) > 1] if len(gap) else gap  # a gap after a word
+            if not len(edge) or again and len(edge) < 2:
+                break  # one word fills the part
+            end = a + 1 + int(edge[-1])
+            yield lo, hi, data[a:end], np.array([0, end - a]), again
+            word = np.flatnonzero(inside[data[a:end]])
+            last = int(word[-1])
+            before = np.flatnonzero(~inside[data[a : a + last]])
+            a, again = a + (int(before[-1]) + 1 if len(before) else 0), True
+        yield lo, hi, data[a:b], off[lo : hi + 1] - off[lo] if not again else np.array([0, b - a]), again

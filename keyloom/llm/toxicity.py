@@ -1,14 +1,25 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of a text's expressions (its normalised words) are learnt from toxic
-and from ordinary documents. Each discounts its counts by an absolute amount and
-backs off from a word to its stem, and from the stem to one distribution of both
-classes; counts are of documents, so that a text which repeats itself counts
-once. Discounts are in proportion to the size of the class, so a rare expression
-is left to the shared counts in both alike. A text's score compares its
-log-likelihoods under the two, per word; differences of an expression within
-MARGIN are taken for noise. The score is calibrated on labelled rows that the
-counts have not seen.
+A text is a sequence of words, and a word one of pieces: PIECE bytes each, the
+last of fewer, so that a shorter piece ends the word. Two bigram models of pieces
+are learnt, from toxic and from ordinary documents. The context of a word's first
+piece is the first piece of the word before it, that of a later piece the word's
+beginning. Both are interpolated Kneser-Ney models:
+
+    P(w | v) = max(N(v w) - D, 0) / N(v) + g(v) P(w)
+    P(w) = max(K(w) - E, 0) / K + l S(w)
+
+N counts occurrences and K(w) the contexts that w was met in, in the class; g and
+l are the masses that the discounts set free. S is what both classes share: the
+contexts that w was met in, in either, with one more for each piece and for what
+is unknown. Discounts are in proportion to the class, so what is rare is left to
+the shared counts in both alike, and cancels out. Rows whose counts are within
+the discounts are thus not part of the model, and nothing is lost with them.
+
+Few words of a toxic text are toxic: its words are drawn from the toxic model
+with a probability of SHARE, else from the ordinary one. The score compares the
+log-likelihoods of this and of the ordinary model, per word, and is calibrated on
+labelled rows that the counts have not seen.
 """
 
 from __future__ import annotations
@@ -17,202 +28,290 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from . import common as C
-from .quality import _logistic, _per_doc
-
-#: Bytes of a stem.
-STEM = 5
-#: Documents discounted from the toxic count of an expression; from the ordinary count, in proportion.
-DISCOUNT = 2.0
-#: Log-likelihood difference of an expression that is taken for noise.
-MARGIN = 1.25
-#: Difference per word that counts as nothing.
-FLOOR = 1e-3
-#: Slots of the broadcast tables, as a power of two: 12 MB each, whatever the corpus.
-SLOT_BITS = 20
-#: Labelled rows, at most, on which the score is calibrated.
+from .quality import _logistic
+
+#: Bytes of a piece.
+PIECE = 4
+#: Occurrences, and contexts, discounted in the smaller class; in the larger, in proportion.
+DISCOUNT = 4.0
+#: Share of a toxic text's words that the toxic model is taken to write.
+SHARE = 0.003
+#: Difference per word at which its scale turns from linear to logarithmic.
+UNIT = 1e-4
+#: Labelled rows, at most, on which the score is calibrated: train(calibration_rows=...).
 CALIBRATION_ROWS = 20_000
+#: Rows of the model that are broadcast at once, 24 bytes each; a larger model scores block by block.
+BLOCK_ROWS = 2_000_000
 FOLDS = 5
+_START = 1
 
 
-def fold(key: str) -> Column:
+def fold(key: str | Column) -> Column:
     """0 to 4: 0 is held out, 1 calibrates, the others are counted."""
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(FOLDS))
+    return F.pmod(F.crc32((F.col(key) if isinstance(key, str) else key).cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def expressions(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, stems, document of each) as 64-bit hashes."""
-    low = C.LOWER[data]
-    start, end, doc = C.tokens(low, off, C.IN_ALNUM)
-    prefix = C.prefix_hashes(low)
-    words = C.mix(C.span_hashes(prefix, start, end))
-    return words, C.mix(C.span_hashes(prefix, start, np.minimum(end, start + STEM)) + np.uint64(STEM)), doc
+class Pieces:
+    """The pieces of some documents: hashes of each and of its context, its word, the word's document and the hash of the word's first piece."""
 
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        low = C.LOWER[data]
+        start, end, self.doc = C.tokens(low, off, C.IN_ALNUM)
+        prefix = C.prefix_hashes(low)
+        n = (end - start) // PIECE + 1
+        self.word = np.repeat(np.arange(len(start)), n)
+        place = np.arange(len(self.word)) - np.repeat(np.cumsum(n) - n, n)
+        a = start[self.word] + PIECE * place
+        b = np.minimum(a + PIECE, end[self.word])
+        self.piece = C.mix(C.span_hashes(prefix, a, b) + (b - a).astype(np.uint64))
+        self.context = C.mix(C.span_hashes(prefix, start[self.word], a) + np.uint64(PIECE + 1))
+        self.lead = place == 0
+        self.first = self.piece[self.lead]
+        before = np.full(len(start), _START, dtype=np.uint64)
+        follows = self.doc[1:] == self.doc[:-1]
+        before[1:][follows] = C.mix(self.first[:-1] + np.uint64(PIECE + 2))[follows]
+        self.context[self.lead] = before
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    def pairs(self) -> np.ndarray:
+        return pair(self.context, self.piece)
 
 
-class Table:
-    """Values of keys, in slots that a key shares with no other."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.float32)
-        at = _slots(keys)
-        self.keys[at], self.values[at] = keys, values
-
-    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = _slots(keys)
-        found = self.keys[at] == keys
-        return found, self.values[at]
-
-
-def evidence(difference: np.ndarray) -> np.ndarray:
-    """What is calibrated: texts differ in toxicity by orders of magnitude, and below FLOOR a word is none."""
-    return np.log(np.maximum(difference, 0) + FLOOR)
-
-
-class Model:
-    """Differences by word where they are not those of the stem, differences by stem, and the calibration."""
-
-    def __init__(self, words: Table, stems: Table, scale: float = 1.0, shift: float = 0.0):
-        self.words, self.stems, self.scale, self.shift = words, stems, scale, shift
-
-    def raw(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Toxic less ordinary log-likelihood, per word; 0 for a text without words."""
-        words, stems, doc = expressions(data, off)
-        known, value = self.words.of(words)
-        backed, rest = self.stems.of(stems)
-        value = np.where(known, value, np.where(backed, rest, 0)).astype(np.float64)
-        n = np.bincount(doc, minlength=len(off) - 1)
-        return _per_doc(value, np.concatenate(([0], np.cumsum(n)))) / np.maximum(1, n)
-
-    def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * evidence(self.raw(data, off)) + self.shift, -35, 35)))
+def pair(context: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    return C.mix(context * np.uint64(0x9E3779B97F4A7C15) ^ piece)
 
 
 def count(rows: DataFrame) -> DataFrame:
-    """(key, stem, toxic, ordinary): documents of either class with each word, and with each stem (its `stem` is null), of all rows (_t text, _y label).
+    """(context, piece, first, lead, toxic, ordinary): occurrences of each pair in all rows (_t text, _y label).
 
-    Counts are summed over a batch before they are shuffled.
+    first is the first piece of the word, lead whether the piece is that. Counts
+    are summed over a task's rows before they are shuffled.
     """
+    names = ["context", "piece", "first", "lead"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             data, off = C.text_bytes(C.column(batch, "_t"))
             label = np.asarray(C.column(batch, "_y").to_pylist(), dtype=np.int64)
-            for lo, hi in C.chunks(off):
-                words, stems, doc = expressions(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                own = label[lo:hi]
-                for kind, keys in ((0, words), (1, stems)):
-                    _, at = np.unique(C.mix(keys ^ C.mix(doc.astype(np.uint64) + np.uint64(1))), return_index=True)
-                    held.append(_summed(keys[at], stems[at], np.full(len(at), kind), own[doc[at]], 1 - own[doc[at]]))
-                if len(held) >= 32:
+            for lo, _, raw, o, again in C.slices(data, off, C.IN_ALNUM):
+                p = Pieces(raw, o)
+                own = p.word > 0 if again else slice(None)
+                y = label[lo + p.doc[p.word[own]]]
+                held.append(_summed(p.context[own], p.piece[own], p.first[p.word[own]], p.lead[own], y, 1 - y))
+                if len(held) >= 16:
                     held = [_summed(*map(np.concatenate, zip(*held)))]
                     if len(held[0][0]) > 1 << 19:
-                        yield _counts(held.pop())
+                        yield batch_of(held.pop())
         if held:
-            yield _counts(_summed(*map(np.concatenate, zip(*held))))
+            yield batch_of(_summed(*map(np.concatenate, zip(*held))))
 
-    totals = [F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")]
-    return rows.mapInArrow(work, "key long, stem long, toxic long, ordinary long").groupBy("key", "stem").agg(*totals)
+    def batch_of(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(v.view(np.int64)) for v in x[:3]), *map(pa.array, x[3:])], [*names, "toxic", "ordinary"])
 
+    out = rows.mapInArrow(work, "context long, piece long, first long, lead boolean, toxic long, ordinary long")
+    return out.groupBy(*names).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
-def _summed(keys, stems, kinds, toxic, ordinary) -> list[np.ndarray]:
-    """One row for each key: words and stems hash apart."""
-    own, first, place = np.unique(keys, return_index=True, return_inverse=True)
-    n = [np.bincount(place, weights=x, minlength=len(own)).astype(np.int64) for x in (toxic, ordinary)]
-    return [own, stems[first], kinds[first], *n]
 
+def _summed(context, piece, first, lead, toxic, ordinary) -> tuple[np.ndarray, ...]:
+    _, at, place = np.unique(pair(context, piece), return_index=True, return_inverse=True)
+    n = [np.bincount(place, weights=x, minlength=len(at)).astype(np.int64) for x in (toxic, ordinary)]
+    return context[at], piece[at], first[at], lead[at], *n
 
-def _counts(x: list[np.ndarray]) -> pa.RecordBatch:
-    stem = pa.array(x[1].view(np.int64), mask=x[2] == 1)
-    return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), stem, pa.array(x[3]), pa.array(x[4])], ["key", "stem", "toxic", "ordinary"])
 
+class Table:
+    """Two values of each key. Keys are hashes, so their upper bits tell nearly where each stands."""
 
-def estimate(counts: DataFrame) -> Model:
-    """The model's tables; all estimates are made in Spark, and of each slot the most telling key alone reaches the driver."""
-    rows = C.written(counts, "expressions")
-    stems, words = rows.filter("stem is null").drop("stem"), rows.filter("stem is not null")
-    nothing = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    def __init__(self, keys: np.ndarray, a: np.ndarray, b: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = np.append(keys[order], np.uint64(2**64 - 1)), np.stack((a, b))[:, order]
+        self.shift = np.uint64(64 - max(1, len(keys)).bit_length())
+        self.begin = np.searchsorted(self.keys, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift).astype(np.int32)
 
-    def sums(df: DataFrame, ratio: float | None) -> tuple:
-        cut = {"toxic": DISCOUNT, "ordinary": DISCOUNT / ratio if ratio else DISCOUNT}
-        return df.agg(*[F.sum(x) for x in cut], *[F.sum(F.least(F.col(x).cast("double"), F.lit(d))) for x, d in cut.items()]).first()
+    def of(self, keys: np.ndarray, otherwise: tuple[float, float]) -> np.ndarray:
+        at = self.begin[(keys >> self.shift).view(np.int64)]
+        todo = np.flatnonzero(self.keys[at] < keys)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.keys[at[todo]] < keys[todo]]
+        known = np.flatnonzero((self.keys[at] == keys) & (at < len(self.keys) - 1))
+        out = np.empty((2, len(keys)))
+        for row, value, own in zip(out, otherwise, self.values):
+            row[:] = value
+            row[known] = own[at[known]]
+        return out
 
-    nt, no, *_ = sums(stems, None)
-    if not nt or not no:
-        return Model(Table(*nothing), Table(*nothing))
-    ratio = nt / no
-    d_t, d_o = DISCOUNT, DISCOUNT / ratio
 
-    def likelihood(n: str, d: float, total: float, left: float, below: Column) -> Column:
-        return F.greatest(F.col(n) - d, F.lit(0.0)) / total + left / total * below
+class Block:
+    """The part of the models that scores words whose first piece falls into one block: of pairs the discounted share, of contexts the mass set free, of pieces their probability."""
 
-    _, _, left_t, left_o = sums(stems, ratio)
-    pooled = (F.col("toxic") + F.col("ordinary")) / (nt + no)
-    backed = stems.select(
-        F.col("key").alias("stem"), (F.col("toxic") + F.col("ordinary")).alias("all"), likelihood("toxic", d_t, nt, left_t, pooled).alias("pt"), likelihood("ordinary", d_o, no, left_o, pooled).alias("po")
-    )
-    wt, wo, left_t, left_o = sums(words, ratio)
-    share = F.col("n") / F.col("all")  # of the stem's documents, those with the word: shared by both models
-    full = (
-        words.withColumn("n", F.col("toxic") + F.col("ordinary")).join(backed, "stem")
-        .select("key", "n", (F.log(F.col("pt") / F.col("po"))).alias("below"), F.log(likelihood("toxic", d_t, wt, left_t, F.col("pt") * share) / likelihood("ordinary", d_o, wo, left_o, F.col("po") * share)).alias("own"))
-    )
+    def __init__(self, number: int, blocks: int, pairs: Table, contexts: Table, pieces: Table, unknown: tuple[float, float]):
+        self.number, self.blocks, self.pairs, self.contexts, self.pieces, self.unknown = number, blocks, pairs, contexts, pieces, unknown
 
-    def beyond(name: str) -> Column:
-        return F.signum(F.col(name)) * F.greatest(F.abs(F.col(name)) - MARGIN, F.lit(0.0))
+    def differences(self, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+        """Toxic less ordinary log-likelihood of each word, and whether the word is of this block."""
+        below = self.pieces.of(p.piece, self.unknown)
+        both = self.pairs.of(p.pairs(), (0.0, 0.0)) + self.contexts.of(p.context, (1.0, 1.0)) * below
+        own = _block_of(p.first, self.blocks) == self.number
+        return np.bincount(p.word, weights=np.log(both[0] / both[1]), minlength=len(p.first)), own
 
-    def table(df: DataFrame) -> Table:
-        slot = F.shiftrightunsigned("key", 64 - SLOT_BITS)
-        got = df.groupBy(slot.alias("slot")).agg(F.max_by(F.struct("key", "v"), F.struct(F.abs("v") * F.col("n"), F.col("key"))).alias("x")).select("x.key", F.col("x.v").cast("float").alias("v")).toArrow()
-        return Table(np.asarray(got["key"]).astype(np.int64).view(np.uint64), np.asarray(got["v"])) if len(got) else Table(*nothing)
+    def evidence(self, raw: np.ndarray, off: np.ndarray, again: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Per document, the sum over this block's words of toxic less ordinary log-likelihood, where the toxic model writes but SHARE of a text; and all words."""
+        p = Pieces(raw, off)
+        d, own = self.differences(p)
+        if again:
+            own[:1] = False
+        gain = np.where(own, np.logaddexp(np.log1p(-SHARE), np.log(SHARE) + d), 0.0)
+        n = np.bincount(p.doc, minlength=len(off) - 1)
+        return np.bincount(p.doc, weights=gain, minlength=len(off) - 1), n - again
 
-    word = full.select("key", "n", beyond("own").alias("v"), beyond("below").alias("w")).filter("v <> w")
-    stem = backed.select(F.col("stem").alias("key"), F.col("all").alias("n"), F.log(F.col("pt") / F.col("po")).alias("own")).select("key", "n", beyond("own").alias("v")).filter("v <> 0")
-    return Model(table(word), table(stem))
 
+def _block_of(first: np.ndarray, blocks: int) -> np.ndarray:
+    return (first >> np.uint64(33)).astype(np.int64) % blocks
 
-def _scored(df: DataFrame, model: Model, text: str, name: str, raw: bool) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    names = df.columns
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            data, off = C.text_bytes(C.column(batch, text))
-            parts = [(own.raw if raw else own.score)(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in C.chunks(off)]
-            value = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([C.column(batch, x) for x in names if x != text] + [pa.array(value)], [*(x for x in names if x != text), name])
+def _block_column(blocks: int) -> Column:
+    return F.shiftrightunsigned("first", 33) % blocks
 
-    return df.mapInArrow(work, T.StructType([f for f in df.schema.fields if f.name != text] + [T.StructField(name, T.DoubleType())]))
 
+class Model:
+    """Tables of both models, as rows written to the shared folder, and the calibration. Without rows the score is constant."""
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
-    """Count all labelled rows of folds 2 to 4, and calibrate on at most CALIBRATION_ROWS of fold 1; fold 0 is never read.
+    def __init__(self, pairs: DataFrame | None = None, contexts: DataFrame | None = None, pieces: DataFrame | None = None, unknown: tuple[float, float] = (1.0, 1.0), block_rows: int = BLOCK_ROWS):
+        self.pairs, self.contexts, self.pieces, self.unknown = pairs, contexts, pieces, unknown
+        self.scale, self.shift = 0.0, 0.0
+        self.blocks = 1 if pairs is None else max(1, -(-(pairs.count() + contexts.filter("NOT lead").count()) // block_rows))
 
-    Labels grow with the corpus, so both sides of their join are shuffled at any size.
-    Null labels, keys and texts are passed over; of one label only, the score is constant.
+    def block(self, number: int) -> Block:
+        """One block's tables. Contexts that begin a word and pieces are part of all: there are no more of them than strings of PIECE bytes."""
+        none = Table(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+        if self.pairs is None:
+            return Block(0, 1, none, none, none, self.unknown)
+
+        def table(df: DataFrame) -> Table:
+            got = df.select("key", "a", "b").toArrow()
+            return Table(np.asarray(got["key"]).astype(np.int64).view(np.uint64), np.asarray(got["a"]), np.asarray(got["b"]))
+
+        own = _block_column(self.blocks) == number
+        return Block(number, self.blocks, table(self.pairs.filter(own)), table(self.contexts.filter(F.col("lead") | own)), table(self.pieces), self.unknown)
+
+    def calibrated(self, z: Column) -> Column:
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), self.scale * z + self.shift))))
+
+    def discard(self) -> None:
+        for df in (self.pairs, self.contexts, self.pieces):
+            if df is not None:
+                C.discard(df)
+
+
+def estimate(counts: DataFrame, block_rows: int = BLOCK_ROWS) -> Model:
+    """Both models from the counts of pairs; all estimates are made in Spark."""
+    rows = C.written(counts, "pairs")
+    nt, no = rows.agg(F.sum("toxic"), F.sum("ordinary")).first()
+    if not nt or not no:
+        C.discard(rows)
+        return Model()
+    dt, do = DISCOUNT * max(1.0, nt / no), DISCOUNT * max(1.0, no / nt)
+    rows = rows.withColumn("telling", (F.col("toxic") > dt) | (F.col("ordinary") > do))
+    freed = [F.sum(F.least(F.col(c).cast("double"), F.lit(d))).alias(f"free_{c}") for c, d in (("toxic", dt), ("ordinary", do))]
+    contexts = rows.groupBy("context").agg(F.sum("toxic").alias("nt"), F.sum("ordinary").alias("no"), *freed, F.max("lead").alias("lead"), F.min("first").alias("first"), F.max("telling").alias("telling"))
+    contexts = C.written(contexts.filter("telling"), "contexts")
+    pieces = rows.groupBy("piece").agg(F.count_if(F.col("toxic") > 0).alias("kt"), F.count_if(F.col("ordinary") > 0).alias("ko"), F.count("*").alias("k"), F.max("telling").alias("telling"))
+    pieces = C.written(pieces, "pieces")
+    kt, ko, k, v = pieces.agg(F.sum("kt"), F.sum("ko"), F.sum("k"), F.count("*")).first()
+    et, eo = DISCOUNT * max(1.0, kt / ko), DISCOUNT * max(1.0, ko / kt)
+    lt, lo = pieces.agg(*[F.sum(F.least(F.col(c).cast("double"), F.lit(e))) / n for c, e, n in (("kt", et, kt), ("ko", eo, ko))]).first()
+
+    def share(n: str | Column, d: float, total: str) -> Column:
+        return F.when(F.col(total) > 0, F.greatest(F.col(n) - d, F.lit(0.0)) / F.col(total)).otherwise(0.0)
+
+    def mass(free: str, total: str) -> Column:
+        return F.when(F.col(total) > 0, F.col(free) / F.col(total)).otherwise(1.0)
+
+    def below(n: str, e: float, total: float, left: float) -> Column:
+        return F.greatest(F.col(n) - e, F.lit(0.0)) / total + left * (F.col("k") + 1) / (k + v + 1)
+
+    kept = rows.filter("telling").join(contexts.select("context", "nt", "no"), "context").select("context", "piece", "first", share("toxic", dt, "nt").alias("a"), share("ordinary", do, "no").alias("b"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            c, p = (np.asarray(C.column(x, n)).astype(np.int64).view(np.uint64) for n in ("context", "piece"))
+            yield pa.RecordBatch.from_arrays([pa.array(pair(c, p).view(np.int64)), *(C.column(x, n) for n in ("first", "a", "b"))], ["key", "first", "a", "b"])
+
+    model = Model(
+        C.written(kept.mapInArrow(hashed, "key long, first long, a double, b double"), "model-pairs"),
+        C.written(contexts.select(F.col("context").alias("key"), "first", "lead", mass("free_toxic", "nt").alias("a"), mass("free_ordinary", "no").alias("b")), "model-contexts"),
+        C.written(pieces.filter((F.col("kt") > et) | (F.col("ko") > eo) | F.col("telling")).select(F.col("piece").alias("key"), below("kt", et, kt, lt).alias("a"), below("ko", eo, ko, lo).alias("b")), "model-pieces"),
+        (lt / (k + v + 1), lo / (k + v + 1)),
+        block_rows,
+    )
+    for df in (rows, contexts, pieces):
+        C.discard(df)
+    return model
+
+
+def evidence(df: DataFrame, model: Model, text: str) -> DataFrame:
+    """df without its text, with `_kl_z`: what the models say of each row, block by block."""
+    names = [x for x in df.columns if x != text]
+    spark, out = df.sparkSession, df
+    if model.pairs is None:
+        return df.select(*names, F.lit(0.0).alias("_kl_z"))
+    for number in range(model.blocks):
+        last = number == model.blocks - 1
+        out = _summed_up(out, spark, model.block(number), text, names, number > 0, last)
+        if not last:
+            out = C.written(out, "block")
+    return out
+
+
+def _summed_up(df: DataFrame, spark: SparkSession, block: Block, text: str, names: list[str], more: bool, last: bool) -> DataFrame:
+    shared = spark.sparkContext.broadcast(block)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            data, off = C.text_bytes(C.column(batch, text))
+            total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64)
+            for lo, hi, raw, o, again in C.slices(data, off, C.IN_ALNUM):
+                z, words = own.evidence(raw, o, again)
+                total[lo:hi] += z
+                n[lo:hi] += words
+            if more:
+                total += np.asarray(C.column(batch, "_kl_z"))
+            if last:
+                total = np.arcsinh(total / np.maximum(1, n) / UNIT)
+            kept = names if last else [*names, text]
+            yield pa.RecordBatch.from_arrays([C.column(batch, x) for x in kept] + [pa.array(total)], [*kept, "_kl_z"])
+
+    fields = [df.schema[x] for x in (names if last else [*names, text])]
+    return df.mapInArrow(work, T.StructType(fields + [T.StructField("_kl_z", T.DoubleType())]))
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", calibration_rows: int = CALIBRATION_ROWS, block_rows: int = BLOCK_ROWS) -> Model:
+    """Count all labelled rows of folds 2 to 4, and calibrate on at most calibration_rows of fold 1; fold 0 is never read.
+
+    Labels grow with the corpus, so both sides of their join are shuffled at any
+    size. Null labels, keys and texts are passed over, repeated rows count each;
+    of no label, or one label only, the score is constant.
     """
     known = labels.filter(F.col(label).isNotNull() & (fold(key) > 0)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
     rows = docs.filter(F.col(text).isNotNull() & F.col(key).isNotNull() & (fold(key) > 0)).select(F.col(key).alias("_k"), F.col(text).alias("_t"), fold(key).alias("_f"))
-    model = estimate(count(rows.filter("_f > 1").join(known.hint("merge"), "_k").select("_t", "_y")))
-    some = known.filter(fold("_k") == 1).withColumn("_o", F.xxhash64(F.col("_k").cast("string"), F.lit(5))).orderBy("_o", "_k").limit(CALIBRATION_ROWS).select("_k", "_y")
+    model = estimate(count(rows.filter("_f > 1").join(known.hint("merge"), "_k").select("_t", "_y")), block_rows)
+    some = known.filter(fold("_k") == 1).withColumn("_o", F.xxhash64(F.col("_k").cast("string"), F.lit(5))).orderBy("_o", "_k").limit(calibration_rows).select("_k", "_y")
     held = rows.filter("_f = 1").join(F.broadcast(some), "_k").select("_k", "_y", "_t")
-    got = _scored(held, model, "_t", "z", True).orderBy("_k").select("_y", "z").toArrow()
-    y, z = np.asarray(got["_y"]).astype(np.float64), np.asarray(got["z"])
+    got = evidence(held, model, "_t").orderBy("_k", "_kl_z").select("_y", "_kl_z").toArrow()
+    y, z = np.asarray(got["_y"]).astype(np.float64), np.asarray(got["_kl_z"])
     if len(y) and y.min() != y.max():
-        model.scale, model.shift = _logistic(evidence(z), y, np.ones(len(y)))
+        model.scale, model.shift = _logistic(z, y, np.ones(len(y)))
     else:
         model.scale, model.shift = (0.0, -3.0) if not len(y) or y.max() == 0 else (0.0, 3.0)
     return model
 
 
 def report(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, held_out, score (0 to 1) and predicted (1 from 0.5). Null and empty texts are scored as having no symbols."""
-    out = _scored(docs.select(key, F.col(text).alias("_t")), model, "_t", "score", False)
-    return out.select(key, F.coalesce(fold(key) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    """key, held_out, score (0 to 1) and predicted (1 from 0.5). Null and empty texts are scored as having no words; of other columns none is read, so none can clash."""
+    out = evidence(docs.select(F.col(key).alias("_kl_k"), F.col(text).alias("_kl_t")), model, "_kl_t")
+    out = out.select(F.col("_kl_k").alias(key), F.coalesce(fold("_kl_k") == 0, F.lit(False)).alias("held_out"), model.calibrated(F.col("_kl_z")).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
