@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import itertools
 import os
 import tempfile
 import time
@@ -34,9 +35,11 @@ _UNIT = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one, if all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="keyloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,7 +53,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kl_path = path
+    return out
 
 
 def importable(spark: SparkSession) -> SparkSession:
@@ -62,13 +67,12 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of written() that no later step reads."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._kl_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -208,3 +212,15 @@ def slices(data: np.ndarray, off: np.ndarray, inside: np.ndarray, most: int = CH
             before = np.flatnonzero(~inside[data[a : a + last]])
             a, again = a + (int(before[-1]) + 1 if len(before) else 0), True
         yield lo, hi, data[a:b], off[lo : hi + 1] - off[lo] if not again else np.array([0, b - a]), again
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(lo, hi, hashes, documents): the lower-cased words of documents lo to hi, in order; long documents are read in parts."""
+    for (lo, hi), parts in itertools.groupby(slices(data, off, inside), key=lambda x: x[:2]):
+        hashes, docs = [], []
+        for _, _, raw, o, again in parts:
+            low = LOWER[raw]
+            start, end, doc = tokens(low, o, inside)
+            hashes.append(mix(span_hashes(prefix_hashes(low), start, end))[int(again) :])
+            docs.append(lo + doc[int(again) :])
+        yield (lo, hi, hashes[0], docs[0]) if len(hashes) == 1 else (lo, hi, np.concatenate(hashes), np.concatenate(docs))

@@ -1,60 +1,93 @@
 """SimHash near-duplicates.
 
 A fingerprint holds, for each bit, whether it is set in over half of the hashes
-of the text's shingles. Equal fingerprints are one node. Nodes meet in buckets
-of exact blocks of their bits: of k + 1 disjoint blocks, two fingerprints that
-differ in at most k bits share one. In a bucket a pivot table (the Hamming
-distances to many reference fingerprints) discards pairs by their largest
-coordinate difference, which can't exceed the distance of the pair; survivors
-are verified bit by bit. Buckets yield the links of a spanning forest, never all
-pairs, and components are found by star contraction.
+of the text's shingles. Equal fingerprints are one node. Nodes meet in buckets.
+In a bucket a pivot table (the Hamming distances to many reference fingerprints)
+discards pairs by their largest coordinate difference, which can't exceed the
+distance of the pair; survivors are verified bit by bit. Buckets yield the links
+of a spanning forest, never all pairs, and components are found by star
+contraction.
+
+Two ways lead to buckets. classes() links fingerprints within a few bits: of k + 1
+disjoint blocks of bits, two fingerprints that differ in at most k bits share
+one. near_duplicates() links similar sets of shingles, whose fingerprints differ
+in too many bits for that, so their buckets are of equal smallest shingles.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import common as C
 
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
 RADIUS, SHINGLE, SEED = 2, 3, 42
-#: near_duplicates(): words of a shingle, least similarity, 64-bit words of the fingerprint, bands and bits of each.
-WORDS, SIMILARITY, WIDE, BANDS, BAND_BITS = 5, 0.8, 4, 48, 18
+#: near_duplicates(): words of a shingle, least similarity, 64-bit words of the fingerprint, keys of a text, shingles that make up a key.
+WORDS, SIMILARITY, WIDE, KEYS, OF_KEY = 5, 0.8, 4, 12, 2
 #: Fingerprints estimate a similarity with an error of some 0.03. Pairs within the distance expected at similarity - SLACK are verified
 #: on their shingles.
-SLACK = 0.10
+SLACK = 0.15
 #: Pairs of a node that a bucket gives in its second round, and times more in each later one.
 PARTNERS = 16
 #: While more pairs than this for each end are open, those nearest to each component are verified first.
 OPEN_PAIRS = 4
 #: Reference fingerprints of the pivot table.
 PIVOTS = 32
-#: A larger bucket is dealt out again by blocks of the remaining bits.
+#: A larger bucket is dealt out again: by blocks of the remaining bits, or by further keys.
 BUCKET_ROWS = 2000
-#: Pairs of a bucket that are compared at once.
-STRIP_PAIRS = 1 << 20
+#: Pairs that are compared at once, and rows of a bucket whose pairs are enumerated together with those of others.
+STRIP_PAIRS, SMALL = 1 << 20, 64
+#: Shingles, and bytes of text, that a fingerprint takes in at once.
+SLICE, SLICE_BYTES = 1 << 16, 1 << 20
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """Of each of the 64 bits, highest first, how many hashes have it set."""
+    out = np.zeros(64, dtype=np.int64)
+    for lo in range(0, len(hashes), SLICE):
+        out += np.unpackbits(hashes[lo : lo + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return out
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
+def _word_slices(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, part by part, cut at white space."""
+    at = 0
+    while len(text) - at > SLICE_BYTES:
+        end = next((m.end() for m in _GAP.finditer(text, at + SLICE_BYTES)), len(text))
+        yield text[at:end].lower().split()
+        at = end
+    yield text[at:].lower().split()
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """64-bit fingerprint of lower-cased (A-Z) white-space words; 0 without words."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    n = max(1, len(words) - shingle + 1)
-    starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
-    stops = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], dtype=">u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    ones, n, held = np.zeros(64, dtype=np.int64), 0, []
+    for words in _word_slices(text):
+        words = held + words
+        if len(words) >= shingle:
+            joined = b" ".join(words)
+            ends = np.cumsum([len(w) + 1 for w in words]) - 1
+            starts = np.concatenate(([0], ends[: len(words) - shingle] + 1)).tolist()
+            ones += _ones(np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], dtype=np.uint64))
+            n += len(words) - shingle + 1
+            words = words[len(words) - shingle + 1 :]
+        held = words
+    if not n:
+        return digest(b" ".join(held), seed) if held else 0
+    return _majority(ones, n)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
@@ -71,18 +104,53 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     return rows.mapInArrow(work, f"_k {rows.schema['_k'].dataType.simpleString()}, fp long").withColumnRenamed("_k", key)
 
 
-def _references(words: int) -> np.ndarray:
-    return np.random.default_rng(7).integers(0, 2**64, (PIVOTS, words), dtype=np.uint64)
+def references(fps: np.ndarray, radius: int) -> np.ndarray:
+    """PIVOTS reference fingerprints: random ones tell near fingerprints apart. Within a wide radius only references among the fingerprints themselves do."""
+    if radius < 4 * fps.shape[1]:
+        return np.random.default_rng(7).integers(0, 2**64, (PIVOTS, fps.shape[1]), dtype=np.uint64)
+    return fps[np.unique(np.linspace(0, len(fps) - 1, PIVOTS).astype(np.int64))]
 
 
-def pivot_table(fps: np.ndarray) -> np.ndarray:
+def pivot_table(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Hamming distance of each fingerprint (a row of 64-bit words) to each reference."""
-    out = np.zeros((len(fps), PIVOTS), dtype=np.int16)
+    out = np.zeros((len(fps), len(pivots)), dtype=np.int16)
+    for w in range(fps.shape[1]):
+        out += np.bitwise_count(fps[:, w, None] ^ pivots[None, :, w])
+    return out
+
+
+def survivors(table: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs that no coordinate of the pivot table discards: no pair lies nearer than its largest coordinate difference."""
+    for c in range(table.shape[1]):
+        near = np.abs(table[i, c] - table[j, c]) <= radius
+        i, j = i[near], j[near]
+    return i, j
+
+
+def distances(fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(i), dtype=np.int64)
     for w in range(fps.shape[1]):
-        out += np.bitwise_count(fps[:, w, None] ^ _references(fps.shape[1])[None, :, w])
+        out += np.bitwise_count(fps[i, w] ^ fps[j, w])
     return out
 
 
+def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """label with the components of each pair united; the smaller label wins."""
+    while len(i):
+        a, b = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        low = np.arange(len(label))
+        np.minimum.at(low, b, a)
+        while True:
+            deeper = low[low]
+            if (deeper == low).all():
+                break
+            low = deeper
+        label = low[label]
+        own = label[i] != label[j]
+        i, j = i[own], j[own]
+    return label
+
+
 class _Bucket:
     """A bucket's fingerprints, in order of the first pivot coordinate, and the component of each.
 
@@ -90,58 +158,39 @@ class _Bucket:
     component yet, so a bucket of copies of one text costs one strip.
     """
 
-    def __init__(self, fps: np.ndarray, sizes: np.ndarray | None = None, least: float = 0.0, roots: np.ndarray | None = None):
-        self.n = len(fps)
-        table = pivot_table(fps) if self.n > 8 else np.zeros((self.n, 0), dtype=np.int16)
-        self.order = np.argsort(table[:, 0], kind="stable") if self.n > 8 else np.arange(self.n)
+    def __init__(self, fps: np.ndarray, radius: int, sizes: np.ndarray | None = None, least: float = 0.0, roots: np.ndarray | None = None):
+        self.n, self.radius = len(fps), radius
+        table = pivot_table(fps, references(fps, radius))
+        self.order = np.argsort(table[:, 0], kind="stable")
         self.fps, self.table, self.least = fps[self.order], table[self.order], least
         self.sizes = sizes[self.order] if sizes is not None else None
         self.label = np.arange(self.n) if roots is None else np.unique(roots, return_inverse=True)[1][self.order]
 
-    def near(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Strips of pairs (i, j, distance) within radius whose components differ."""
+    def near(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Strips of pairs (i, j, distance) within the radius whose components differ."""
         hi = 0
         while hi < self.n:
             lo, hi = hi, min(self.n, hi + max(1, STRIP_PAIRS // self.n))
             # along the first coordinate, partners lie in a narrow range
-            end = int(np.searchsorted(self.table[:, 0], self.table[hi - 1, 0] + radius, "right")) if self.table.shape[1] else self.n
+            end = int(np.searchsorted(self.table[:, 0], self.table[hi - 1, 0] + self.radius, "right"))
             main = np.bincount(self.label[lo:end]).argmax()
             rows, cols = np.arange(lo, hi), np.arange(lo, end)
             other, away = cols[self.label[cols] != main], self.label[rows] != main
             for x, y in ((rows[~away], other), (rows[away], cols)):
                 if len(x) and len(y):
-                    yield self._verified(*(v.ravel() for v in np.meshgrid(x, y, indexing="ij")), radius)
+                    yield self._verified(*(v.ravel() for v in np.meshgrid(x, y, indexing="ij")))
 
-    def _verified(self, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _verified(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = self.label[i] != self.label[j]
-        i, j = i[own], j[own]
-        for c in range(self.table.shape[1]):  # no pair lies nearer than its largest coordinate difference
-            if len(i) < 1024:
-                break
-            near = np.abs(self.table[i, c] - self.table[j, c]) <= radius
-            i, j = i[near], j[near]
-        distance = np.zeros(len(i), dtype=np.int64)
-        for w in range(self.fps.shape[1]):
-            distance += np.bitwise_count(self.fps[i, w] ^ self.fps[j, w])
-        near = distance <= radius
+        i, j = survivors(self.table, i[own], j[own], self.radius)
+        distance = distances(self.fps, i, j)
+        near = distance <= self.radius
         if self.sizes is not None:
             near &= np.minimum(self.sizes[i], self.sizes[j]) >= self.least * np.maximum(self.sizes[i], self.sizes[j])
         return i[near], j[near], distance[near]
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        """Unite the components of each pair; the smaller label wins."""
-        while len(i):
-            a, b = np.minimum(self.label[i], self.label[j]), np.maximum(self.label[i], self.label[j])
-            low = np.arange(self.n)
-            np.minimum.at(low, b, a)
-            while True:
-                deeper = low[low]
-                if (deeper == low).all():
-                    break
-                low = deeper
-            self.label = low[self.label]
-            own = self.label[i] != self.label[j]
-            i, j = i[own], j[own]
+        self.label = united(self.label, i, j)
 
     def roots(self) -> tuple[np.ndarray, np.ndarray]:
         """(member, root) of all but the roots, as places in the bucket as it was given."""
@@ -151,22 +200,52 @@ class _Bucket:
 
 def bucket_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(member, root) indices of a bucket's fingerprints (rows of 64-bit words) that link them into their components."""
-    bucket = _Bucket(fps)
-    for i, j, _ in bucket.near(radius):
+    bucket = _Bucket(fps, radius)
+    for i, j, _ in bucket.near():
         bucket.join(i, j)
     return bucket.roots()
 
 
-def bucket_forest(fps: np.ndarray, radius: int, sizes: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+def _pairs(begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j), i < j, of rows of the same small bucket, about STRIP_PAIRS at once."""
+    for n in np.unique(size).tolist():
+        x, y = np.triu_indices(n, 1)
+        own = begin[size == n]
+        step = max(1, STRIP_PAIRS // max(1, len(x)))
+        for lo in range(0, len(own), step):
+            at = own[lo : lo + step, None]
+            yield (at + x).ravel(), (at + y).ravel()
+
+
+def links_of_buckets(fps: np.ndarray, bounds: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) indices that link each bucket's fingerprints, rows bounds[k] to bounds[k + 1], into their components."""
+    begin, size = bounds[:-1], np.diff(bounds)
+    small = (size > 1) & (size <= SMALL)
+    label = np.arange(len(fps))
+    if small.any():
+        table = pivot_table(fps, references(fps, radius))
+        for i, j in _pairs(begin[small], size[small]):
+            i, j = survivors(table, i, j, radius)
+            near = distances(fps, i, j) <= radius
+            label = united(label, i[near], j[near])
+    member = np.flatnonzero(label != np.arange(len(fps)))
+    out = [(member, label[member])]
+    for k in np.flatnonzero(size > SMALL).tolist():
+        member, root = bucket_links(fps[bounds[k] : bounds[k + 1]], radius)
+        out.append((member + bounds[k], root + bounds[k]))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def bucket_forest(fps: np.ndarray, radius: int, sizes: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, None]]:
     """Pairs (i, j, distance) within radius that span their components: nearest first, a forest in each strip. They tell all only where each of them is verified."""
-    bucket = _Bucket(fps, sizes, least)
-    for i, j, d in bucket.near(radius):
+    bucket = _Bucket(fps, radius, sizes, least)
+    for i, j, d in bucket.near():
         while len(i):  # of each component, its nearest pair
             ends = np.concatenate((bucket.label[i], bucket.label[j]))
             nearest = np.lexsort((np.concatenate((d, d)), ends))
             _, first = np.unique(ends[nearest], return_index=True)
             pick = np.unique(nearest[first] % len(i))
-            yield bucket.order[i[pick]], bucket.order[j[pick]], d[pick], False
+            yield bucket.order[i[pick]], bucket.order[j[pick]], d[pick], None
             bucket.join(i[pick], j[pick])
             own = bucket.label[i] != bucket.label[j]
             i, j, d = i[own], j[own], d[own]
@@ -174,14 +253,41 @@ def bucket_forest(fps: np.ndarray, radius: int, sizes: np.ndarray, least: float)
 
 def bucket_partners(fps: np.ndarray, radius: int, sizes: np.ndarray, least: float, roots: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
     """Pairs (i, j, distance) within radius of different roots, the `most` nearest of each i, and whether these are all in their strip."""
-    bucket = _Bucket(fps, sizes, least, roots)
-    for i, j, d in bucket.near(radius):
+    bucket = _Bucket(fps, radius, sizes, least, roots)
+    for i, j, d in bucket.near():
         nearest = np.lexsort((d, i))
         i, j, d = i[nearest], j[nearest], d[nearest]
         own = np.arange(len(i)) - np.searchsorted(i, i) < most
         yield bucket.order[i[own]], bucket.order[j[own]], d[own], bool(own.all())
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Tables that hold whole groups of rows equal in names, from batches sorted by these."""
+    held: list[pa.RecordBatch] = []
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(C.column(batch, x)) for x in names])
+        if held and (keys[:, 0] != before).any():
+            yield pa.Table.from_batches(held)
+            held = []
+        cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        if len(cut):  # the last group may go on
+            yield pa.Table.from_batches([*held, batch.slice(0, int(cut[-1]))])
+            held = [batch.slice(int(cut[-1]))]
+        else:
+            held.append(batch)
+        before = keys[:, -1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_bounds(table: pa.Table, names: list[str]) -> np.ndarray:
+    keys = np.stack([np.asarray(table[x]) for x in names])
+    return np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [table.num_rows]))
+
+
 def _blocks(bits: list[int], k: int) -> list[list[int]]:
     """The bits in k + 1 blocks of nearly one size."""
     return [list(map(int, b)) for b in np.array_split(np.array(bits), k + 1)]
@@ -194,7 +300,7 @@ def _mask(bits: list[int]) -> int:
 
 def links(nodes: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(a, b) pairs of fingerprints, both of one component: enough to connect all that lie within radius. nodes: distinct `fp`."""
-    found, todo = None, [(block, [x for x in range(64) if x not in block]) for block in _blocks(list(range(64)), radius)]
+    todo = [(block, [x for x in range(64) if x not in block]) for block in _blocks(list(range(64)), radius)]
     rows = nodes.select("fp", F.explode(F.array([F.struct(F.lit(n).alias("band"), F.col("fp").bitwiseAND(F.lit(_mask(b))).alias("block")) for n, (b, _) in enumerate(todo)])).alias("x")).select("fp", "x.band", F.col("x.block").alias("key"), F.lit(0).cast("long").alias("key2"))
     sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n"))
     large = C.written(sizes.filter(F.col("n") > bucket_rows).select("band", "key"), "large-buckets")
@@ -210,34 +316,19 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS
         deeper = again.select("fp", "key", F.explode(F.array_compact(F.array(*second))).alias("x")).select("fp", F.col("x.band").alias("band"), "key", F.col("x.key2").alias("key2"))
         small = small.unionByName(deeper)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch])
-            band, key, key2 = (rows[c].to_numpy() for c in ("band", "key", "key2"))
-            cut = np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (key2[1:] != key2[:-1])) + 1
-            bounds = [0, *cut.tolist()]
-            held = rows.iloc[bounds[-1] :]
-            yield _linked(rows["fp"].to_numpy(), bounds, radius)
-        if held is not None:
-            yield _linked(held["fp"].to_numpy(), [0, len(held)], radius)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["band", "key", "key2"]
+        for table in whole_groups(batches, names):
+            fps = np.asarray(table["fp"]).view(np.uint64)
+            member, root = links_of_buckets(fps[:, None], group_bounds(table, names), radius)
+            own = fps[member] != fps[root]
+            yield pa.RecordBatch.from_arrays([pa.array(fps[x[own]].view(np.int64)) for x in (member, root)], ["a", "b"])
 
     found = small.repartition("band", "key", "key2").sortWithinPartitions("band", "key", "key2").select("fp", "band", "key", "key2")
-    return found.mapInPandas(work, "a long, b long").distinct()
-
+    return found.mapInArrow(work, "a long, b long").distinct()
 
-def _linked(fps: np.ndarray, bounds: list[int], radius: int) -> pd.DataFrame:
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        if hi - lo > 1:
-            own = np.unique(fps[lo:hi])
-            x, y = bucket_links(own.view(np.uint64)[:, None], radius)
-            a.append(own[x])
-            b.append(own[y])
-    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node with an edge: root is the smallest node of its component.
 
     Alternates large-star and small-star steps; each is one aggregation to the
@@ -246,7 +337,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = C.written(edges.filter("a <> b").select("a", "b").distinct(), "edges")
     before = None
-    for k in range(rounds):
+    while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -254,13 +345,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         joined = down.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        edges = C.written(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        last, edges = edges, C.written(small, "edges")
+        C.discard(last)
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before:
             break
-        before = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
+        before = now
     return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -299,57 +389,70 @@ def expected_distance(similarity: float, bits: int) -> int:
     return round(math.acos(2 * similarity / (1 + similarity)) / math.pi * bits)
 
 
+def _sets(texts: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each text, a hash of its normalised words and its distinct shingles, as hashes; a text of fewer words is one shingle, one without words has none."""
+    data, off = C.text_bytes(texts)
+    for lo, hi, hashes, doc in C.word_hashes(data, off, C.IN_WORD):
+        first = np.searchsorted(doc, np.arange(lo, hi + 1))
+        at, grams = C.run_hashes(hashes, doc, shingle)
+        bounds = np.searchsorted(at, first)
+        for d in range(hi - lo):
+            words = hashes[first[d] : first[d + 1]]
+            node = xxhash.xxh64_intdigest(words.tobytes()) if len(words) else 0
+            if len(words) >= shingle:
+                yield node, np.unique(grams[bounds[d] : bounds[d + 1]])
+            else:
+                yield node, np.array([node] if len(words) else [], dtype=np.uint64)
+
+
+def content_keys(grams: np.ndarray, bounds: np.ndarray, keys: int = KEYS, of_key: int = OF_KEY) -> np.ndarray:
+    """Keys of each set of shingles grams[bounds[k]:bounds[k + 1]], none empty; a key is of the smallest shingles in of_key orders.
+
+    Sets of similarity s share a key with a probability of 1 - (1 - s ** of_key) ** keys.
+    """
+    odd, salt = np.random.default_rng(2024).integers(0, 2**64, (2, keys * of_key), dtype=np.uint64)
+    out = np.repeat(np.arange(1, keys + 1, dtype=np.uint64)[None], len(bounds) - 1, axis=0)
+    for k in range(keys * of_key):
+        least = np.minimum.reduceat((grams ^ salt[k]) * (odd[k] | np.uint64(1)), bounds[:-1])
+        out[:, k // of_key] = C.mix(out[:, k // of_key] * np.uint64(0x9E3779B97F4A7C15) ^ least)
+    return out
+
+
 def wide_fingerprints(docs: DataFrame, text: str, key: str, shingle: int, words: int = WIDE) -> DataFrame:
-    """(_k, node, size, f0, f1, ...): node is a hash of the normalised words, size the number of distinct shingles."""
+    """(_k, _t, node, size, f0, f1, ..., keys): node is a hash of the normalised words, size the number of distinct shingles; see content_keys()."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = C.text_bytes(C.column(batch, "_t"))
-            for lo, hi in C.chunks(off):
-                own, o = C.LOWER[data[off[lo] : off[hi]]], off[lo : hi + 1] - off[lo]
-                start, end, doc = C.tokens(own, o, C.IN_WORD)
-                hashes = C.mix(C.span_hashes(C.prefix_hashes(own), start, end))
-                first = np.searchsorted(doc, np.arange(len(o)))
-                at, grams = C.run_hashes(hashes, doc, shingle)
-                bounds = np.searchsorted(at, first)
-                node, size, fps = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.int32), np.zeros((hi - lo, words), np.uint64)
-                for d in range(hi - lo):
-                    seq = hashes[first[d] : first[d + 1]]
-                    if not len(seq):
-                        continue
-                    node[d] = xxhash.xxh64_intdigest(seq.tobytes())
-                    own_grams = np.unique(grams[bounds[d] : bounds[d + 1]]) if len(seq) >= shingle else node[d : d + 1]
-                    size[d] = len(own_grams)
-                    for w in range(words):
-                        ones = np.unpackbits(C.mix(own_grams + np.uint64(w * 0x9E3779B9 + 1)).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-                        fps[d, w] = int.from_bytes(np.packbits(2 * ones > len(own_grams)).tobytes(), "big")
-                cols = [pa.array(node.view(np.int64)), pa.array(size), *(pa.array(np.ascontiguousarray(fps[:, w]).view(np.int64)) for w in range(words))]
-                yield pa.RecordBatch.from_arrays([C.column(batch, "_k")[lo:hi], *cols], ["_k", "node", "size", *(f"f{w}" for w in range(words))])
+        for whole in batches:
+            for lo, hi in C.chunks(C.text_bytes(C.column(whole, "_t"))[1]):
+                batch, n = whole.slice(lo, hi - lo), hi - lo
+                node, size, fps = np.zeros(n, np.uint64), np.zeros(n, np.int32), np.zeros((n, words), np.uint64)
+                keys, sets = np.zeros((n, KEYS), np.uint64), []
+                for d, (own, grams) in enumerate(_sets(C.column(batch, "_t"), shingle)):
+                    node[d], size[d] = own, len(grams)
+                    if len(grams):
+                        sets.append(grams)
+                        for w in range(words):
+                            fps[d, w] = _majority(_ones(C.mix(grams + np.uint64(w * 0x9E3779B9 + 1))), len(grams))
+                if sets:
+                    keys[size > 0] = content_keys(np.concatenate(sets), np.concatenate(([0], np.cumsum(size[size > 0], dtype=np.int64))))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * KEYS), pa.array(keys.ravel().view(np.int64)))
+                cols = [pa.array(node.view(np.int64)), pa.array(size), *(pa.array(np.ascontiguousarray(fps[:, w]).view(np.int64)) for w in range(words)), lists]
+                yield pa.RecordBatch.from_arrays([C.column(batch, "_k"), C.column(batch, "_t"), *cols], ["_k", "_t", "node", "size", *(f"f{w}" for w in range(words)), "keys"])
 
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    return rows.mapInArrow(work, f"_k {rows.schema['_k'].dataType.simpleString()}, node long, size int, " + ", ".join(f"f{w} long" for w in range(words)))
+    return rows.mapInArrow(work, f"_k {rows.schema['_k'].dataType.simpleString()}, _t string, node long, size int, " + ", ".join(f"f{w} long" for w in range(words)) + ", keys array<long>")
 
 
 def _similar(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b) of those pairs of texts (_ta, _tb) whose sets of shingles have that Jaccard similarity."""
 
-    def sets(texts: pa.Array) -> list[np.ndarray]:
-        data, off = C.text_bytes(texts)
-        low = C.LOWER[data]
-        start, end, doc = C.tokens(low, off, C.IN_WORD)
-        hashes = C.mix(C.span_hashes(C.prefix_hashes(low), start, end))
-        at, grams = C.run_hashes(hashes, doc, shingle)
-        first = np.searchsorted(doc, np.arange(len(off)))
-        bounds = np.searchsorted(at, first)
-        return [np.unique(grams[bounds[d] : bounds[d + 1]]) if first[d + 1] - first[d] >= shingle else np.array([xxhash.xxh64_intdigest(hashes[first[d] : first[d + 1]].tobytes())], dtype=np.uint64) for d in range(len(off) - 1)]
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 200):
-                batch = whole.slice(lo, 200)
+            for lo in range(0, whole.num_rows, 100):
+                batch = whole.slice(lo, 100)
                 keep = []
-                for x, y in zip(sets(C.column(batch, "_ta")), sets(C.column(batch, "_tb"))):
-                    common = len(x) + len(y) - len(np.union1d(x, y))
+                for (_, x), (_, y) in zip(_sets(C.column(batch, "_ta"), shingle), _sets(C.column(batch, "_tb"), shingle)):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(common >= similarity * (len(x) + len(y) - common))
                 mask = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([C.column(batch, c).filter(mask) for c in "ab"], ["a", "b"])
@@ -357,65 +460,58 @@ def _similar(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "_ta", "_tb").mapInArrow(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = WORDS, similarity: float = SIMILARITY, words: int = WIDE, bands: int = BANDS, band_bits: int = BAND_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = WORDS, similarity: float = SIMILARITY, words: int = WIDE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(key, component_id) for documents whose sets of word shingles are similar: component_id is the smallest key reachable.
 
     Sets of a similarity of 0.8 differ in some 15 % of their fingerprints' bits,
-    too many for disjoint blocks of 64 bits. So fingerprints are wider here, and
-    buckets are of bands: fixed random choices of band_bits of their bits. A pair
-    at the least similarity meets in a bucket with a probability of about 0.92, one
-    at 0.85 of 0.98. Only pairs that are verified on the shingles of their texts are
-    linked. A bucket first gives the nearest pairs that would unite what is near in
-    it; where one of them is rejected, it gives further pairs of what is not united,
-    more in each round, until none is left. Texts of the same words are one node;
-    texts without words are one as well. Texts of null keys are linked to none but
-    those of the same words.
+    too many for blocks of 64 bits, and random choices of bits would make buckets
+    that grow with the corpus. So buckets are of equal content keys, of which a
+    pair at the least similarity shares one with a probability of 0.999995; a key
+    whose bucket holds the same texts as another's is passed over. In a bucket,
+    pairs of fingerprints are discarded by the pivot table and by their distance.
+    Only pairs that are verified on the shingles of their texts are linked. A
+    bucket first gives the nearest pairs that would unite what is near in it;
+    where one of them is rejected, it gives further pairs of what is not united,
+    more in each round, until none is left.
+
+    A bucket of more than bucket_rows texts is first worked on in parts; what its
+    parts and other buckets leave apart is dealt out again by the keys that its
+    texts share besides, of which a similar pair has one more with a probability of
+    0.99999. Texts of the same words are one node; texts without words are one as
+    well. Rows of null keys and repeated rows take part like any other; a
+    component of null keys alone has a null id.
     """
-    fps = C.written(wide_fingerprints(docs, text, key, shingle, words), "fingerprints")
     names = [f"f{w}" for w in range(words)]
-    nodes = C.written(fps.groupBy("node").agg(F.min("_k").alias("least"), F.first("size").alias("size"), *(F.first(f).alias(f) for f in names)), "nodes")
+    made: list[DataFrame] = []
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        made.append(C.written(df, name))
+        return made[-1]
+
+    fps = written(wide_fingerprints(docs, text, key, shingle, words), "fingerprints")
+    nodes = written(fps.groupBy("node").agg(F.min("_k").alias("least"), *(F.first(c).alias(c) for c in ("size", "keys", *names))), "nodes")
     radius = expected_distance(similarity - SLACK, 64 * words)
-    rng = np.random.default_rng(2024)
-    choices = np.stack([rng.choice(64 * words, band_bits, replace=False) for _ in range(bands)])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                own = np.stack([np.asarray(C.column(part, f)) for f in names], axis=1)
-                bits = np.unpackbits(np.ascontiguousarray(own).view(np.uint8).reshape(len(own), -1), axis=1)
-                weight = (1 << np.arange(band_bits)).astype(np.int64)
-                keys = np.concatenate([bits[:, c].astype(np.int64) @ weight | n << band_bits for n, c in enumerate(choices)])
-                which = pa.array(np.tile(np.arange(len(own)), bands))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(C.column(part, c).take(which) for c in ["node", "root", "size", *names])], ["key", "node", "root", "size", *names])
+    def shared(keyed: DataFrame, name: str) -> DataFrame:
+        """The rows (key, node) of keys that several nodes share, with their number n, sizes and fingerprints; of keys that the same nodes share, one."""
+        mark = [F.bit_xor(F.xxhash64(F.lit(s), F.col("node"))).alias(f"m{s}") for s in (1, 2)]
+        several = keyed.groupBy("key").agg(F.count("*").alias("n"), *mark).filter("n > 1").groupBy("n", "m1", "m2").agg(F.min("key").alias("key"))
+        return written(keyed.join(several.select("key", "n"), "key").join(nodes.select("node", "size", *names), "node"), name)
 
     def linked(most: int | None):
-        def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[pa.RecordBatch] = []
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys = np.asarray(C.column(batch, "key"))
-                cut = int(np.searchsorted(keys, keys[-1], "left"))
-                if held and np.asarray(C.column(held[-1], "key"))[-1] != keys[-1]:
-                    yield from buckets([*held, batch.slice(0, cut)], most)
-                    held = []
-                elif not held and cut:
-                    yield from buckets([batch.slice(0, cut)], most)
-                held.append(batch.slice(cut) if not held else batch)
-            if held:
-                yield from buckets(held, most)
-
-        return link
-
-    def buckets(rows: list[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(rows)
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in whole_groups(batches, ["key", "salt"]):
+                yield from found(table, group_bounds(table, ["key", "salt"]), most)
+
+        return work
+
+    def found(table: pa.Table, bounds: np.ndarray, most: int | None) -> Iterator[pa.RecordBatch]:
         keys, node, root, size = (np.asarray(table[c]) for c in ("key", "node", "root", "size"))
         own = np.stack([np.asarray(table[f]) for f in names], axis=1).view(np.uint64)
-        bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
         out: list[tuple[np.ndarray, ...]] = []
         n = 0
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             if hi - lo > 1:
                 args = own[lo:hi], radius, size[lo:hi], similarity
                 for i, j, d, whole in bucket_forest(*args) if most is None else bucket_partners(*args, root[lo:hi], most):
@@ -430,17 +526,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
             yield edge_batch(out)
 
     def edge_batch(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out)], ["key", "a", "b", "d", "whole"])
+        key, a, b, d, whole = map(np.concatenate, zip(*out))
+        return pa.RecordBatch.from_arrays([*map(pa.array, (key, a, b, d)), pa.array(whole.tolist(), pa.bool_())], ["key", "a", "b", "d", "whole"])
 
-    def candidates(roots: DataFrame | None, keys: DataFrame | None, most: int | None) -> DataFrame:
-        rows = nodes.filter("size > 0").select("node", "size", *names)
+    def candidates(rows: DataFrame, roots: DataFrame | None, most: int | None, salt) -> DataFrame:
         rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        types = "node long, root long, size int, " + ", ".join(f"{f} long" for f in names)
-        dealt = rows.select("node", "root", "size", *names).mapInArrow(deal, "key long, " + types)
-        if keys is not None:
-            dealt = dealt.join(keys, "key", "left_semi").select("key", "node", "root", "size", *names)
-        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return C.written(dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(linked(most), "key long, a long, b long, d int, whole boolean"), "links")
+        dealt = rows.select("key", salt.cast("long").alias("salt"), "node", "root", "size", *names).repartition(parts, "key", "salt").sortWithinPartitions("key", "salt")
+        return written(dealt.mapInArrow(linked(most), "key long, a long, b long, d int, whole boolean"), "links")
 
     def apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
         """pairs whose ends are in different components, with the root of each end."""
@@ -451,42 +543,58 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
                 pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
         return pairs.filter("root_a <> root_b")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "least"), "node")
-        texts = C.written(docs.select(F.col(key).alias("least"), F.col(text).alias("_t")).join(wanted, "least").groupBy("node").agg(F.first("_t").alias("_t")), "texts")
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("_t").alias("_ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("_t").alias("_tb")), "b")
-        return _similar(both, shingle, similarity)
-
+    rows = shared(nodes.filter("size > 0").select("node", F.explode("keys").alias("key")), "shared-keys")
+    # the texts that may have to be verified, one of each node
+    live = rows.select("node").distinct().join(nodes.select("node", "least"), "node")
+    texts = fps.select("node", "_k", "_t").join(live, "node").filter(F.col("_k").eqNullSafe(F.col("least")))
+    texts = written(texts.groupBy("node").agg(F.first("_t").alias("_t")), "texts")
+    n = F.col("n")
+    large = n > bucket_rows
     roots = good = tested = most = None
-    edges = candidates(None, None, None)
+    edges = candidates(rows, None, None, F.when(large, F.pmod(F.xxhash64("node", "key"), F.ceil(n / bucket_rows))).otherwise(0))
+    open_rows = rows.filter(~large)
+    dealt_again = False
     while True:
         for k in range(4):
             todo = apart(edges.groupBy("a", "b").agg(F.min("d").alias("d")), roots)
-            todo = C.written(todo if tested is None else todo.join(tested, ["a", "b"], "left_anti"), "pairs")
-            n = todo.count()
-            if not n:
+            todo = written(todo if tested is None else todo.join(tested, ["a", "b"], "left_anti"), "pairs")
+            count = todo.count()
+            if not count:
                 break
             ends = todo.select(F.col("root_a").alias("root"), "a", "b", "d").union(todo.select("root_b", "a", "b", "d"))
-            all_of = k == 3 or most is not None or n <= OPEN_PAIRS * ends.select("root").distinct().count()
+            all_of = k == 3 or most is not None or count <= OPEN_PAIRS * ends.select("root").distinct().count()
             if not all_of:
-                todo = C.written(ends.groupBy("root").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("x")).select("x.a", "x.b").distinct(), "pairs")
+                todo = written(ends.groupBy("root").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("x")).select("x.a", "x.b").distinct(), "pairs")
             todo = todo.select("a", "b")
-            found = verified(todo)
-            good = C.written(found if good is None else good.unionByName(found), "verified")
-            tested = C.written(todo if tested is None else tested.unionByName(todo), "tested")
-            roots = C.written(components(good), "roots")
+            both = todo.join(texts.select(F.col("node").alias("a"), F.col("_t").alias("_ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("_t").alias("_tb")), "b")
+            verified = _similar(both, shingle, similarity)
+            good = written(verified if good is None else good.unionByName(verified), "verified")
+            tested = written(todo if tested is None else tested.unionByName(todo), "tested")
+            roots = written(components(good), "roots")
             if all_of:
                 break
+        if not dealt_again:  # what large buckets leave apart, by two keys
+            dealt_again = True
+            left = rows.filter(large)
+            left = left.withColumn("root", F.col("node")) if roots is None else left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            left = written(left.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key"), "open-buckets")
+            if not left.isEmpty():
+                again = rows.filter(large).join(left, "key").select("node", "key").join(nodes.select("node", "keys"), "node").select("node", "key", F.explode("keys").alias("other"))
+                again = shared(again.filter("key <> other").select("node", F.xxhash64("key", "other").alias("key")), "shared-pairs-of-keys")
+                edges = written(edges.unionByName(candidates(again, roots, PARTNERS, F.lit(0))), "links")
+                open_rows = open_rows.unionByName(again)
+                continue
         # a bucket is done where its forest holds, and else where it has given all its pairs
-        rest = apart(edges, roots) if most is None else edges.filter("NOT whole")
-        keys = C.written(rest.select("key").distinct(), "open-buckets")
+        rest = apart(edges.filter("whole IS NULL"), roots).select("key").union(edges.filter("NOT whole").select("key"))
+        keys = written(rest.distinct(), "open-buckets")
         if keys.isEmpty():
             break
         most = PARTNERS * (most or 1)
-        edges = candidates(roots, keys, most)
+        edges = candidates(open_rows.join(keys, "key", "left_semi"), roots, most, F.lit(0))
     if roots is None:
         roots = nodes.select("node", F.col("node").alias("root")).limit(0)
     label = C.written(_labelled(nodes.select("node", "least"), roots), "labels")
+    C.discard(*made[1:])
     return fps.select("_k", "node").join(label, "node").select(F.col("_k").alias(key), "component_id")
 
 

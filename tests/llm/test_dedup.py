@@ -67,16 +67,54 @@ def test_pivots_never_discard_a_link():
     assert all(roots[m] == roots[r] for m, r in zip(member, root))
 
 
-def test_near_duplicates_of_similar_shingles(some_docs):
-    rows = sorted((r.doc_id, r.text.lower().split()) for r in some_docs.collect())
-    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for _, w in rows]
+def test_pivots_discard_pairs_of_any_bucket():
+    """Fingerprints that share a block of bits: hardly any pair but those within the radius is left to be verified, in buckets of all sizes."""
+    rng = np.random.default_rng(5)
+    for n in (2, 8, 200):
+        fps = rng.integers(0, 2**63, (4000 // n * n, 1), dtype=np.uint64) & np.uint64(2**43 - 1)
+        fps[1::n] = fps[::n] ^ np.uint64(5)
+        table = simhash.pivot_table(fps, simhash.references(fps, 2))
+        begin, kept, pairs = np.arange(0, len(fps), n), 0, 0
+        for i, j in simhash._pairs(begin, np.full(len(begin), n)):
+            x, y = simhash.survivors(table, i, j, 2)
+            assert set(zip(i[simhash.distances(fps, i, j) <= 2], j[simhash.distances(fps, i, j) <= 2])) <= set(zip(x, y))
+            pairs += len(i)
+            kept += len(x)
+        assert kept - len(begin) <= 0.001 * pairs
+
+
+def test_wide_pivots_are_members():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, (3, 4), dtype=np.uint64)
+    fps = np.repeat(base, 40, axis=0) ^ (np.uint64(1) << rng.integers(0, 64, (120, 4)).astype(np.uint64))
+    table = simhash.pivot_table(fps, simhash.references(fps, 40))
+    i, j = np.triu_indices(120, 1)
+    x, y = simhash.survivors(table, i, j, 40)
+    assert (x // 40 == y // 40).all() and len(x) == 3 * 40 * 39 // 2
+
+
+def test_long_texts_take_bounded_memory(monkeypatch):
+    monkeypatch.setattr(simhash, "SLICE_BYTES", 40)
+    monkeypatch.setattr(simhash, "SLICE", 3)
+    for text in ("", "a", "A b", "a b c", "one  two\tthree four " * 30, "x" * 200 + " y z " * 20 + "w" * 100, "a\nb " * 7 + "ÄÖ"):
+        assert simhash.fingerprint(text.encode()) == _fingerprint(text)
+
+
+def _near(rows, kept):
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.lower().split() for _, t in rows)]
     roots = _reach(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
-    kept = {r.doc_id for r in simhash.deduplicated(some_docs).collect()}
     assert kept == {rows[i][0] for i in set(roots)}
 
 
-def test_rejected_pairs_leave_the_others_to_be_tried(spark):
-    """Families of variants whose similarities lie around 0.8: a forest of the nearest pairs alone unites too few of them."""
+@pytest.mark.parametrize("bucket_rows", [2, 2000])
+def test_near_duplicates_of_similar_shingles(some_docs, bucket_rows):
+    rows = sorted((r.doc_id, r.text) for r in some_docs.collect())
+    _near(rows, {r.doc_id for r in simhash.deduplicated(some_docs, bucket_rows=bucket_rows).collect()})
+
+
+@pytest.mark.parametrize("bucket_rows", [10, 2000])
+def test_rejected_pairs_leave_the_others_to_be_tried(spark, bucket_rows):
+    """Families of variants whose similarities lie around 0.8: a forest of the nearest pairs alone unites too few of them, as do parts of a bucket."""
     rng = np.random.default_rng(2)
     rows = []
     for f in range(3):
@@ -86,10 +124,16 @@ def test_rejected_pairs_leave_the_others_to_be_tried(spark):
             for p in rng.choice(300, 4 if f else 5, replace=False):
                 words[p] = f"x{rng.integers(10**9)}"
             rows.append((len(rows), " ".join(words)))
-    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(296)) for _, t in rows]
-    roots = _reach(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
-    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert kept == set(roots)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _near(rows, {r.doc_id for r in simhash.deduplicated(docs, bucket_rows=bucket_rows).collect()})
+
+
+def test_null_and_repeated_keys_are_verified(spark):
+    words = [f"w{i}" for i in range(100)]
+    near = " ".join([*words[:99], "other"])
+    rows = [(None, " ".join(words)), (None, near), (3, "a b c"), (3, near), (5, " ".join(words)), (6, "d e f g h i")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in got) == [("3", 3), ("3", 3), ("5", 3), ("6", 6), ("None", 3), ("None", 3)]
 
 
 def _suffixes(rows):
