@@ -4,18 +4,20 @@ A suffix array over a whole corpus would hold a suffix for each byte. Instead
 each window of SPAN bytes names an anchor, the smallest of the hashes of its
 GRAM-byte substrings (leftmost among equals). Equal windows have equal anchors
 at equal offsets, so a window can only repeat if its anchor does, and anchors
-that occur once in the corpus are dropped by one aggregation and one join, and
-so are anchors that always stand in the same context: their copies go whole. The
-rest are sorted as suffixes, anchor by anchor: comparisons find the common
+that occur once in the corpus are dropped by one aggregation and one join. Of
+the contexts of an anchor that have equal hashes the first is kept; the others are
+copies of it, joined along their documents to long ranges, each compared with
+the range that it copies by the SHA-256 of its bytes. What is kept of an anchor is
+sorted as suffixes: comparisons find the common
 extension of two suffixes by binary search on prefix polynomial hashes, in a
 mergesort that runs over all anchors of a chunk at once; common prefixes of
 neighbours are then verified on the bytes. Neighbours with enough in common to
 the right, and equal hashes to the left, are equal windows, of which all but the
 first go; what is equal to the left is verified on the bytes, too.
 
-Anchors in more than HOT contexts would make one large group; their windows are
-compared by 128-bit hashes in an aggregation and a join instead, which Spark
-combines before the shuffle and can split.
+An anchor of more than HOT different contexts would make one large group, which
+one task had to sort. Its windows are grouped by the SHA-256 of their bytes
+instead, which Spark combines before the shuffle and can split.
 """
 
 from __future__ import annotations
@@ -37,9 +39,12 @@ HOT = 2_000
 SORT_ROWS = 20_000
 #: Anchors are chosen by the upper half of their hashes; the lower half holds the position, which decides between equals.
 _AT = (1 << 32) - 1
+#: Packed values hold a place in the document below the mark of its text.
+_PLACE = (1 << 46) - 1
 #: Bytes of text whose anchors are found, and whose contexts are cut out, at once.
 ANCHOR_BYTES, CONTEXT_BYTES = 1 << 19, 1 << 18
-NULL_KEY = -(2**63)
+#: Rows of null keys are documents by their text's hash, before those of any key above this.
+NULL_KEYS = -(2**62)
 
 
 class Anchors:
@@ -105,22 +110,20 @@ def anchors(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "h long, g long, k long, x long")
 
 
-_CONTEXTS = T.StructType(
-    [T.StructField("kind", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), T.StructField("k", T.LongType()), T.StructField("x", T.LongType()), T.StructField("y", T.LongType()), T.StructField("c", T.BinaryType())]
-)
+_CONTEXTS = T.StructType([T.StructField("kind", T.IntegerType())] + [T.StructField(x, T.LongType()) for x in "hkxy"] + [T.StructField("c", T.BinaryType())])
 
 
-def _record(kind: int, h, g, k, x, y, c=None) -> pa.RecordBatch:
+def _record(kind: int, h, k, x, y, c: pa.Array) -> pa.RecordBatch:
     n = len(k)
     zero = np.zeros(n, np.int64)
-    own = [pa.array(np.full(n, kind, np.int32))] + [pa.array(zero if v is None else np.ascontiguousarray(v, dtype=np.int64)) for v in (h, g, k, x, y)]
-    return pa.RecordBatch.from_arrays([*own, pa.nulls(n, pa.binary()) if c is None else c], _CONTEXTS.names)
+    own = [pa.array(np.full(n, kind, np.int32))] + [pa.array(zero if v is None else np.ascontiguousarray(v, dtype=np.int64)) for v in (h, k, x, y)]
+    return pa.RecordBatch.from_arrays([*own, c], _CONTEXTS.names)
 
 
 def contexts(rows: DataFrame) -> DataFrame:
-    """Of the documents' listed anchors (_a: their x, _s: whether each is hot, _h): rows of two kinds.
+    """Of the documents' listed anchors (_a: their x, _s: whether each is hot, _h) and of ranges that others copy (_o: start with the mark, _n: bytes): rows of three kinds.
 
-    1: a suffix to sort, c its anchor's windows. 2: a window at x of a hot anchor, h and g its hash.
+    1: a suffix to sort, c its anchor's windows. 2: a window at x of a hot anchor, c its SHA-256. 3: a range at x of y bytes, c its SHA-256.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,11 +134,14 @@ def contexts(rows: DataFrame) -> DataFrame:
                 raw, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 prefix = C.prefix_hashes(raw)
                 marks = _marks(raw, o, prefix)
-                lists = C.column(batch, "_a")[lo:hi]
-                x, doc = np.asarray(lists.flatten()), np.repeat(np.arange(hi - lo), np.asarray(lists.value_lengths()))
+                (start, size), doc = _lists(batch, ["_o", "_n"], lo, hi)
+                own = (start >> 46) == marks[doc]
+                start, size, doc = start[own], size[own], doc[own]
+                if len(start):
+                    yield _record(3, None, keys[lo + doc], start, size, _digests(raw, o[doc] + (start & _PLACE), size))
+                (x, h, hot), doc = _lists(batch, ["_a", "_h", "_s"], lo, hi)
                 own = (x >> 46) == marks[doc]
-                h, hot = (np.asarray(C.column(batch, c)[lo:hi].flatten())[own] for c in ("_h", "_s"))
-                x, doc = x[own], doc[own]
+                x, h, hot, doc = x[own], h[own], hot[own], doc[own]
                 order = np.lexsort((x, keys[lo + doc]))
                 x, doc, h, hot = x[order], doc[order], h[order], hot[order]
                 at, left, n = unpack(x)
@@ -147,19 +153,48 @@ def contexts(rows: DataFrame) -> DataFrame:
                     ends = np.cumsum(size)
                     bytes_ = raw[np.repeat((begin[cold] - (ends - size)).astype(np.int32), size) + np.arange(int(ends[-1]), dtype=np.int32)]
                     c = pa.BinaryArray.from_buffers(pa.binary(), len(cold), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(bytes_.tobytes())])
-                    yield _record(1, h[cold], None, k[cold], x[cold], None, c)
+                    yield _record(1, h[cold], k[cold], x[cold], None, c)
                 warm = np.flatnonzero(hot != 0)
                 if len(warm):
                     which = np.repeat(warm, n[warm])
                     step = np.arange(len(which)) - np.repeat(np.cumsum(n[warm]) - n[warm], n[warm])
-                    s = begin[which] + step
-                    one = C.span_hashes(prefix, s, s + SPAN)
-                    other = C.span_hashes(prefix, s, s + SPAN // 2)
-                    yield _record(2, C.mix(one).view(np.int64), C.mix(other + C.mix(one + np.uint64(9))).view(np.int64), k[which], mark[which] | (p[which] + step), None)
+                    yield _record(2, None, k[which], mark[which] | (p[which] + step), None, _digests(raw, begin[which] + step, np.full(len(which), SPAN)))
 
     return rows.mapInArrow(work, _CONTEXTS)
 
 
+def _lists(batch: pa.RecordBatch, names: list[str], lo: int, hi: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The values of list columns (null for none) of rows lo to hi, and the row of each, from 0."""
+    columns = [C.column(batch, x)[lo:hi] for x in names]
+    n = np.asarray(columns[0].value_lengths().fill_null(0)).astype(np.int64)
+    return [np.asarray(x.flatten()).astype(np.int64) for x in columns], np.repeat(np.arange(hi - lo), n)
+
+
+def _digests(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    view = memoryview(raw)
+    return pa.array([hashlib.sha256(view[a : a + n]).digest() for a, n in zip(start.tolist(), size.tolist())], pa.binary())
+
+
+def joined_copies(rows: DataFrame) -> DataFrame:
+    """(k, x, y, k0, x0): copied ranges (lists x, y, k0, x0 of each k) of one source and shift, joined where they touch."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, y, k0, x0), doc = _lists(batch, ["x", "y", "k0", "x0"], 0, batch.num_rows)
+            shift = x0 - x  # of places with their marks, of which there is one for each source
+            order = np.lexsort((x, shift, k0, x >> 46, doc))
+            x, y, k0, x0, shift, doc = (v[order] for v in (x, y, k0, x0, shift, doc))
+            new = np.ones(len(x), dtype=bool)
+            end = (x & ~_PLACE) + y
+            new[1:] = (doc[1:] != doc[:-1]) | (k0[1:] != k0[:-1]) | (shift[1:] != shift[:-1]) | (x[1:] > end[:-1])
+            first = np.flatnonzero(new)
+            last = np.concatenate((first[1:], [len(x)])) - 1 if len(x) else first
+            keys = np.asarray(C.column(batch, "k"))[doc[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (keys, x[first], y[last], k0[first], x0[first])], ["k", "x", "y", "k0", "x0"])
+
+    return rows.mapInArrow(work, "k long, x long, y long, k0 long, x0 long")
+
+
 class _Suffixes:
     """Suffixes at the anchors of some contexts, compared on prefix hashes."""
 
@@ -335,22 +370,22 @@ def sort_suffixes(rows: DataFrame) -> DataFrame:
 
 
 def removed(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:
-    """docs with _kl_k, _kl_t and the ranges to remove: _kl_x (start, with the mark of the row's text) and _kl_y (end).
+    """docs with _kl_k, _kl_t and the ranges to remove: _kl_x (start, with the mark of the row's text), _kl_y (end) and _kl_c (SHA-256 that the range must have, or null).
 
     Contexts of one anchor are compared by hash first: of equal ones all but the
-    first go whole. Only anchors with several contexts are sorted, by the first
-    of each.
+    first go whole, if the bytes are found to be equal. Only anchors with several
+    contexts are sorted, by the first of each.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.withColumns({"_kl_k": F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)), "_kl_t": F.coalesce(F.col(text), F.lit(""))})
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.withColumns({"_kl_k": F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEYS) - F.xxhash64(body).bitwiseAND(F.lit((1 << 61) - 1))), "_kl_t": body})
     scan = rows.select("_kl_k", "_kl_t")
 
     def step(df: DataFrame, name: str, *read: DataFrame) -> DataFrame:
         """Write df; then drop the tables that only it read, and its shuffles."""
         out = C.written(df, name)
-        for table in read:
-            C.discard(table)
+        C.discard(*read)
         C.release_shuffles(spark)
         return out
 
@@ -358,33 +393,57 @@ def removed(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int =
     places = step(anchors(scan).join(again.hint("merge"), "h"), "anchor-places", again)
     first = F.min(F.struct("k", "x")).alias("first")
     firsts = step(places.groupBy("h", "g").agg(first, F.count("*").alias("n")).select("h", "g", F.col("first.k").alias("k0"), F.col("first.x").alias("x0"), "n"), "contexts")
-    start = F.shiftrightunsigned("x", 14).bitwiseAND(F.lit(0xFFFFFFFF)) - F.shiftrightunsigned("x", 7).bitwiseAND(F.lit(127))
-    mark = F.shiftleft(F.shiftright("x", 46), 46)
+
+    def start(x: str):
+        return F.shiftrightunsigned(x, 14).bitwiseAND(F.lit(0xFFFFFFFF)) - F.shiftrightunsigned(x, 7).bitwiseAND(F.lit(127))
+
+    def mark(x: str):
+        return F.shiftleft(F.shiftright(x, 46), 46)
+
     copies = places.join(firsts.filter("n > 1").drop("n").hint("merge"), ["h", "g"]).filter("k > k0 OR k = k0 AND x > x0")
-    copies = copies.select("k", (mark + start).alias("x"), (start + F.col("x").bitwiseAND(F.lit(127)) + SPAN).alias("y"))
-    done = step(copies.groupBy("k").agg(F.collect_list(F.struct("x", "y")).alias("_r")), "copies", places)
+    copies = copies.select("k", (mark("x") + start("x")).alias("x"), (start("x") + F.col("x").bitwiseAND(F.lit(127)) + SPAN).alias("y"), "k0", (mark("x0") + start("x0")).alias("x0"))
+    copies = copies.groupBy("k").agg(F.collect_list(F.struct("x", "y", "k0", "x0")).alias("r")).select("k", *[F.col(f"r.{c}").alias(c) for c in ("x", "y", "k0", "x0")])
+    copies = step(joined_copies(copies), "copies", places)
+    size = F.col("y") - F.col("x").bitwiseAND(F.lit(_PLACE))
+    copied = copies.select("k0", "x0", size.alias("n")).distinct().groupBy("k0").agg(F.collect_list(F.struct("x0", "n")).alias("o")).select("k0", F.col("o.x0").alias("_o"), F.col("o.n").alias("_n"))
     several = firsts.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h", (F.col("m") > hot).cast("int").alias("s"))
     listed = firsts.join(several.hint("merge"), "h").groupBy("k0").agg(F.collect_list(F.struct("x0", "h", "s")).alias("a"))
-    listed = step(listed.select("k0", F.col("a.x0").alias("_a"), F.col("a.h").alias("_h"), F.col("a.s").alias("_s")), "listed", firsts)
-    found = step(contexts(scan.join(listed.hint("merge"), F.col("_kl_k") == F.col("k0")).select("_kl_k", "_kl_t", "_a", "_h", "_s")), "suffixes", listed)
+    listed = listed.select("k0", F.col("a.x0").alias("_a"), F.col("a.h").alias("_h"), F.col("a.s").alias("_s")).join(copied.hint("merge"), "k0", "full")
+    listed = step(listed, "listed", firsts)
+    found = step(contexts(scan.join(listed.hint("merge"), F.col("_kl_k") == F.col("k0")).drop("k0")), "suffixes", listed)
     cold = sort_suffixes(found.filter("kind = 1").select("h", "k", "x", "c").repartition(n, "h").sortWithinPartitions("h"))
-    windows = found.filter("kind = 2").select("h", "g", "k", "x")
-    firsts = windows.groupBy("h", "g").agg(first, F.count("*").alias("n")).filter("n > 1").drop("n")
-    warm = windows.join(firsts, ["h", "g"]).filter(F.struct("k", "x") > F.col("first")).select("k", "x", (F.col("x").bitwiseAND(F.lit((1 << 46) - 1)) + SPAN).alias("y"))
-    more = cold.unionByName(warm).groupBy("k").agg(F.collect_list(F.struct("x", "y")).alias("_r"))
-    gone = step(done.unionByName(more).groupBy("k").agg(F.flatten(F.collect_list("_r")).alias("_r")), "removed-ranges", done, found)
-    gone = gone.select("k", F.col("_r.x").alias("_kl_x"), F.col("_r.y").alias("_kl_y"))
+    windows = found.filter("kind = 2").select("k", "x", "c")
+    first_windows = windows.groupBy("c").agg(first, F.count("*").alias("n")).filter("n > 1").drop("n")
+    warm = windows.join(first_windows, "c").filter(F.struct("k", "x") > F.col("first")).select("k", "x", (F.col("x").bitwiseAND(F.lit(_PLACE)) + SPAN).alias("y"))
+    ranges = found.filter("kind = 3").select(F.col("k").alias("k0"), F.col("x").alias("x0"), F.col("y").alias("n"), "c").distinct()
+    checked = copies.withColumn("n", size).join(ranges.hint("merge"), ["k0", "x0", "n"]).select("k", "x", "y", "c")
+    gone = cold.unionByName(warm).withColumn("c", F.lit(None).cast("binary")).unionByName(checked)
+    gone = step(gone.groupBy("k").agg(F.collect_list(F.struct("x", "y", "c")).alias("_r")), "removed-ranges", found, copies)
+    gone = gone.select("k", *[F.col(f"_r.{c}").alias(f"_kl_{c}") for c in "xyc"])
     return rows.join(gone.hint("merge"), F.col("_kl_k") == F.col("k"), "left").drop("k")
 
 
+def cut_out(raw: np.ndarray, start: np.ndarray, end: np.ndarray, digests: list[bytes | None]) -> np.ndarray:
+    """Whether each byte is in a range; a range whose bytes do not have its digest is left out."""
+    step = np.zeros(len(raw) + 1, dtype=np.int64)
+    view = memoryview(raw)
+    own = np.array([c is None or hashlib.sha256(view[a:b]).digest() == c for a, b, c in zip(start.tolist(), end.tolist(), digests)], dtype=bool)
+    np.add.at(step, start[own], 1)
+    np.add.at(step, end[own], -1)
+    return np.cumsum(step[:-1]) > 0
+
+
 _DIGEST = T.StructType([T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT, keep_bytes: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: the remaining bytes (columns of those names are replaced).
 
-    A null text counts as empty and a null key as the smallest. Equal rows count
-    as one document; different texts of one key are ordered by their hash.
+    A null text counts as empty. Rows of null keys come before all others, ordered
+    by a hash of their text. Equal rows count as one document; different texts of
+    one key are ordered by a 16-bit hash that tells them apart. Keys are taken as
+    whole numbers, from -2**62. A table without rows gives none; a text is worked on
+    whole, however long, up to 2**32 bytes.
     """
     added = _DIGEST.fields if keep_bytes else _DIGEST.fields[:4]
     names = [x for x in docs.columns if x not in {f.name for f in added}]
@@ -398,16 +457,11 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", hot:
             for lo, hi in C.chunks(off, ANCHOR_BYTES):
                 raw, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 marks = _marks(raw, o, C.prefix_hashes(raw))
-                step = np.zeros(len(raw) + 1, dtype=np.int64)
                 part = batch.slice(lo, hi - lo)
-                x, y = C.column(part, "_kl_x"), C.column(part, "_kl_y")
-                doc = np.repeat(np.arange(hi - lo), np.nan_to_num(np.asarray(x.value_lengths().fill_null(0))).astype(np.int64))
-                x, y = np.asarray(x.flatten()).astype(np.int64), np.asarray(y.flatten()).astype(np.int64)
-                own = (x >> 46) == marks[doc]
-                x, y, doc = x[own] & ((1 << 46) - 1), y[own], doc[own]
-                np.add.at(step, o[doc] + x, 1)
-                np.add.at(step, o[doc] + y, -1)
-                cut = np.cumsum(step[:-1]) > 0
+                (x, y), doc = _lists(part, ["_kl_x", "_kl_y"], 0, hi - lo)
+                own = np.flatnonzero((x >> 46) == marks[doc])
+                digests = C.column(part, "_kl_c").flatten().take(pa.array(own)).to_pylist()
+                cut = cut_out(raw, o[doc[own]] + (x[own] & _PLACE), o[doc[own]] + y[own], digests)
                 edge = cut.copy()
                 inner = o[1:-1][o[1:-1] < len(raw)]
                 edge[1:] &= ~cut[:-1]
