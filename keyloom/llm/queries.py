@@ -53,7 +53,10 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
-    return toxicity.report(docs, toxicity.train(docs, labels))
+    model = toxicity.train(docs, labels)
+    out = toxicity.report(docs, model)
+    model.discard()  # the tables of its last block are broadcast by now
+    return out
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,13 +35,9 @@ WORDS, SIMILARITY, WIDE, KEYS, OF_KEY = 5, 0.8, 4, 12, 2
 #: Fingerprints estimate a similarity with an error of some 0.03. Pairs within the distance expected at similarity - SLACK are verified
 #: on their shingles.
 SLACK = 0.15
-#: Pairs of a node that a bucket gives in its second round, and times more in each later one.
-PARTNERS = 16
-#: While more pairs than this for each end are open, those nearest to each component are verified first.
-OPEN_PAIRS = 4
 #: Reference fingerprints of the pivot table.
 PIVOTS = 32
-#: A larger bucket is dealt out again: by blocks of the remaining bits, or by further keys.
+#: A larger bucket is dealt out again: by blocks of the remaining bits, or by further keys; a larger family is worked on in parts.
 BUCKET_ROWS = 2000
 #: Pairs that are compared at once, and rows of a bucket whose pairs are enumerated together with those of others.
 STRIP_PAIRS, SMALL = 1 << 20, 64
@@ -175,13 +171,14 @@ class _Bucket:
             end = int(np.searchsorted(self.table[:, 0], self.table[hi - 1, 0] + self.radius, "right"))
             main = np.bincount(self.label[lo:end]).argmax()
             rows, cols = np.arange(lo, hi), np.arange(lo, end)
-            other, away = cols[self.label[cols] != main], self.label[rows] != main
-            for x, y in ((rows[~away], other), (rows[away], cols)):
+            beyond, away = cols[hi - lo :], self.label[rows] != main
+            for x, y in ((rows[~away], beyond[self.label[beyond] != main]), (rows[away], cols)):
                 if len(x) and len(y):
-                    yield self._verified(*(v.ravel() for v in np.meshgrid(x, y, indexing="ij")))
+                    i, j = (v.ravel() for v in np.meshgrid(x, y, indexing="ij"))
+                    yield self._verified(i, j, (j >= hi) | (self.label[j] == main) | (i < j))
 
-    def _verified(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own = self.label[i] != self.label[j]
+    def _verified(self, i: np.ndarray, j: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own &= self.label[i] != self.label[j]
         i, j = survivors(self.table, i[own], j[own], self.radius)
         distance = distances(self.fps, i, j)
         near = distance <= self.radius
@@ -236,29 +233,44 @@ def links_of_buckets(fps: np.ndarray, bounds: np.ndarray, radius: int) -> tuple[
     return tuple(map(np.concatenate, zip(*out)))
 
 
-def bucket_forest(fps: np.ndarray, radius: int, sizes: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, None]]:
-    """Pairs (i, j, distance) within radius that span their components: nearest first, a forest in each strip. They tell all only where each of them is verified."""
-    bucket = _Bucket(fps, radius, sizes, least)
-    for i, j, d in bucket.near():
-        while len(i):  # of each component, its nearest pair
-            ends = np.concatenate((bucket.label[i], bucket.label[j]))
-            nearest = np.lexsort((np.concatenate((d, d)), ends))
-            _, first = np.unique(ends[nearest], return_index=True)
-            pick = np.unique(nearest[first] % len(i))
-            yield bucket.order[i[pick]], bucket.order[j[pick]], d[pick], None
-            bucket.join(i[pick], j[pick])
-            own = bucket.label[i] != bucket.label[j]
-            i, j, d = i[own], j[own], d[own]
+class Shared:
+    """How many shingles texts share, by the texts that each shingle is in."""
 
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets])
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        self.columns = np.split(column, np.cumsum(self.size)[:-1])
+        order = np.argsort(column, kind="stable")
+        self.member = np.repeat(np.arange(len(sets)), self.size)[order]
+        self.begin = np.concatenate(([0], np.cumsum(np.bincount(column))))
 
-def bucket_partners(fps: np.ndarray, radius: int, sizes: np.ndarray, least: float, roots: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """Pairs (i, j, distance) within radius of different roots, the `most` nearest of each i, and whether these are all in their strip."""
-    bucket = _Bucket(fps, radius, sizes, least, roots)
-    for i, j, d in bucket.near():
-        nearest = np.lexsort((d, i))
-        i, j, d = i[nearest], j[nearest], d[nearest]
-        own = np.arange(len(i)) - np.searchsorted(i, i) < most
-        yield bucket.order[i[own]], bucket.order[j[own]], d[own], bool(own.all())
+    def similarity(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Jaccard similarity of text i to others."""
+        begin, n = self.begin[self.columns[i]], self.begin[self.columns[i] + 1] - self.begin[self.columns[i]]
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        common = np.bincount(self.member[at], minlength=len(self.size))[others]
+        return common / (self.size[i] + self.size[others] - common)
+
+
+def similar_links(fps: np.ndarray, radius: int, sets: list[np.ndarray], similarity: float, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) of a spanning forest of the texts whose sets are similar and whose roots differ; pairs that pivots or fingerprints discard are not looked at."""
+    shared = Shared(sets)
+    bucket = _Bucket(fps, radius, shared.size, similarity, roots)
+    out: list[tuple[int, int]] = []
+    for i, j, _ in bucket.near():
+        if len(np.unique(i)) > len(np.unique(j)):
+            i, j = j, i
+        order = np.argsort(i, kind="stable")
+        rows, first = np.unique(i[order], return_index=True)
+        for x, own in zip(rows.tolist(), np.split(j[order], first[1:])):
+            own = own[bucket.label[own] != bucket.label[x]]
+            if len(own):
+                own = own[shared.similarity(bucket.order[x], bucket.order[own]) >= similarity]
+                own = own[np.unique(bucket.label[own], return_index=True)[1]]
+                out.extend((x, y) for y in own.tolist())
+                bucket.join(np.full(len(own), x), own)
+    found = np.array(out, dtype=np.int64).reshape(-1, 2)
+    return bucket.order[found[:, 0]], bucket.order[found[:, 1]]
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
@@ -329,7 +341,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node with an edge: root is the smallest node of its component.
+    """(node, root) for each node with an edge, as a written table: root is the smallest node of its component.
 
     Alternates large-star and small-star steps; each is one aggregation to the
     smallest neighbour and one join, and the edges are written between rounds.
@@ -351,7 +363,10 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+    out = C.written(out.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
+    C.discard(edges)
+    return out
 
 
 def _labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -360,7 +375,6 @@ def _labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     The ids are written before they are joined, so that Spark can split the join
     where one component holds many nodes; nodes without a link are not joined.
     """
-    roots = C.written(roots, "roots")
     linked = nodes.join(roots, "node")
     ids = C.written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
     return linked.join(ids, "root").select("node", "component_id").unionByName(nodes.join(roots, "node", "left_anti").select("node", F.col("least").alias("component_id")))
@@ -376,6 +390,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     nodes = C.written(fps.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
     roots = components(links(nodes, radius))
     label = C.written(_labelled(nodes.select(F.col("fp").alias("node"), "least"), roots), "labels").withColumnRenamed("node", "fp")
+    C.discard(nodes, roots)
     return fps.join(label, "fp").select(key, "fp", "component_id")
 
 
@@ -443,23 +458,6 @@ def wide_fingerprints(docs: DataFrame, text: str, key: str, shingle: int, words:
     return rows.mapInArrow(work, f"_k {rows.schema['_k'].dataType.simpleString()}, _t string, node long, size int, " + ", ".join(f"f{w} long" for w in range(words)) + ", keys array<long>")
 
 
-def _similar(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b) of those pairs of texts (_ta, _tb) whose sets of shingles have that Jaccard similarity."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 100):
-                batch = whole.slice(lo, 100)
-                keep = []
-                for (_, x), (_, y) in zip(_sets(C.column(batch, "_ta"), shingle), _sets(C.column(batch, "_tb"), shingle)):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(common >= similarity * (len(x) + len(y) - common))
-                mask = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([C.column(batch, c).filter(mask) for c in "ab"], ["a", "b"])
-
-    return pairs.select("a", "b", "_ta", "_tb").mapInArrow(work, "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = WORDS, similarity: float = SIMILARITY, words: int = WIDE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(key, component_id) for documents whose sets of word shingles are similar: component_id is the smallest key reachable.
 
@@ -467,137 +465,104 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     too many for blocks of 64 bits, and random choices of bits would make buckets
     that grow with the corpus. So buckets are of equal content keys, of which a
     pair at the least similarity shares one with a probability of 0.999995; a key
-    whose bucket holds the same texts as another's is passed over. In a bucket,
-    pairs of fingerprints are discarded by the pivot table and by their distance.
-    Only pairs that are verified on the shingles of their texts are linked. A
-    bucket first gives the nearest pairs that would unite what is near in it;
-    where one of them is rejected, it gives further pairs of what is not united,
-    more in each round, until none is left.
-
-    A bucket of more than bucket_rows texts is first worked on in parts; what its
-    parts and other buckets leave apart is dealt out again by the keys that its
-    texts share besides, of which a similar pair has one more with a probability of
-    0.99999. Texts of the same words are one node; texts without words are one as
-    well. Rows of null keys and repeated rows take part like any other; a
-    component of null keys alone has a null id.
+    whose bucket holds the same texts as another's is passed over. A key that more
+    than bucket_rows texts share is parted by the further keys that they share.
+
+    Fingerprints within the radius, by the pivot table and bit by bit, put the
+    texts of a bucket into one family. Each text is then sent once, to the others
+    of its family, and pairs within the radius are verified on the shingles; only
+    links of a spanning forest leave the task. A family of more than bucket_rows
+    texts is worked on in parts, and what these leave apart by pairs of parts, but
+    for pairs within its largest component.
+
+    Texts of the same words are one node; texts without words are one as well.
+    Rows of null keys and repeated rows take part like any other; a component of
+    null keys alone has a null id.
     """
-    names = [f"f{w}" for w in range(words)]
     made: list[DataFrame] = []
 
     def written(df: DataFrame, name: str) -> DataFrame:
         made.append(C.written(df, name))
         return made[-1]
 
+    names = [f"f{w}" for w in range(words)]
     fps = written(wide_fingerprints(docs, text, key, shingle, words), "fingerprints")
     nodes = written(fps.groupBy("node").agg(F.min("_k").alias("least"), *(F.first(c).alias(c) for c in ("size", "keys", *names))), "nodes")
     radius = expected_distance(similarity - SLACK, 64 * words)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def shared(keyed: DataFrame, name: str) -> DataFrame:
-        """The rows (key, node) of keys that several nodes share, with their number n, sizes and fingerprints; of keys that the same nodes share, one."""
+    def several(keyed: DataFrame) -> DataFrame:
+        """(key, n) of keys that n > 1 nodes share; of keys that the same nodes share, one."""
         mark = [F.bit_xor(F.xxhash64(F.lit(s), F.col("node"))).alias(f"m{s}") for s in (1, 2)]
-        several = keyed.groupBy("key").agg(F.count("*").alias("n"), *mark).filter("n > 1").groupBy("n", "m1", "m2").agg(F.min("key").alias("key"))
-        return written(keyed.join(several.select("key", "n"), "key").join(nodes.select("node", "size", *names), "node"), name)
-
-    def linked(most: int | None):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table in whole_groups(batches, ["key", "salt"]):
-                yield from found(table, group_bounds(table, ["key", "salt"]), most)
-
-        return work
-
-    def found(table: pa.Table, bounds: np.ndarray, most: int | None) -> Iterator[pa.RecordBatch]:
-        keys, node, root, size = (np.asarray(table[c]) for c in ("key", "node", "root", "size"))
-        own = np.stack([np.asarray(table[f]) for f in names], axis=1).view(np.uint64)
-        out: list[tuple[np.ndarray, ...]] = []
-        n = 0
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if hi - lo > 1:
-                args = own[lo:hi], radius, size[lo:hi], similarity
-                for i, j, d, whole in bucket_forest(*args) if most is None else bucket_partners(*args, root[lo:hi], most):
-                    if len(i):
-                        x, y = node[lo + i], node[lo + j]
-                        out.append((np.full(len(i), keys[lo]), np.minimum(x, y), np.maximum(x, y), d.astype(np.int32), np.full(len(i), whole)))
-                        n += len(i)
-                    if n > STRIP_PAIRS:
-                        yield edge_batch(out)
-                        out, n = [], 0
-        if out:
-            yield edge_batch(out)
-
-    def edge_batch(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, a, b, d, whole = map(np.concatenate, zip(*out))
-        return pa.RecordBatch.from_arrays([*map(pa.array, (key, a, b, d)), pa.array(whole.tolist(), pa.bool_())], ["key", "a", "b", "d", "whole"])
-
-    def candidates(rows: DataFrame, roots: DataFrame | None, most: int | None, salt) -> DataFrame:
-        rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        dealt = rows.select("key", salt.cast("long").alias("salt"), "node", "root", "size", *names).repartition(parts, "key", "salt").sortWithinPartitions("key", "salt")
-        return written(dealt.mapInArrow(linked(most), "key long, a long, b long, d int, whole boolean"), "links")
-
-    def apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-        """pairs whose ends are in different components, with the root of each end."""
-        for end in ("a", "b"):
-            if roots is None:
-                pairs = pairs.withColumn(f"root_{end}", F.col(end))
-            else:
-                pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-        return pairs.filter("root_a <> root_b")
-
-    rows = shared(nodes.filter("size > 0").select("node", F.explode("keys").alias("key")), "shared-keys")
+        return keyed.groupBy("key").agg(F.count("*").alias("n"), *mark).filter("n > 1").groupBy("n", "m1", "m2").agg(F.min("key").alias("key")).select("key", "n")
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["key"]):
+            own = np.stack([np.asarray(table[f]) for f in names], axis=1).view(np.uint64)
+            member, root = links_of_buckets(own, group_bounds(table, ["key"]), radius)
+            node = np.asarray(table["node"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[member]), pa.array(node[root])], ["a", "b"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["family", "x", "y"]):
+            bounds = group_bounds(table, ["family", "x", "y"])
+            node, root = np.asarray(table["node"]), np.asarray(table["root"])
+            own = np.stack([np.asarray(table[f]) for f in names], axis=1).view(np.uint64)
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if hi - lo > 1:
+                    sets = [grams for _, grams in _sets(table["_t"].slice(lo, hi - lo).combine_chunks(), shingle)]
+                    i, j = similar_links(own[lo:hi], radius, sets, similarity, root[lo:hi])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[lo + i]), pa.array(node[lo + j])], ["a", "b"])
+
+    def links_of(rows: DataFrame) -> DataFrame:
+        """The verified links of rows (family, x, y, node, root), with their texts and fingerprints."""
+        dealt = rows.join(texts, "node").select("family", "x", "y", "node", "root", "_t", *names)
+        return written(dealt.repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(verified, "a long, b long"), "verified")
+
+    keyed = nodes.filter("size > 0").select("node", F.explode("keys").alias("key"))
+    rows = written(keyed.join(several(keyed), "key"), "shared-keys")
+    large = F.col("n") > bucket_rows
+    again = rows.filter(large).join(nodes.select("node", "keys"), "node").select("node", "key", F.explode("keys").alias("other")).filter("key <> other")
+    again = again.select("node", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
+    rows = written(rows.filter(~large).unionByName(again.join(several(again), "key")), "shared-keys")
+    small = rows.filter(~large).join(nodes.select("node", *names), "node").select("key", "node", *names)
+    near = small.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(forest, "a long, b long")
+    # what shares even two keys with more than bucket_rows texts is one family at once
+    first = rows.filter(large).groupBy("key").agg(F.min("node").alias("b"))
+    families = components(near.unionByName(rows.filter(large).join(first, "key").select(F.col("node").alias("a"), "b")))
+    made.append(families)
+    families = families.select("node", F.col("root").alias("family"))
+    sizes = written(families.groupBy("family").agg(F.count("*").alias("n")), "family-sizes")
     # the texts that may have to be verified, one of each node
-    live = rows.select("node").distinct().join(nodes.select("node", "least"), "node")
+    live = families.select("node").join(nodes.select("node", "least", *names), "node")
     texts = fps.select("node", "_k", "_t").join(live, "node").filter(F.col("_k").eqNullSafe(F.col("least")))
-    texts = written(texts.groupBy("node").agg(F.first("_t").alias("_t")), "texts")
-    n = F.col("n")
-    large = n > bucket_rows
-    roots = good = tested = most = None
-    edges = candidates(rows, None, None, F.when(large, F.pmod(F.xxhash64("node", "key"), F.ceil(n / bucket_rows))).otherwise(0))
-    open_rows = rows.filter(~large)
-    dealt_again = False
-    while True:
-        for k in range(4):
-            todo = apart(edges.groupBy("a", "b").agg(F.min("d").alias("d")), roots)
-            todo = written(todo if tested is None else todo.join(tested, ["a", "b"], "left_anti"), "pairs")
-            count = todo.count()
-            if not count:
-                break
-            ends = todo.select(F.col("root_a").alias("root"), "a", "b", "d").union(todo.select("root_b", "a", "b", "d"))
-            all_of = k == 3 or most is not None or count <= OPEN_PAIRS * ends.select("root").distinct().count()
-            if not all_of:
-                todo = written(ends.groupBy("root").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("x")).select("x.a", "x.b").distinct(), "pairs")
-            todo = todo.select("a", "b")
-            both = todo.join(texts.select(F.col("node").alias("a"), F.col("_t").alias("_ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("_t").alias("_tb")), "b")
-            verified = _similar(both, shingle, similarity)
-            good = written(verified if good is None else good.unionByName(verified), "verified")
-            tested = written(todo if tested is None else tested.unionByName(todo), "tested")
-            roots = written(components(good), "roots")
-            if all_of:
-                break
-        if not dealt_again:  # what large buckets leave apart, by two keys
-            dealt_again = True
-            left = rows.filter(large)
-            left = left.withColumn("root", F.col("node")) if roots is None else left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            left = written(left.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key"), "open-buckets")
-            if not left.isEmpty():
-                again = rows.filter(large).join(left, "key").select("node", "key").join(nodes.select("node", "keys"), "node").select("node", "key", F.explode("keys").alias("other"))
-                again = shared(again.filter("key <> other").select("node", F.xxhash64("key", "other").alias("key")), "shared-pairs-of-keys")
-                edges = written(edges.unionByName(candidates(again, roots, PARTNERS, F.lit(0))), "links")
-                open_rows = open_rows.unionByName(again)
-                continue
-        # a bucket is done where its forest holds, and else where it has given all its pairs
-        rest = apart(edges.filter("whole IS NULL"), roots).select("key").union(edges.filter("NOT whole").select("key"))
-        keys = written(rest.distinct(), "open-buckets")
-        if keys.isEmpty():
-            break
-        most = PARTNERS * (most or 1)
-        edges = candidates(open_rows.join(keys, "key", "left_semi"), roots, most, F.lit(0))
-    if roots is None:
-        roots = nodes.select("node", F.col("node").alias("root")).limit(0)
+    texts = written(texts.groupBy("node").agg(*(F.first(c).alias(c) for c in ("_t", *names))), "texts")
+
+    dealt = written(families.join(sizes, "family").withColumn("x", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / bucket_rows))), "dealt")
+    links = links_of(dealt.select("family", "x", F.lit(0).cast("long").alias("y"), "node", F.col("node").alias("root")))
+    roots = components(links)
+    made.append(roots)
+    left = written(_pairs_of_parts(dealt.filter(large), roots, bucket_rows), "pairs-of-parts")
+    if not left.isEmpty():
+        roots = components(links.unionByName(links_of(left)))
+        made.append(roots)
     label = C.written(_labelled(nodes.select("node", "least"), roots), "labels")
     C.discard(*made[1:])
     return fps.select("_k", "node").join(label, "node").select(F.col("_k").alias(key), "component_id")
 
 
+def _pairs_of_parts(families: DataFrame, roots: DataFrame, bucket_rows: int) -> DataFrame:
+    """(family, x, y, node, root): large families that have several components, by pairs of parts of which one at least is not of its largest."""
+    own = families.select("family", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counts = own.groupBy("family", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("inner"), F.sum("n").alias("n")).filter("n > inner")
+    own = own.join(main, "family").withColumn("away", F.col("root") != F.col("main"))
+    outer, inner = F.ceil((F.col("n") - F.col("inner")) / bucket_rows), F.ceil(F.col("inner") / bucket_rows)
+    part = F.when(F.col("away"), F.pmod(F.xxhash64("node"), outer)).otherwise(outer + F.pmod(F.xxhash64("node"), inner))
+    own = own.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("away"), outer + inner - 1).otherwise(outer - 1))))
+    return own.select("family", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), "node", "root")
+
+
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """docs without those that are near-duplicates of a document of a smaller key. Rows of the key that stays stay; so do rows of a null key."""
     found = C.written(near_duplicates(docs, text, key, **options).filter(F.col(key) > F.col("component_id")).select(F.col(key).alias("_gone")).distinct(), "duplicates")

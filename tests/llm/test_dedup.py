@@ -154,11 +154,33 @@ def _suffixes(rows):
 @pytest.mark.parametrize("hot", [1, 20_000])
 def test_repeated_bytes_go(some_docs, hot):
     docs = some_docs.withColumn("text", F.concat("text", F.lit(" é"), F.col("text")))  # repeats within a document as well
+    docs = docs.unionByName(docs.filter("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 1000))  # copies
     want = _suffixes([(r.doc_id, r.text) for r in docs.collect()])
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(docs, hot=hot).collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("hot", [1, 20_000])
+def test_null_keys_are_documents_of_their_own(spark, some_docs, hot):
+    texts = [r.text for r in some_docs.collect() if r.text.count("same") < 9]
+    rows = [(None, t) for t in texts for _ in range(2)] + [(1, texts[3])]
+    got = suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot, keep_bytes=True).collect()
+    ids = {r.doc_id: r.n_removed for r in got if r.doc_id}
+    assert len(got) == len(rows) and ids[1] == len(texts[3].encode())
+    kept = {r.kept for r in got if not r.doc_id}
+    windows = {t.encode()[i : i + 100] for t in texts for i in range(len(t.encode()) - 99)}
+    left = b"|".join(kept)
+    assert sum(len(r) for r in kept) < sum(len(t.encode()) for t in set(texts))
+    assert all(r.n_bytes - r.n_removed == len(r.kept) for r in got) and left and windows
+
+
+def test_ranges_of_other_bytes_are_left_out():
+    raw = np.frombuffer(b"abcdefghij", dtype=np.uint8)
+    digest = hashlib.sha256(b"cd").digest()
+    cut = suffix_dedup.cut_out(raw, np.array([2, 4, 8]), np.array([4, 6, 9]), [digest, digest, None])
+    assert np.flatnonzero(cut).tolist() == [2, 3, 8]
+
+
 def test_suffix_sort_by_hashes():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
