@@ -169,14 +169,15 @@ def run_hashes(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarra
     return at, mix(out)
 
 
-#: Rows of a table made on the driver that are broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 200_000
+#: Bytes, about, of a table made on the driver that is broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 16 << 20
 
 
 def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A table of rows made on the driver, to be joined: broadcast up to BROADCAST_ROWS, as Spark does not know its size."""
+    """A table of rows made on the driver, to be joined: broadcast up to BROADCAST_BYTES, as Spark does not know its size."""
     df = spark.createDataFrame(rows, schema)
-    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+    size = sum(16 + len(x) if isinstance(x, str) else 16 for row in rows for x in row)
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -20,8 +20,8 @@ from . import common as C
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
 SHARE = 20
-#: Benchmark text, in bytes, that is broadcast at once. A larger benchmark is worked off in blocks of this size.
-BLOCK_BYTES = 16 << 20
+#: Benchmark text, in bytes, that is broadcast at once, as at most 11 times as many bytes. A larger benchmark is worked off in blocks of this size.
+BLOCK_BYTES = 24 << 20
 
 
 def _hashed(raw: np.ndarray, off: np.ndarray):
@@ -31,22 +31,39 @@ def _hashed(raw: np.ndarray, off: np.ndarray):
 
 
 class Grams:
-    """The windows of some benchmark items: sorted hashes by length, their words, and the items that hold them."""
+    """The windows of some benchmark items, in flat arrays: by length, the sorted hashes, and of each window its item and its place in the items' words, which stand in one buffer, a space apart."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
-        found: dict[int, dict[int, dict[bytes, set[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        for item, text in items:
+        self.items = [str(item) for item, _ in items]
+        words, found, size = bytearray(), {}, 0
+        for k, (_, text) in enumerate(items):
             raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
             data, start, end, doc, hashes = _hashed(raw, np.array([0, len(raw)]))
             if not len(start):
                 continue
             n = min(window, len(start))
-            low = data.tobytes()
             at, keys = C.run_hashes(hashes, doc, n)
-            for i, key in zip(at.tolist(), keys.tolist()):
-                found[n][key][b" ".join(low[start[j] : end[j]] for j in range(i, i + n))].add(str(item))
-        self.words = {n: {key: {w: sorted(s) for w, s in v.items()} for key, v in by.items()} for n, by in found.items()}
-        self.keys = {n: np.sort(np.fromiter(by, dtype=np.uint64, count=len(by))) for n, by in found.items()}
+            low = data.tobytes()
+            words += b" ".join(low[a:b] for a, b in zip(start.tolist(), end.tolist())) + b" "
+            stop = size + np.cumsum(end - start + 1) - 1
+            begin = stop - (end - start)
+            found.setdefault(n, []).append((keys, np.full(len(at), k, np.int32), begin[at].astype(np.int32), stop[at + n - 1].astype(np.int32)))
+            size = len(words)
+        self.words = bytes(words)
+        self.windows = {}
+        for n, parts in found.items():
+            keys, item, begin, stop = map(np.concatenate, zip(*parts))
+            order = np.lexsort((item, keys))
+            keys, item, begin, stop = keys[order], item[order], begin[order], stop[order]
+            new = np.ones(len(keys), dtype=bool)  # a window that an item repeats is kept once, unless hashes collide
+            new[1:] = (keys[1:] != keys[:-1]) | (item[1:] != item[:-1]) | ((stop - begin)[1:] != (stop - begin)[:-1])
+            same = np.flatnonzero(~new)
+            new[same[[self.words[begin[i] : stop[i]] != self.words[begin[i - 1] : stop[i - 1]] for i in same.tolist()]]] = True
+            self.windows[n] = keys[new], item[new], begin[new], stop[new]
+
+    def size(self) -> int:
+        """Bytes of the arrays."""
+        return len(self.words) + sum(x.nbytes for own in self.windows.values() for x in own)
 
     def scan(self, raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
         """For each document: its words, the hit runs of bytes as (start, end, words) and the items found."""
@@ -56,15 +73,20 @@ class Grams:
         items: dict[int, set[str]] = defaultdict(set)
         step = np.zeros(len(start) + 1, dtype=np.int64)
         low = None
-        for n, keys in self.keys.items():
+        for n, (keys, item, begin, stop) in self.windows.items():
             at, found = C.run_hashes(hashes, doc, n)
             place = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
             for i in np.flatnonzero(keys[place] == found).tolist():
                 low = data.tobytes() if low is None else low
-                a = int(at[i])
-                own = self.words[n][int(found[i])].get(b" ".join(low[start[j] : end[j]] for j in range(a, a + n)))
-                if own:
-                    items[int(doc[a])].update(own)
+                a, k = int(at[i]), int(place[i])
+                own = b" ".join(low[start[j] : end[j]] for j in range(a, a + n))
+                hit = False
+                while k < len(keys) and keys[k] == found[i]:
+                    if self.words[begin[k] : stop[k]] == own:
+                        items[int(doc[a])].add(self.items[item[k]])
+                        hit = True
+                    k += 1
+                if hit:
                     step[a] += 1
                     step[a + n] -= 1
         hit = np.cumsum(step[:-1]) > 0
@@ -91,7 +113,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[l
     own, size = [], 0
     for row in benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).toLocalIterator():
         own.append((row.i, row.t))
-        size += len(row.t or "") + 64
+        size += len((row.t or "").encode()) + 64
         if size >= most:
             yield own
             own, size = [], 0
@@ -111,10 +133,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     spark = docs.sparkSession
     names = [x for x in docs.columns if x not in FOUND.names]
     docs = docs.select(*[F.col(f"`{x}`") for x in names])
-    found = None
+    found = last = None
     for k, own in enumerate(_blocks(benchmark, item, item_text, block_bytes)):
         shared = spark.sparkContext.broadcast(Grams(own, window))
-        found = _scanned(docs if found is None else C.written(found, f"scanned-{k}"), shared, text, names, found is not None)
+        if found is not None:
+            before, last = last, C.written(found, f"scanned-{k}")
+            if before is not None:
+                C.discard(before)
+        found = _scanned(docs if last is None else last, shared, text, names, last is not None)
     return found if found is not None else _scanned(docs, spark.sparkContext.broadcast(Grams([])), text, names)
 
 

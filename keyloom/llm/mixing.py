@@ -31,51 +31,55 @@ class Mix:
     seed: int = 1
 
 
-def _fill(budget: float, leaves: dict[tuple, float], mix: Mix, prefix: tuple, depth: int) -> dict[tuple, float]:
-    """Deal budget among the children of prefix; a child whose offer is less than its due gives the rest to its siblings."""
-    if depth == 0:
-        return {prefix: min(budget, leaves[prefix])}
-    children: dict[tuple, float] = {}
-    for path, offer in leaves.items():
-        if path[: len(prefix)] == prefix:
-            child = path[: len(prefix) + 1]
-            children[child] = children.get(child, 0.0) + offer
-    left, open_, due = min(budget, sum(children.values())), dict(children), dict.fromkeys(children, 0.0)
-    while open_ and left > 0:
-        weight = {c: mix.weights.get(c, DEFAULT_WEIGHT) for c in open_}
-        total = sum(weight.values())
-        if total <= 0:
-            break
-        full = [c for c in open_ if left * weight[c] / total >= open_[c]]
-        if not full:
-            due |= {c: left * weight[c] / total for c in open_}
-            break
-        for c in full:
-            due[c] = open_.pop(c)
-        left = min(budget, sum(children.values())) - sum(due.values())
-    out = {}
-    for child, part in due.items():
-        out |= _fill(part, {p: o for p, o in leaves.items() if p[: len(child)] == child}, mix, child, depth - 1)
-    return out
+def _dealt(budget: float, offers: dict[tuple, float], mix: Mix) -> dict[tuple, float]:
+    """Deal budget among siblings by weight; one whose offer is less than its due gives the rest to the others.
+
+    The siblings that are short are those with the least offer for their weight.
+    """
+    weight = {c: max(0.0, mix.weights.get(c, DEFAULT_WEIGHT)) for c in offers}
+    total, due = sum(weight.values()), dict.fromkeys(offers, 0.0)
+    for c in sorted((c for c in offers if weight[c] > 0), key=lambda c: offers[c] / weight[c]):
+        due[c] = min(offers[c], budget * weight[c] / total)
+        budget, total = budget - due[c], total - weight[c]
+    return due
 
 
 def budgets(offers: dict[tuple, int], mix: Mix) -> dict[tuple, int]:
-    """Tokens that each leaf is to give, of what it has (tokens by path)."""
+    """Tokens that each leaf is to give, of what it has (tokens by path). The tree is built once, and gone through once."""
     if not offers:
         return {}
+    children: dict[tuple, dict[tuple, float]] = {}
+    sums: dict[tuple, float] = dict.fromkeys(offers, 0.0)
+    for leaf, n in offers.items():
+        sums[leaf] = float(n * mix.epochs)
+    level = dict(sums)
+    for _ in range(len(next(iter(offers)))):
+        above: dict[tuple, float] = {}
+        for path, n in level.items():
+            children.setdefault(path[:-1], {})[path] = n
+            above[path[:-1]] = above.get(path[:-1], 0.0) + n
+        level = above
     total = mix.tokens if mix.tokens is not None else mix.share * sum(offers.values())
-    depth = len(next(iter(offers)))
-    return {p: int(round(v)) for p, v in _fill(total, {p: n * mix.epochs for p, n in offers.items()}, mix, (), depth).items()}
+    todo, out = [((), min(float(total), level[()]))], {}
+    while todo:
+        path, budget = todo.pop()
+        if path in children:
+            todo.extend(_dealt(budget, children[path], mix).items())
+        else:
+            out[path] = int(round(budget))
+    return out
 
 
-def select(docs: DataFrame, mix: Mix, path: list[Column], tokens: Column, key: str = "doc_id", most_leaves: int = 1_000_000) -> DataFrame:
+def select(docs: DataFrame, mix: Mix, path: list[Column], tokens: Column, key: str = "doc_id") -> DataFrame:
     """docs with `epoch` (from 0): the rows that make up each leaf's budget, a row once for each epoch that takes it.
 
     A leaf's prefix ends with the row that reaches its budget. Null path parts
     are a branch of their own; rows of no tokens come along where they fall
-    within the prefix, and a leaf without tokens gives nothing; equal rows take part each by itself. Rows are ordered in
-    an epoch by a seeded hash of key and then of tokens. The tree of leaves (not
-    of rows) is budgeted on the driver and may have `most_leaves` leaves.
+    within the prefix, and a leaf without tokens gives nothing; equal rows take
+    part each by itself, and a table without rows gives none. Rows are ordered in an
+    epoch by a seeded hash of key and tokens, then by key, then by a hash of all their
+    columns. A column `epoch` of docs is replaced. The tree of leaves (not of rows) is
+    budgeted on the driver.
 
     No task holds a leaf: rows fall by their order into parts of the leaf, whose
     sums tell in which part the cut falls. Parts before it are taken whole, and
@@ -87,9 +91,7 @@ def select(docs: DataFrame, mix: Mix, path: list[Column], tokens: Column, key: s
     depth = len(path)
     rows = docs.withColumns({f"_kl_p{i}": p for i, p in enumerate(path)} | {"_kl_n": F.coalesce(tokens.cast("long"), F.lit(0))})
     parts = [f"_kl_p{i}" for i in range(depth)]
-    sums = rows.groupBy(*parts).agg(F.sum("_kl_n").alias("n")).limit(most_leaves + 1).toArrow().to_pylist()
-    if len(sums) > most_leaves:
-        raise ValueError(f"more than {most_leaves} leaves")
+    sums = rows.groupBy(*parts).agg(F.sum("_kl_n").alias("n")).toArrow().to_pylist()
     offers = {tuple(r[p] for p in parts): r["n"] for r in sums}
     todo = []
     for leaf, budget in budgets(offers, mix).items():
@@ -117,7 +119,7 @@ def select(docs: DataFrame, mix: Mix, path: list[Column], tokens: Column, key: s
     found = {tuple(r[c] for c in leaf): (r["_kl_b"], r["before"]) for r in cuts.select(*leaf, "_kl_b", "before").toArrow().to_pylist()}
     taken = ordered([t if t[-2] is None else (*t[:-2], *found[t[: depth + 1]]) for t in todo])
     inside = taken.filter("_kl_cut IS NULL OR _kl_b < _kl_cut")
-    run = Window.partitionBy(*leaf).orderBy("_kl_o", key).rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy(*leaf).orderBy("_kl_o", key, F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])).rowsBetween(Window.unboundedPreceding, -1)
     edge = taken.filter("_kl_b = _kl_cut").withColumn("_kl_run", F.coalesce(F.sum("_kl_n").over(run), F.lit(0))).filter(F.col("_kl_before") + F.col("_kl_run") < F.col("_kl_budget"))
     keep = [F.col(f"`{c}`") for c in [*names, "epoch"]]
     return inside.select(keep).unionByName(edge.select(keep))

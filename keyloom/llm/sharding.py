@@ -5,7 +5,8 @@ partition whose one filled part is its size; over and over, the two partial
 partitions of the largest spread are combined with their parts oppositely
 ordered, largest with smallest. Groups are dealt by hash into blocks of bounded
 size, each differenced by a task of its own; the blocks' partial partitions are
-combined the same way at the end, which is but the upper part of one tree.
+combined the same way, by FAN in a task, until the driver combines the last,
+which is but the upper part of one tree.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from . import common as C
 ROW_BYTES = 16
 #: Rows, about, whose groups one task differences.
 BLOCK_ROWS = 100_000
+#: Partial partitions that one task, or the driver, combines.
+FAN = 1000
 
 
 def difference(sizes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,11 +88,11 @@ def _facts(docs: DataFrame, text: str) -> DataFrame:
     """docs (without their text) with size, text_crc32 and a 128-bit hash of the text; a null text counts as empty."""
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.withColumns(
-        {"size": F.octet_length(body).cast("long") + ROW_BYTES, "text_crc32": F.crc32(body.cast("binary")), "_kl_h": F.xxhash64(body), "_kl_g": F.xxhash64(body, F.lit("second"))}
+        {"size": F.octet_length(body).cast("long") + ROW_BYTES, "text_crc32": F.crc32(body.cast("binary")), "_kl_h": F.xxhash64(body), "_kl_g": F.xxhash64(F.lit("second"), body)}
     ).drop(text)
 
 
-def assign(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "doc_id", block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
     """docs, without text, with size, text_crc32, law, shard, slot and grown_shard; shards get nearly equal bytes.
 
     Equal texts, null counting as empty, stay in one shard. Slots run from 0 in
@@ -98,8 +101,8 @@ def assign(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "do
     docs with those names are replaced; `_`-names of this operator are reserved.
 
     A text with many copies is one group, whose rows are summed before they are
-    shuffled; only groups travel to the differencing, and only each block's
-    sums, `shards` numbers, reach the driver. No task sorts a whole shard: rows
+    shuffled; only groups travel to the differencing, and at most `fan` times
+    `shards` sums reach the driver. No task sorts a whole shard: rows
     are numbered within key ranges, and a shard's ranges are offset by counts.
     """
     spark = docs.sparkSession
@@ -119,19 +122,44 @@ def assign(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "do
             yield pd.DataFrame({"_kl_h": own["_kl_h"], "_kl_g": own["_kl_g"], "block": block, "part": part, "bytes": own["bytes"]})
 
     parts = C.written(groups.repartition(blocks, "block").mapInPandas(work, "_kl_h long, _kl_g long, block long, part int, bytes long"), "parts")
-    found = parts.groupBy("block", "part").agg(F.sum("bytes").alias("bytes")).toArrow().to_pandas()
-    sums = np.zeros((blocks, shards), dtype=np.int64)
-    sums[found["block"], found["part"]] = found["bytes"]
-    final, _ = difference(sums, shards)
-    places = [(b, p, int(final[b, p])) for b in range(blocks) for p in range(shards)]
-    places = C.local_table(spark, places, "block long, part int, shard int")
-    homes = parts.join(places, ["block", "part"]).select("_kl_h", "_kl_g", "shard")
+    homes = parts.select("_kl_h", "_kl_g", "block", "part")
+    sums, made = parts.groupBy("block", "part").agg(F.sum("bytes").alias("bytes")), [parts]
+    while blocks > fan:
+        blocks = -(-blocks // fan)
+        step = C.written(_combined(sums, shards, blocks), "combined")
+        made.append(step)
+        homes = homes.join(step.select("block", "part", "above", "to"), ["block", "part"]).select("_kl_h", "_kl_g", F.col("above").alias("block"), F.col("to").alias("part"))
+        sums = step.groupBy(F.col("above").alias("block"), F.col("to").alias("part")).agg(F.sum("bytes").alias("bytes"))
+    found = sums.toArrow().to_pandas()
+    own, final = _places(found, shards)
+    places = [(int(b), p, int(final[i, p])) for i, b in enumerate(own) for p in range(shards)]
+    homes = homes.join(C.local_table(spark, places, "block long, part int, shard int"), ["block", "part"]).select("_kl_h", "_kl_g", "shard")
     rows = C.written(facts.join(homes, ["_kl_h", "_kl_g"]), "placed")
+    C.discard(facts, *made)
 
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return _slots(rows, key, ranges).withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")).drop("_kl_h", "_kl_g")
 
 
+def _places(sums: pd.DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks, for each of them and each of its parts the part that it goes to) from rows block, part, bytes."""
+    own, at = np.unique(sums["block"].to_numpy(), return_inverse=True)
+    table = np.zeros((len(own), shards), dtype=np.int64)
+    table[at, sums["part"].to_numpy()] = sums["bytes"].to_numpy()
+    return own, difference(table, shards)[0]
+
+
+def _combined(sums: DataFrame, shards: int, above: int) -> DataFrame:
+    """(block, part, above, to, bytes): blocks of partial partitions combined into `above` blocks."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        own, final = _places(rows, shards)
+        rows["to"] = final[np.searchsorted(own, rows["block"].to_numpy()), rows["part"].to_numpy()]
+        return rows[["block", "part", "above", "to", "bytes"]]
+
+    return sums.withColumn("above", F.col("block") % above).groupBy("above").applyInPandas(work, "block long, part int, above long, to int, bytes long")
+
+
 def _slots(rows: DataFrame, key: str, ranges: int) -> DataFrame:
     """rows with slot: the count of rows of the shard before it."""
     dealt = C.written(rows.repartitionByRange(ranges, F.col(key).asc_nulls_first()).withColumn("_kl_range", F.spark_partition_id()), "ranges")

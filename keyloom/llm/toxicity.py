@@ -201,20 +201,19 @@ class Model:
         return 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), self.scale * z + self.shift))))
 
     def discard(self) -> None:
-        for df in (self.pairs, self.contexts, self.pieces):
-            if df is not None:
-                C.discard(df)
+        if self.pairs is not None:
+            C.discard(self.pairs, self.contexts, self.pieces)
 
 
 def estimate(counts: DataFrame, block_rows: int = BLOCK_ROWS) -> Model:
     """Both models from the counts of pairs; all estimates are made in Spark."""
-    rows = C.written(counts, "pairs")
-    nt, no = rows.agg(F.sum("toxic"), F.sum("ordinary")).first()
+    counts = C.written(counts, "pairs")
+    nt, no = counts.agg(F.sum("toxic"), F.sum("ordinary")).first()
     if not nt or not no:
-        C.discard(rows)
+        C.discard(counts)
         return Model()
     dt, do = DISCOUNT * max(1.0, nt / no), DISCOUNT * max(1.0, no / nt)
-    rows = rows.withColumn("telling", (F.col("toxic") > dt) | (F.col("ordinary") > do))
+    rows = counts.withColumn("telling", (F.col("toxic") > dt) | (F.col("ordinary") > do))
     freed = [F.sum(F.least(F.col(c).cast("double"), F.lit(d))).alias(f"free_{c}") for c, d in (("toxic", dt), ("ordinary", do))]
     contexts = rows.groupBy("context").agg(F.sum("toxic").alias("nt"), F.sum("ordinary").alias("no"), *freed, F.max("lead").alias("lead"), F.min("first").alias("first"), F.max("telling").alias("telling"))
     contexts = C.written(contexts.filter("telling"), "contexts")
@@ -247,8 +246,7 @@ def estimate(counts: DataFrame, block_rows: int = BLOCK_ROWS) -> Model:
         (lt / (k + v + 1), lo / (k + v + 1)),
         block_rows,
     )
-    for df in (rows, contexts, pieces):
-        C.discard(df)
+    C.discard(counts, contexts, pieces)
     return model
 
 

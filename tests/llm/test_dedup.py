@@ -247,6 +247,33 @@ def test_sentence_runs_against_brute_force(some_docs, monkeypatch):
         assert (len(c.doc), len(cut)) == want[key]
 
 
+def test_the_query_matches_brute_force(some_docs):
+    """Every row of deduplicated(), with the sentence bounds given: first runs by key and place, their words compared as they stand."""
+    docs = some_docs.filter("doc_id % 4 <> 1").unionByName(some_docs.filter("doc_id < 8").withColumn("doc_id", F.col("doc_id") + 500))
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    seen, want = set(), {}
+    for key, text in rows:
+        raw = text.encode()
+        s = sentence_spans.Sentences(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        spans = [raw[a:b] for a, b in zip(s.start.tolist(), s.end.tolist())]
+        cut = [False] * len(spans)
+        for i in range(len(spans)):
+            j, words = i, []
+            while j < len(spans) and (j - i < sentence_spans.RUN or len(words) < sentence_spans.RUN_WORDS):
+                words += spans[j].lower().split()
+                j += 1
+            if j - i < sentence_spans.RUN or len(words) < sentence_spans.RUN_WORDS:
+                break
+            if tuple(words) in seen:
+                cut[i:j] = [True] * (j - i)
+            seen.add(tuple(words))
+        kept = b"".join(raw[(int(s.end[i - 1]) if i else 0) : int(s.end[i])] for i in range(len(spans)) if not cut[i]) + (raw[int(s.end[-1]) :] if spans else raw)
+        kept = kept.decode()
+        want[key] = (len(spans), sum(cut), kept.lstrip() if spans and cut[0] else kept)
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in sentence_spans.deduplicated(docs).collect()}
+    assert got == want and sum(x[1] for x in want.values()) > 50
+
+
 @pytest.mark.parametrize("mark", ["", "."])
 def test_each_shared_passage_of_51_words_holds_a_run(mark):
     """Passages in other contexts, without marks and with a mark after every seventeenth word."""

@@ -43,6 +43,21 @@ def test_hits_match_brute_force(spark, some_docs, block):
     assert kept == {k for k, v in got.items() if not v[4]}
 
 
+def test_broadcast_windows_are_within_their_bound():
+    rng = np.random.default_rng(8)
+    for text in (" ".join("ab"[x] for x in rng.integers(0, 2, 200_000)), " ".join(f"w{x}" for x in rng.integers(0, 10**6, 200_000))):
+        grams = decontaminate.Grams([(1, text), (2, text)])
+        assert grams.size() <= 11 * 2 * (len(text) + 64)
+
+
+def test_hash_collisions_hit_nothing():
+    grams = decontaminate.Grams([(1, "a b c"), (2, "d e f"), (3, "a b c")])
+    keys, item, begin, stop = grams.windows[3]
+    grams.windows[3] = np.full_like(keys, keys[0]), item, begin, stop  # all collide
+    raw = np.frombuffer(b"a b c x d e f", dtype=np.uint8)
+    assert next(grams.scan(raw, np.array([0, len(raw)])))[2] in (["1", "3"], ["2"])
+
+
 def test_spans_are_cut_out(spark):
     item = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(1, f"Before, {item.upper()}! after é."), (2, "clean"), (3, None)], "doc_id long, text string")
