@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import itertools
 import os
@@ -83,6 +84,14 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+def trim() -> None:
+    """Give memory that the driver's Python has freed back to the system, where the C library can."""
+    gc.collect()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(data, offsets) of a string column; null counts as empty."""
     column = pc.fill_null(column, "")

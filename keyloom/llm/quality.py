@@ -211,7 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     schema = T.StructType([T.StructField("_k", kind), T.StructField("_y", T.IntegerType())] + [T.StructField(x, T.BinaryType()) for x in "abcd"])
     got = rows.mapInArrow(work, schema).withColumn("_o", F.xxhash64(F.col("_k").cast("string"), F.lit(17))).orderBy("_o", "_k").drop("_o")
     fetched = [(r._y, [(np.frombuffer(r.a, np.int32), np.frombuffer(r.b, np.float32)), (np.frombuffer(r.c, np.int32), np.frombuffer(r.d, np.float32))]) for r in got.toLocalIterator()]
-    return fit(fetched)
+    model = fit(fetched)
+    C.trim()
+    return model
 
 
 SCORED = T.StructType(

@@ -318,8 +318,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS
     large = C.written(sizes.filter(F.col("n") > bucket_rows).select("band", "key"), "large-buckets")
     small = rows
     if not large.isEmpty():
-        small = rows.join(large, ["band", "key"], "left_anti")
-        again = rows.join(large, ["band", "key"], "left_semi")
+        small = rows.join(large.hint("merge"), ["band", "key"], "left_anti")
+        again = rows.join(large.hint("merge"), ["band", "key"], "left_semi")
         # within a bucket the block is equal, so of radius + 1 blocks of the other bits one is equal too
         second = []
         for n, (_, rest) in enumerate(todo):
@@ -345,17 +345,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps; each is one aggregation to the
     smallest neighbour and one join, and the edges are written between rounds.
-    Stops when a round changes nothing.
+    Stops when a round changes nothing. As everywhere here, both sides of a join are
+    shuffled, at any size: a broadcast would collect links on the driver.
     """
     edges = C.written(edges.filter("a <> b").select("a", "b").distinct(), "edges")
     before = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        joined = down.join(least, "a")
+        joined = down.join(least.hint("merge"), "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         last, edges = edges, C.written(small, "edges")
         C.discard(last)
@@ -375,9 +376,9 @@ def _labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     The ids are written before they are joined, so that Spark can split the join
     where one component holds many nodes; nodes without a link are not joined.
     """
-    linked = nodes.join(roots, "node")
+    linked = nodes.join(roots.hint("merge"), "node")
     ids = C.written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
-    return linked.join(ids, "root").select("node", "component_id").unionByName(nodes.join(roots, "node", "left_anti").select("node", F.col("least").alias("component_id")))
+    return linked.join(ids.hint("merge"), "root").select("node", "component_id").unionByName(nodes.join(roots.hint("merge"), "node", "left_anti").select("node", F.col("least").alias("component_id")))
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -391,7 +392,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     roots = components(links(nodes, radius))
     label = C.written(_labelled(nodes.select(F.col("fp").alias("node"), "least"), roots), "labels").withColumnRenamed("node", "fp")
     C.discard(nodes, roots)
-    return fps.join(label, "fp").select(key, "fp", "component_id")
+    return fps.join(label.hint("merge"), "fp").select(key, "fp", "component_id")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -516,29 +517,30 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
 
     def links_of(rows: DataFrame) -> DataFrame:
         """The verified links of rows (family, x, y, node, root), with their texts and fingerprints."""
-        dealt = rows.join(texts, "node").select("family", "x", "y", "node", "root", "_t", *names)
+        dealt = rows.join(texts.hint("merge"), "node").select("family", "x", "y", "node", "root", "_t", *names)
         return written(dealt.repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(verified, "a long, b long"), "verified")
 
     keyed = nodes.filter("size > 0").select("node", F.explode("keys").alias("key"))
-    rows = written(keyed.join(several(keyed), "key"), "shared-keys")
+    rows = written(keyed.join(several(keyed).hint("merge"), "key"), "shared-keys")
     large = F.col("n") > bucket_rows
-    again = rows.filter(large).join(nodes.select("node", "keys"), "node").select("node", "key", F.explode("keys").alias("other")).filter("key <> other")
+    again = rows.filter(large).join(nodes.select("node", "keys").hint("merge"), "node").select("node", "key", F.explode("keys").alias("other")).filter("key <> other")
     again = again.select("node", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
-    rows = written(rows.filter(~large).unionByName(again.join(several(again), "key")), "shared-keys")
-    small = rows.filter(~large).join(nodes.select("node", *names), "node").select("key", "node", *names)
+    rows = written(rows.filter(~large).unionByName(again.join(several(again).hint("merge"), "key")), "shared-keys")
+    small = rows.filter(~large).join(nodes.select("node", *names).hint("merge"), "node").select("key", "node", *names)
     near = small.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(forest, "a long, b long")
     # what shares even two keys with more than bucket_rows texts is one family at once
     first = rows.filter(large).groupBy("key").agg(F.min("node").alias("b"))
-    families = components(near.unionByName(rows.filter(large).join(first, "key").select(F.col("node").alias("a"), "b")))
+    families = components(near.unionByName(rows.filter(large).join(first.hint("merge"), "key").select(F.col("node").alias("a"), "b")))
     made.append(families)
     families = families.select("node", F.col("root").alias("family"))
     sizes = written(families.groupBy("family").agg(F.count("*").alias("n")), "family-sizes")
     # the texts that may have to be verified, one of each node
-    live = families.select("node").join(nodes.select("node", "least", *names), "node")
-    texts = fps.select("node", "_k", "_t").join(live, "node").filter(F.col("_k").eqNullSafe(F.col("least")))
+    live = families.select("node").join(nodes.select("node", "least", *names).hint("merge"), "node")
+    texts = fps.select("node", "_k", "_t").join(live.hint("merge"), "node").filter(F.col("_k").eqNullSafe(F.col("least")))
     texts = written(texts.groupBy("node").agg(*(F.first(c).alias(c) for c in ("_t", *names))), "texts")
 
-    dealt = written(families.join(sizes, "family").withColumn("x", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / bucket_rows))), "dealt")
+    C.release_shuffles(docs.sparkSession)
+    dealt = written(families.join(sizes.hint("merge"), "family").withColumn("x", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / bucket_rows))), "dealt")
     links = links_of(dealt.select("family", "x", F.lit(0).cast("long").alias("y"), "node", F.col("node").alias("root")))
     roots = components(links)
     made.append(roots)
@@ -548,15 +550,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
         made.append(roots)
     label = C.written(_labelled(nodes.select("node", "least"), roots), "labels")
     C.discard(*made[1:])
-    return fps.select("_k", "node").join(label, "node").select(F.col("_k").alias(key), "component_id")
+    return fps.select("_k", "node").join(label.hint("merge"), "node").select(F.col("_k").alias(key), "component_id")
 
 
 def _pairs_of_parts(families: DataFrame, roots: DataFrame, bucket_rows: int) -> DataFrame:
     """(family, x, y, node, root): large families that have several components, by pairs of parts of which one at least is not of its largest."""
-    own = families.select("family", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = families.select("family", "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     counts = own.groupBy("family", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("inner"), F.sum("n").alias("n")).filter("n > inner")
-    own = own.join(main, "family").withColumn("away", F.col("root") != F.col("main"))
+    own = own.join(main.hint("merge"), "family").withColumn("away", F.col("root") != F.col("main"))
     outer, inner = F.ceil((F.col("n") - F.col("inner")) / bucket_rows), F.ceil(F.col("inner") / bucket_rows)
     part = F.when(F.col("away"), F.pmod(F.xxhash64("node"), outer)).otherwise(outer + F.pmod(F.xxhash64("node"), inner))
     own = own.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("away"), outer + inner - 1).otherwise(outer - 1))))
@@ -566,4 +568,4 @@ def _pairs_of_parts(families: DataFrame, roots: DataFrame, bucket_rows: int) ->
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """docs without those that are near-duplicates of a document of a smaller key. Rows of the key that stays stay; so do rows of a null key."""
     found = C.written(near_duplicates(docs, text, key, **options).filter(F.col(key) > F.col("component_id")).select(F.col(key).alias("_gone")).distinct(), "duplicates")
-    return docs.join(found, docs[key] == found["_gone"], "left_anti")
+    return docs.join(found.hint("merge"), docs[key] == found["_gone"], "left_anti")
