@@ -275,17 +275,18 @@ def q_bool(spark, sf_dir):
     return t.hide("p_size").hide("p_retailprice").to_df()
 
 
-@query("SELECT p_partkey AS p, FALSE AS missing, TRUE AS there FROM part WHERE p_size IS NOT NULL")
+@query("SELECT p_partkey AS p, p_size = 7 AS missing, p_size <> 7 AS there FROM part")
 def q_isnull(spark, sf_dir):
     _, t = _parts(spark, sf_dir)
-    t = t.mutate(missing=t["p_size"].isnull(), there=t["p_size"].isnotnull())
+    ratio = (t["p_size"] - 7) * 0 / (t["p_size"] - 7)  # nothing by nothing is null
+    t = t.mutate(missing=ratio.isnull(), there=ratio.isnotnull())
     return t.hide("p_size").hide("p_retailprice").to_df()
 
 
-@query("SELECT p_partkey AS p, p_size, p_retailprice, p_retailprice AS dear FROM part WHERE p_retailprice > 1500")
+@query("SELECT p_partkey AS p, p_size, p_retailprice, p_retailprice AS dear FROM part WHERE p_retailprice > 950")
 def q_mask_filter(spark, sf_dir):
     _, t = _parts(spark, sf_dir)
-    return t.mutate(dear=t["p_retailprice"].mask(t["p_retailprice"] > 1500)).filter("dear").to_df()
+    return t.mutate(dear=t["p_retailprice"].mask(t["p_retailprice"] > 950)).filter("dear").to_df()
 
 
 @query("SELECT o_custkey AS c, array_to_string(list(o_orderkey ORDER BY o_orderkey), ',') AS o_orderkey, array_to_string(list(CAST(floor(o_totalprice) AS BIGINT) ORDER BY o_orderkey), ',') AS o_totalprice FROM orders WHERE o_totalprice > 300000 GROUP BY 1")
@@ -347,10 +348,10 @@ def q_semi(spark, sf_dir):
     return s.get(c=s.customer["c_custkey"]).infer(["c"], s.customer["c_name"]).semi_join(large, ["c"])
 
 
-@query("SELECT c_custkey AS c, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS c, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def q_anti(spark, sf_dir):
     s = Star(spark, sf_dir)
-    return s.get(c=s.customer["c_custkey"]).infer(["c"], s.customer["c_name"]).semi_join(s.table("orders").select(F.col("o_custkey").alias("c")), ["c"], anti=True)
+    return s.get(c=s.customer["c_custkey"]).infer(["c"], s.customer["c_name"]).semi_join(s.table("orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c")), ["c"], anti=True)
 
 
 @query("SELECT round(sum(o_totalprice), 2) AS total FROM orders")
@@ -392,7 +393,101 @@ def q_whole_domain(spark, sf_dir):
 
 
 @query("SELECT event_type AS kind, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1")
-def q_class_union(spark, sf_dir):
+def q_group_events(spark, sf_dir):
     s = Star(spark, sf_dir)
     t = s.get(e=s.events["event_id"]).infer(["e"], s.events["event_type"], with_name="kind").group_by(["kind"])
     return t.mutate(n=t["e"].count())["n"].to_df()
+
+
+def _clients(s: Star) -> tuple[Dataset, Dataset]:
+    """Two datasets over customers of one class: neither has all."""
+    poor = s.add(s.table("customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("poor_key"), F.col("c_acctbal").alias("debt")), "poor_key")
+    rich = s.add(s.table("customer").filter("c_acctbal > 8000 OR c_acctbal < -500").select(F.col("c_custkey").alias("rich_key"), F.col("c_name").alias("name")), "rich_key")
+    s.schema.blend(poor["poor_key"], rich["rich_key"], s.schema.create_class("Client"))
+    return poor, rich
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_acctbal < 0 THEN c_acctbal ELSE 0.0 END AS owed FROM customer WHERE c_acctbal < 0 OR c_acctbal > 8000")
+def q_class_union(spark, sf_dir):
+    """The class's domain is the union of its members': keys of either dataset have a row."""
+    s = Star(spark, sf_dir)
+    poor, _ = _clients(s)
+    t = s.get(k=s.schema.graph.concept_of(poor["poor_key"])).infer(["k"], poor["debt"])
+    return t.mutate(owed=t["debt"].extend(0.0)).hide("debt").to_df()
+
+
+@query("SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_acctbal < -500")
+def q_member_domain(spark, sf_dir):
+    """A member's own domain, and values that another member's dataset has for it."""
+    s = Star(spark, sf_dir)
+    poor, rich = _clients(s)
+    return s.get(k=poor["poor_key"]).infer(["k"], rich["name"]).to_df()
+
+
+def _lines(spark, sf_dir) -> tuple[Star, Dataset, Table]:
+    """lineitem itself: no columns are its key, its rows are distinct, so a hash of all of them is one."""
+    s = Star(spark, sf_dir)
+    line = s.table("lineitem")
+    data = s.add(line.select(F.xxhash64(*line.columns).alias("l_id"), "l_orderkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount"), "l_id")
+    return s, data, s.get(l=data["l_id"])
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1, 2")
+def q_pricing(spark, sf_dir):
+    _, d, t = _lines(spark, sf_dir)
+    for v in ("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount"):
+        t = t.infer(["l"], d[v])
+    t = t.mutate(net=t["l_extendedprice"] * (1 - t["l_discount"])).hide("l_extendedprice").hide("l_discount")
+    t = t.group_by(["l_returnflag", "l_linestatus"])
+    t = t.mutate(qty=t["l_quantity"].sum(), revenue=t["net"].sum(), n=t["l"].count())
+    return rounded(t.hide("l_quantity").hide("net").hide("l").to_df(), revenue=2)
+
+
+@query("SELECT n_name AS nation, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
+def q_supplier_nations(spark, sf_dir):
+    """The engine finds the way from a line by its supplier to the nation's name, and joins lineitem along it."""
+    s, d, t = _lines(spark, sf_dir)
+    s.schema.blend(d["l_suppkey"], s.supplier["s_suppkey"], s.schema.create_class("Supplier"))
+    t = t.infer(["l"], d["l_extendedprice"]).infer(["l"], s.nation["n_name"], via=[s.supplier["s_nationkey"]], with_name="nation")
+    t = t.group_by(["nation"])
+    return rounded(t.mutate(total=t["l_extendedprice"].sum()).hide("l_extendedprice").hide("l").to_df(), total=2)
+
+
+@query("SELECT o_orderstatus AS status, CAST(count(*) AS DOUBLE) AS lines, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def q_order_lines(spark, sf_dir):
+    s, d, t = _lines(spark, sf_dir)
+    s.schema.blend(d["l_orderkey"], s.orders["o_orderkey"], s.schema.create_class("Order"))
+    t = t.infer(["l"], d["l_extendedprice"]).infer(["l"], s.orders["o_orderstatus"], with_name="status").group_by(["status"])
+    t = t.mutate(total=t["l_extendedprice"].sum(), lines=t["l"].count())
+    return rounded(t.hide("l_extendedprice").hide("l").to_df(), total=2)
+
+
+@query("SELECT p_partkey AS p, p_size, p_retailprice, p_size AS small FROM part WHERE p_size < 10 AND p_retailprice > 950")
+def q_filter_not_null(spark, sf_dir):
+    """Of two masked columns, rows where both have a value."""
+    _, t = _parts(spark, sf_dir)
+    t = t.mutate(small=t["p_size"].mask(t["p_size"] < 10), dear=t["p_retailprice"].mask(t["p_retailprice"] > 950))
+    return t.filter("small").filter("dear").hide("dear").to_df()
+
+
+@query("SELECT p_partkey AS p, p_size, p_retailprice FROM part")
+def q_show_value(spark, sf_dir):
+    """A value that was taken out of the display comes back, left of the marker."""
+    _, t = _parts(spark, sf_dir)
+    return t.hide("p_size").show("p_size").to_df()
+
+
+@query("SELECT p_partkey AS p, p_retailprice FROM part")
+def q_displayed(spark, sf_dir):
+    _, t = _parts(spark, sf_dir)
+    return t.displayed(["p", "p_retailprice"], 1).to_df()
+
+
+@query("SELECT * FROM (VALUES ('n_nationkey', 'r_name', 'MANY_TO_ONE'), ('n_nationkey', 'n_name', 'MANY_TO_ONE'), ('r_name', 'n_name', 'MANY_TO_MANY'), ('r_regionkey', 'n_nationkey', 'ONE_TO_MANY')) x(source, target, cardinality)")
+def q_cardinality(spark, sf_dir):
+    """The cardinality of the shortest path between nodes, along keys and classes, forwards and back."""
+    s = Star(spark, sf_dir)
+    s.nation, s.region
+    pairs = [("n_nationkey", "r_name"), ("n_nationkey", "n_name"), ("r_name", "n_name"), ("r_regionkey", "n_nationkey")]
+    graph = s.schema.graph
+    return spark.createDataFrame([(a, b, graph.cardinality(graph.path(s.nodes[a], s.nodes[b])).name) for a, b in pairs], "source string, target string, cardinality string")
