@@ -208,6 +208,7 @@ class Model:
 def estimate(counts: DataFrame, block_rows: int = BLOCK_ROWS) -> Model:
     """Both models from the counts of pairs; all estimates are made in Spark."""
     counts = C.written(counts, "pairs")
+    C.release_shuffles(counts.sparkSession)  # of the texts, and of the pairs of each task
     nt, no = counts.agg(F.sum("toxic"), F.sum("ordinary")).first()
     if not nt or not no:
         C.discard(counts)
@@ -219,6 +220,7 @@ def estimate(counts: DataFrame, block_rows: int = BLOCK_ROWS) -> Model:
     contexts = C.written(contexts.filter("telling"), "contexts")
     pieces = rows.groupBy("piece").agg(F.count_if(F.col("toxic") > 0).alias("kt"), F.count_if(F.col("ordinary") > 0).alias("ko"), F.count("*").alias("k"), F.max("telling").alias("telling"))
     pieces = C.written(pieces, "pieces")
+    C.release_shuffles(counts.sparkSession)
     kt, ko, k, v = pieces.agg(F.sum("kt"), F.sum("ko"), F.sum("k"), F.count("*")).first()
     et, eo = DISCOUNT * max(1.0, kt / ko), DISCOUNT * max(1.0, ko / kt)
     lt, lo = pieces.agg(*[F.sum(F.least(F.col(c).cast("double"), F.lit(e))) / n for c, e, n in (("kt", et, kt), ("ko", eo, ko))]).first()
