@@ -298,7 +298,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """
     known = labels.filter(F.col(label).isNotNull() & (fold(key) > 0)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
     rows = docs.filter(F.col(text).isNotNull() & F.col(key).isNotNull() & (fold(key) > 0)).select(F.col(key).alias("_k"), F.col(text).alias("_t"), fold(key).alias("_f"))
-    model = estimate(count(rows.filter("_f > 1").join(known.hint("merge"), "_k").select("_t", "_y")), block_rows)
+    # written, so that the shuffled texts are gone before the pairs are shuffled
+    counted = C.written(rows.filter("_f > 1").join(known.hint("merge"), "_k").select("_t", "_y"), "labelled")
+    C.release_shuffles(docs.sparkSession)
+    model = estimate(count(counted), block_rows)
+    C.discard(counted)
     some = known.filter(fold("_k") == 1).withColumn("_o", F.xxhash64(F.col("_k").cast("string"), F.lit(5))).orderBy("_o", "_k").limit(calibration_rows).select("_k", "_y")
     held = rows.filter("_f = 1").join(F.broadcast(some), "_k").select("_k", "_y", "_t")
     got = evidence(held, model, "_t").orderBy("_k", "_kl_z").select("_y", "_kl_z").toArrow()
